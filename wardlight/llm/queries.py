@@ -4,23 +4,217 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import license_scan as _license
+from .line_dedup import line_dedup
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality_rules import RULES, quality_rules
+from .token_counts import token_counts
 
+TOKEN_LIMIT = 4096
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Target weights of the mixing query and of the pipeline's mixing stage.
+MIX_WEIGHTS: dict[str, dict[str, int]] = {
+    "domain": {"web": 5, "reference": 3, "forum": 2},
+    "lang": {"en": 6, "de": 2, "fr": 2, "es": 1},
+    "source": {"src0": 4, "src1": 2},
+}
+MIX_PERCENT = 90
+MIX_EPOCHS = 3
+MIX_SEED = 17
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def domain_of(source: str = "source") -> Column:
+    """The domain that a source belongs to, by the number in its name."""
+    number = F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)"), F.lit(0)) % 3
+    return F.when(number == 0, "web").when(number == 1, "reference").otherwise("forum")
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are taken in which epoch, to reach the target weights."""
+    return mix(documents(spark, sf_dir), domain_of(), percent=MIX_PERCENT, max_epochs=MIX_EPOCHS, weights=MIX_WEIGHTS, seed=MIX_SEED)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents, by 5-word shingles at similarity 0.75."""
-    return near_duplicates(_documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, and how much of each fits the limit."""
+    return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), limit=TOKEN_LIMIT)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts and whole lines of all documents are."""
+    return _license.license_scan(documents(spark, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of all documents."""
+    return quality_rules(documents(spark, sf_dir)).drop("lang", "source")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), length=1024)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated passages of three lines or more."""
+    text = F.coalesce("text", F.lit(""))
+    return line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
+    )
+
+
+# ------------------------------------------------------------------------ SQL
+
+_WS = r"[\x20\x09-\x0D]"
+_WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '')"
+
+
+def _mix_sql() -> str:
+    def weight(level: str) -> str:
+        cases = " ".join(f"when {level} = '{k}' then {v}" for k, v in MIX_WEIGHTS[level].items())
+        return f"case {cases} else 1 end"
+
+    def level(name: str, above: list[str], budget: str) -> str:
+        keys, up = ", ".join([*above, name]), ", ".join(above)
+        part = f"partition by {up}" if up else ""
+        join = f"join {budget} b using ({up})" if up else f"cross join {budget} b"
+        return f"""
+n_{name} as (select {keys}, sum(offer) as offer, {weight(name)} as weight from leaves group by {keys}),
+o_{name} as (select n.*, b.budget from n_{name} n {join}),
+s_{name} as (select *, coalesce(sum(offer) over (w rows between unbounded preceding and 1 preceding), 0) as before,
+  sum(weight) over (w rows between current row and unbounded following) as heavier from o_{name}
+  window w as ({part} order by offer::double / weight, {name})),
+t_{name} as (select *, offer::hugeint * heavier <= (budget - before)::hugeint * weight as settled from s_{name}),
+u_{name} as (select *, budget - coalesce(sum(case when settled then offer end) over ({part}), 0) as rest,
+  sum(case when not settled then weight end) over ({part}) as weights from t_{name}),
+g_{name} as (select {keys}, case when settled then offer else (rest::hugeint * weight) // weights end::bigint as budget from u_{name})"""
+
+    return f"""
+with docs as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, len({_WORDS}) as n_tokens,
+  case coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint), 0) % 3 when 0 then 'web' when 1 then 'reference' else 'forum' end as domain
+  from documents where doc_id is not null),
+own as (select * from docs where n_tokens > 0),
+leaves as (select domain, lang, source, sum(n_tokens) as tokens, sum(n_tokens) * {MIX_EPOCHS} as offer from own group by all),
+root as (select (coalesce(sum(tokens), 0) * {MIX_PERCENT} // 100)::bigint as budget from leaves),
+{level("domain", [], "root")},{level("lang", ["domain"], "g_domain")},{level("source", ["domain", "lang"], "g_lang")},
+plan as (select domain, lang, source, tokens, budget as target from leaves join g_source using (domain, lang, source) where budget > 0),
+epochs as (select o.*, p.tokens, p.target, unnest(range(0, ((p.target - 1) // p.tokens)::bigint + 1)) as epoch from own o join plan p using (domain, lang, source)),
+ordered as (select *, epoch * tokens + coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch
+  order by md5('{MIX_SEED}:' || epoch || ':' || doc_id), doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as place from epochs)
+select doc_id, domain, lang, source, epoch::integer as epoch, n_tokens::bigint as n_tokens, place::bigint as start, least(n_tokens, target - place)::bigint as n_taken
+from ordered where place < target"""
+
+
+def _quality_sql() -> str:
+    def bucket(x: str) -> str:
+        size = f"greatest(length(bin({x})) - 6, 0)"
+        return f"case when {x} < 64 then {x} else ({x} >> {size}) << {size} end"
+
+    rows = " union all ".join(f"select lang, source, '{m}' as measure, {bucket(m)} as bucket, count(*) as n from good group by all" for m in RULES)
+    cuts = []
+    for i, keys in enumerate(("lang, source, measure", "lang, measure", "measure")):
+        cuts.append(f"""
+p{i} as (select {keys}, bucket, sum(n) as n from counts group by all),
+r{i} as (select *, sum(n) over (partition by {keys} order by bucket) as upto, sum(n) over (partition by {keys}) as total from p{i}),
+c{i} as (select {keys}, min(total) as total{i}, min(case when upto * 4 >= total then bucket end) as q25{i}, min(case when upto * 4 >= total * 3 then bucket end) as q75{i} from r{i} group by all)""")
+    pick = lambda q: f"case when total0 >= 50 then {q}0 when total1 >= 50 then {q}1 else {q}2 end"
+    limits = ", ".join(
+        f"max(case when measure = '{m}' then q75 + 3 * (q75 - q25) + {above} end) as {m}_hi, max(case when measure = '{m}' then q25 - 3 * (q75 - q25) - {below or 0} end) as {m}_lo"
+        for m, (above, below) in RULES.items()
+    )
+    failed = " or ".join(f"coalesce({m} > {m}_hi, false)" + (f" or coalesce({m} < {m}_lo, false)" if below is not None else "") for m, (_, below) in RULES.items())
+    return f"""
+with w as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, {_WORDS} as words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+grams as (select r, i, list_slice(words, i, i + 4) as g from (select r, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as c from grams) where c > 1),
+covered as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from twice) group by r),
+m as (select r, doc_id, lang, source, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+  coalesce(covered.n, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) as upper, len(lines) as n_lines
+  from w left join covered using (r)),
+measured as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_symbols * 1000 // greatest(word_chars, 1) as symbol_share,
+  (upper * 1000 // greatest(word_chars, 1))::bigint as upper_share, n_dup_lines * 1000 // greatest(n_lines, 1) as dup_line_share, word_chars * 100 // greatest(n_words, 1) as word_length from m),
+good as (select * from measured where not base_failed),
+counts as ({rows}),{",".join(cuts)},
+chosen as (select lang, source, measure, {pick("q25")} as q25, {pick("q75")} as q75 from c0 join c1 using (lang, measure) join c2 using (measure)),
+limits as (select lang, source, {limits} from chosen group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_share, upper_share, dup_line_share, word_length,
+  not (base_failed or {failed}) as kept from measured left join limits using (lang, source)"""
+
+
+_LINES_SQL = """
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+w as (select doc_id, pos, list_slice(lines, pos + 1, pos + 3) as three from (select doc_id, lines, unnest(range(0, len(lines) - 2)) as pos from d where len(lines) >= 3)
+  where regexp_matches(array_to_string(list_slice(lines, pos + 1, pos + 3), ''), '[^\\x20\\x09-\\x0D]')),
+later as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by three order by doc_id, pos) as k from w) where k > 1),
+gone as (select distinct doc_id, unnest(range(pos, pos + 3)) as p from later),
+runs as (select doc_id, count(*) as n, sum(case when q is null or p > q + 1 then 1 else 0 end) as r, list(p) as ps
+  from (select doc_id, p, lag(p) over (partition by doc_id order by p) as q from gone) group by doc_id),
+kept as (select d.doc_id, len(lines) as n_lines, coalesce(n, 0) as n_removed, coalesce(r, 0) as n_runs,
+  coalesce(array_to_string(list_filter(lines, lambda x, i: ps is null or not list_contains(ps, i - 1)), chr(10)), '') as rest from d left join runs using (doc_id))
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, n_removed::bigint as n_removed, n_runs::bigint as n_runs, length(rest)::bigint as kept_chars, sha256(rest) as kept_sha256 from kept"""
+
+
+def _license_sql() -> str:
+    def canonical(x: str) -> str:
+        out = f"regexp_replace(lower({x}), '{_license.COPYRIGHT_LINE}', chr(10), 'g')"
+        out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g') || ' '"
+        for written, one in _license.SPELLINGS:
+            out = f"replace({out}, '{_license.spaced(written)}', '{_license.spaced(one)}')"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in sorted(_license.KNOWN.items()) for text in texts)
+    return f"""
+with given(license, text) as (values {rows}),
+known as (select sha256({canonical("text")}) as digest, min(license) as license from given group by 1),
+lines as (select doc_id, sha256({canonical("line")}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where line <> ''),
+found as (select doc_id, string_agg(distinct license, ',' order by license) as names from lines join known using (digest) group by doc_id),
+whole as (select doc_id, sha256({canonical("text")}) as digest from documents)
+select w.doc_id, w.digest as text_digest, k.license as text_license, coalesce(f.names, '') as line_licenses
+from whole w left join known k using (digest) left join found f on f.doc_id = w.doc_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup,)}
+    """Every query of this subpackage by name."""
+    own = (
+        op1_source_mixing,
+        op2_minhash_near_dedup,
+        op5_token_counts,
+        op6_license_scan,
+        op7_quality_rules,
+        op8_packing,
+        op9_line_dedup,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those that SQL can express."""
+    return {
+        "op1_source_mixing": _mix_sql(),
+        "op6_license_scan": _license_sql(),
+        "op7_quality_rules": _quality_sql(),
+        "op9_line_dedup": _LINES_SQL,
+    }
