@@ -73,6 +73,11 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all other bytes as they are."""
+    return _LOWER[data]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(30))

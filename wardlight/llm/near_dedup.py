@@ -33,28 +33,31 @@ from .components import connected_components
 SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
-def _sketches(k: int, width: int):
+def _sketches(k: int, width: int, with_text: bool = False):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start, part in text_slices(texts):
                 sets = shingle_sets(part, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(start, len(part)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "set_key", "sketch"],
-                )
+                columns = [
+                    ids.slice(start, len(part)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                ]
+                names = ["doc_id", "n_shingles", "set_key", "sketch"]
+                yield pa.RecordBatch.from_arrays([*columns, part] if with_text else columns, names=[*names, "text"] if with_text else names)
 
     return run
 
 
-def sketch_table(docs: DataFrame, k: int = 128, width: int = 5) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sketch_table(docs: DataFrame, k: int = 64, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, set_key (null without words) and the bottom-k sketch of each text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketches(k, width), SKETCH)
+    return _texts(docs).mapInArrow(_sketches(k, width), SKETCH)
 
 
 def least_overlap(n: Column, k: int, percent: int) -> Column:
@@ -94,13 +97,16 @@ def _jaccard(width: int):
     return run
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
-    """(a, b, shared, n_a, n_b): sizes of both full sets and of their intersection, for every pair."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+def verify_pairs(pairs: DataFrame, sets: DataFrame, width: int = 5) -> DataFrame:
+    """(a, b, shared, n_a, n_b): sizes of both full sets and of their intersection, for every pair.
+
+    ``sets`` has rep and text; each set is read again from its text.
+    """
+    texts = sets.select("rep", "text")
     return (
         pairs.select("a", "b")
-        .join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-        .join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+        .join(texts.toDF("a", "text_a"), "a")
+        .join(texts.toDF("b", "text_b"), "b")
         .mapInArrow(_jaccard(width), "a long, b long, shared long, n_a long, n_b long")
     )
 
@@ -129,13 +135,14 @@ def _rare_lists(sets: DataFrame, need: Column) -> DataFrame:
     those that some other set has too. A set with fewer than ``need`` of them is in no list. ``after`` is
     the number of values from this one on, which bounds what is shared if none before it is.
     """
-    values = sets.select("rep", "n", F.size("values").alias("size"), F.explode("values").alias("v"))
+    values = sets.select("rep", F.explode("values").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held")
     return (
         values.join(common, "v")
-        .groupBy("rep", "n", "size")
+        .groupBy("rep")
         .agg(held, F.sum("df").alias("weight"))
+        .join(sets.select("rep", "n", F.size("values").alias("size")), "rep")
         .where(F.size("held") >= need)
         .select("rep", "n", (F.size("held") / F.col("size")).alias("share"), "weight", F.size("held").alias("c"), F.posexplode(F.slice("held", 1, F.size("held") - need + 1)).alias("pos", "x"))
         .select(F.col("x.v").alias("v"), "rep", "n", "share", "weight", (F.col("c") - F.col("pos")).alias("after"))
@@ -147,20 +154,19 @@ def _mixed(lists: DataFrame) -> DataFrame:
     return lists.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("v")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _full_sets(sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """rep, n, values: the full shingle sets of the wanted texts, read again."""
 
     def run(batches):
         for batch in batches:
             for start, part in text_slices(batch.column("text")):
-                sets = shingle_sets(part, width)
+                full = shingle_sets(part, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep").slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    [batch.column("rep").slice(start, len(part)), pa.array([len(s) for s in full], pa.int64()), pa.array(full, pa.list_(pa.int64()))],
                     names=["rep", "n", "values"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted.select("rep"), "rep", "left_semi").mapInArrow(run, "rep long, n long, values array<long>").dropDuplicates(["rep", "n"])
+    return sets.select("rep", "text").join(wanted.select("rep"), "rep", "left_semi").mapInArrow(run, "rep long, n long, values array<long>")
 
 
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +190,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 128, percent: int = 75, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     Texts are linked when 100 * shared shingles >= ``percent`` * shingles in either. A null or
@@ -199,13 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = 128, percent: int = 75, width: int
     copies = first.where("copies > 1").select("set_key", "rep")
     # One row a set: the smallest doc_id of each group of equal sets.
     rep_of = cut_lineage(named.select("doc_id", "set_key").join(copies, "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    sets = (
-        named.join(rep_of.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti")
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
-        .dropDuplicates(["rep", "n"])
-    )
-    need = least_overlap(F.col("n"), k, percent)
-    lists = cut_lineage(_rare_lists(sets.select("rep", "n", F.col("sketch").alias("values")), need))
+    others = rep_of.where("doc_id <> rep").select("doc_id").distinct()
+    lists = named.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.col("sketch").alias("values"))
+    lists = cut_lineage(_rare_lists(lists, least_overlap(F.col("n"), k, percent)).distinct())
+    # From here on only sets in some list of two or more matter; their texts move once.
+    met = lists.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("v")
+    active = lists.join(met, "v", "left_semi").select("rep").distinct()
+    sets = _texts(docs).where("text is not null").join(active.toDF("doc_id"), "doc_id", "left_semi").mapInArrow(_sketches(k, width, True), f"{SKETCH}, text string")
+    sets = cut_lineage(sets.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "text"))
     # First reading: each set against the most central member of the list that it meets most often.
     central = F.max_by("rep", F.struct("share", "weight", -F.col("rep"))).alias("hub")
     hubs = lists.groupBy("v").agg(central, F.count("*").alias("members")).where("members > 1")
@@ -218,15 +225,15 @@ def near_duplicates(docs: DataFrame, k: int = 128, percent: int = 75, width: int
         .agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
         .select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     )
-    linked = verify_pairs(_estimated(toward, sets, k, percent), docs, width)
+    linked = verify_pairs(_estimated(toward, sets, k, percent), sets, width)
     links = cut_lineage(linked.where(similar).select("a", "b"))
     parts = connected_components(links).select(F.col("node").alias("rep"), "component")
     # Second reading: sets that share a list with another component, now by their full sets.
     placed = lists.join(parts, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("part"))
     crowded = cut_lineage(placed.join(_mixed(placed), "v").select("rep", "part").distinct())
-    full = cut_lineage(_rare_lists(_full_sets(docs, crowded, width), F.ceil(F.col("n") * percent / 100).cast("int")).join(crowded, "rep").select("v", "rep", "n", "part", "after"))
+    full = cut_lineage(_rare_lists(_full_sets(sets, crowded, width), F.ceil(F.col("n") * percent / 100).cast("int")).join(crowded, "rep").select("v", "rep", "n", "part", "after"))
     pairs = _cross_pairs(full.join(_mixed(full), "v"), percent)
-    late = verify_pairs(_estimated(pairs, sets, k, percent), docs, width)
+    late = verify_pairs(_estimated(pairs, sets, k, percent), sets, width)
     roots = connected_components(links.unionByName(late.where(similar).select("a", "b")))
     component = rep_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return (
