@@ -172,19 +172,30 @@ def _full_sets(sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of one list but two components, with sizes that allow the threshold.
 
-    Components are paired before their members, so that a list within one component makes no row.
+    Members of a list and component with nearly the same size and room are paired as one bundle first, so that a
+    list within one component makes no row, and only bundles that can hold a similar pair are opened.
+    ``room`` is what a member can still share from this value on, less its own part of what two similar
+    sets share, which is percent / (100 + percent) of both sizes; it must cover the other's part.
     """
-    group = lists.groupBy("v", "part").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    x, y = group.toDF("v", "part_x", "lo_x", "hi_x"), group.toDF("v", "part_y", "lo_y", "hi_y")
-    met = x.join(y, "v").where(F.col("part_x") < F.col("part_y"))
-    met = met.where((F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent)).select("v", "part_x", "part_y")
-    members = lists.select("v", "part", "rep", "n", "after")
-    shared = (F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-6
+    share = percent / (100 + percent)
+    lists = lists.withColumn("room", F.col("after") - F.col("n") * share + 1e-6)
+    lists = lists.withColumn("ring", F.struct(F.floor(F.log("n") * 16).alias("n"), F.floor(F.col("room") / 4).alias("room")))
+    bundle = lists.groupBy("v", "part", "ring").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
+    x = bundle.toDF("v", "part_x", "ring_x", "lo_x", "hi_x", "room_x")
+    y = bundle.toDF("v", "part_y", "ring_y", "lo_y", "hi_y", "room_y")
+    met = (
+        x.join(y, "v")
+        .where(F.col("part_x") < F.col("part_y"))
+        .where((F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent))
+        .where((F.col("room_x") >= F.col("lo_y") * share) & (F.col("room_y") >= F.col("lo_x") * share))
+        .select("v", "part_x", "ring_x", "part_y", "ring_y")
+    )
+    members = lists.select("v", "part", "ring", "rep", "n", "room")
     return (
-        met.join(members.toDF("v", "part_x", "rep_x", "n_x", "after_x"), ["v", "part_x"])
-        .join(members.toDF("v", "part_y", "rep_y", "n_y", "after_y"), ["v", "part_y"])
+        met.join(members.toDF("v", "part_x", "ring_x", "rep_x", "n_x", "room_x"), ["v", "part_x", "ring_x"])
+        .join(members.toDF("v", "part_y", "ring_y", "rep_y", "n_y", "room_y"), ["v", "part_y", "ring_y"])
         .where((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-        .where((F.col("after_x") >= shared) & (F.col("after_y") >= shared))
+        .where((F.col("room_x") >= F.col("n_y") * share) & (F.col("room_y") >= F.col("n_x") * share))
         .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
         .distinct()
     )

@@ -78,13 +78,14 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(sets: list[np.ndarray], grades: np.ndarray, buckets: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.3, least: int = 5, clear: float = 4.0) -> OrdinalModel:
+def fit(sets: list[np.ndarray], grades: np.ndarray, buckets: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.3, least: int = 5, clear: float = 5.0) -> OrdinalModel:
     """Full-batch AdaGrad on the cumulative-link likelihood, grades weighted to count alike.
 
     A bucket gets a weight if ``least`` texts or more have it and, for some grade, the number of that grade's texts with it
-    is ``clear`` standard deviations or more from what chance gives.
+    is ``clear`` standard deviations or more from what chance gives. Weights are never above 0: a feature
+    counts against a text or not at all, so that neither does a short text lack praise nor a long one bury a fault in it.
     """
-    weights, cuts = np.zeros(buckets), np.array([-1.0, 0.0])
+    weights, cuts = np.zeros(buckets), np.array([-4.0, -2.0])
     if not len(sets):
         return OrdinalModel(weights.astype(np.float32), cuts)
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -118,7 +119,7 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, buckets: int, steps: int = 1
         grad_c = np.array([by_cut.sum(), by_cut[1] * np.exp(gap[1])])
         seen_w += grad_w**2
         seen_c += grad_c**2
-        weights -= rate * grad_w / np.sqrt(seen_w)
+        weights = np.minimum(weights - rate * grad_w / np.sqrt(seen_w), 0.0)
         gap -= rate * grad_c / np.sqrt(seen_c)
     return OrdinalModel(weights.astype(np.float32), np.array([gap[0], gap[0] + np.exp(gap[1])]))
 

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan as _license
+from .fingerprints import document_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_classifier import quality_classifier
 from .quality_rules import RULES, quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 TOKEN_LIMIT = 4096
@@ -55,6 +58,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that 100-byte strings which start earlier cover."""
+    return suffix_dedup(documents(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents."""
+    return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, and how much of each fits the limit."""
     return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), limit=TOKEN_LIMIT)
@@ -83,6 +96,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 # ------------------------------------------------------------------------ SQL
 
 _WS = r"[\x20\x09-\x0D]"
@@ -201,11 +219,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_source_mixing,
         op2_minhash_near_dedup,
+        op3_suffix_dedup,
+        op4_quality_classifier,
         op5_token_counts,
         op6_license_scan,
         op7_quality_rules,
         op8_packing,
         op9_line_dedup,
+        op10_fingerprints,
     )
     return {f.__name__: f for f in own}
 
