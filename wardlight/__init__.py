@@ -1,0 +1 @@
+"""Clinical-document analytics on Spark: reads, access decisions, mutations, pipelines and streams."""
