@@ -82,13 +82,15 @@ def mix(
     weights: Mapping[str, Mapping[str, int]] | None = None,
     seed: int = 1,
     piece_docs: int = 2048,
+    most_broadcast: int = 100_000,
 ) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, start, n_taken): a row for each document and epoch taken.
 
     ``start`` is the document's place in its leaf's stream of epochs and ``n_taken`` what the target has room
     for, less than n_tokens at the end only. ``weights`` gives whole numbers by level and name (default 1).
     Null lang or source count as an empty name. Documents without tokens or without doc_id are never taken;
-    repeated rows are taken each.
+    repeated rows are taken each. The leaves' targets go to every task while there are at most ``most_broadcast``
+    leaves (some 10 MB), and are joined by a shuffle beyond that.
     """
     tokens = n_words(F.coalesce(F.col("text").cast("string"), F.lit(""))) if tokens is None else tokens
     own = docs.select(
@@ -104,10 +106,12 @@ def mix(
     # Leading digits of the md5 so that a piece has about piece_docs documents.
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("docs") / piece_docs) / F.log(F.lit(16.0)))).cast("int")
     plan = leaves.join(budgets.drop("tokens"), list(LEVELS)).select(*LEVELS, "tokens", "target", digits.alias("digits"))
+    plan = cut_lineage(plan.where("target > 0"))
+    plan = F.broadcast(plan) if plan.count() <= most_broadcast else plan
     last = F.expr("cast((target - 1) div tokens as int)")
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")))
     rows = (
-        own.join(plan.where("target > 0"), list(LEVELS))
+        own.join(plan, list(LEVELS))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("mark", mark)
         .withColumn("piece", F.expr("substring(mark, 1, digits)"))

@@ -30,7 +30,7 @@ _UNITS = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 class PrefixCounter:
     """Counts at prefixes for the sentencepiece BPE model at ``path``; at most ``most`` states are kept."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
