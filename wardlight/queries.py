@@ -14,6 +14,8 @@ from .plans import analytics
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
 from .streaming import limits
+from .streaming.scaling import scaling_decisions as _scaling
+from .streaming.scaling import windowed_counts as _windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -541,6 +543,43 @@ def pipeline_metrics(get, spark, sf_dir):
     return analytics.pipeline_metrics(get("pipeline_event"))
 
 
+@_query(
+    """, d as (select seq, document_id % 3 as pool, occurred_at, sum(case type when 'DocumentUploadRequested' then 3 when 'DocumentConverted' then -1 else 0 end) over w as depth,
+     lead(occurred_at) over w as following from pipeline_event window w as (partition by document_id % 3 order by seq)),
+    b as (select *, coalesce(lag(depth) over (partition by pool order by seq), 0) as earlier from d),
+    e as (select seq, pool, depth::bigint as depth, case when depth >= 20 and earlier < 20 then 'start' when epoch_us(following) - epoch_us(occurred_at) > 36000000000 then 'stop' end as decision from b)
+    select * from e where decision is not null""",
+    "pipeline_event",
+)
+def scaling_decisions(get, spark, sf_dir):
+    kind = F.col("type")
+    step = F.when(kind == "DocumentUploadRequested", 3).when(kind == "DocumentConverted", -1).otherwise(0)
+    events = get("pipeline_event").withColumn("pool", F.expr("document_id % 3"))
+    return _scaling(events, step, "occurred_at", ["seq"], "pool", idle_s=36_000).select("seq", "pool", "depth", "decision")
+
+
+@_query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all")
+def events_by_day(get, spark, sf_dir):
+    return _windowed(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@_query("select id, 'completed' as status, document_type from document where status = 'completed' and size_bytes > 0", "document")
+def entity_composition(get, spark, sf_dir):
+    body = F.struct("id", "status", "document_type").alias("body")
+    return get("document").where("status = 'completed' and size_bytes > 0").select(body).select("body.*")
+
+
+@_query("select actor_account_id, count(*) as n, count(*) filter (action = 'error') as n_errors from audit_log group by actor_account_id", "audit_log")
+def audit_summary(get, spark, sf_dir):
+    return get("audit_log").groupBy("actor_account_id").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "error").alias("n_errors"))
+
+
+@_query("select code_id, seq, case when k > first_right then 'burned' when wrongs >= 5 then 'burned' when ok then 'accepted' else 'wrong' end as outcome from (select user_id as code_id, event_id as seq, event_type = 'purchase' as ok, row_number() over w as k, coalesce(sum(case when event_type <> 'purchase' then 1 end) over (w rows between unbounded preceding and 1 preceding), 0) as wrongs, coalesce(min(case when event_type = 'purchase' then r end) over (partition by user_id), 1000000) as first_right from (select *, row_number() over (partition by user_id order by event_id) as r from events) window w as (partition by user_id order by event_id)) x")
+def code_attempts(get, spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").selectExpr("user_id as code_id", "event_id as seq", "1.0D as after", "event_type = 'purchase' as correct")
+    return limits.code_attempts(attempts).select("code_id", "seq", "outcome")
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 

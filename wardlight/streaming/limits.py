@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW_S, ALLOWED = 60, 1
 ATTEMPTS, CODE_S = 5, 300
@@ -68,24 +69,12 @@ def stream_rate_limited(requests: DataFrame, key: str = "identity", at: str = "a
     return requests.groupBy(key).applyInPandasWithState(run, f"{key} string, {at} timestamp, allowed boolean", "began double, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def attempt_outcomes(attempts: pd.DataFrame, most: int = ATTEMPTS, life: float = CODE_S) -> pd.DataFrame:
-    """For one code: attempts (seq, after, correct) in order with 'accepted', 'wrong', 'expired', or 'burned' once it is used or spent."""
-    attempts, wrong, over, out = attempts.sort_values("seq"), 0, False, []
-    for after, correct in zip(attempts["after"], attempts["correct"], strict=True):
-        if over or wrong >= most:
-            out.append("burned")
-        elif after > life:
-            out.append("expired")
-        elif correct:
-            out.append("accepted")
-            over = True
-        else:
-            wrong += 1
-            out.append("wrong")
-    return attempts.assign(outcome=out)
-
-
-def code_attempts(attempts: DataFrame) -> DataFrame:
-    """Attempts (code_id, seq, after, correct) with ``outcome``. A code has few attempts, so a group is small."""
-    names = attempts.select("code_id", "seq", F.col("after").cast("double"), "correct")
-    return names.groupBy("code_id").applyInPandas(lambda g: attempt_outcomes(g), "code_id long, seq long, after double, correct boolean, outcome string")
+def code_attempts(attempts: DataFrame, most: int = ATTEMPTS, life: float = CODE_S) -> DataFrame:
+    """Attempts (code_id, seq, after, correct) with ``outcome``: accepted, wrong, expired, or burned once the code is used or spent."""
+    before = Window.partitionBy("code_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    in_time = F.col("after") <= life
+    wrong = F.coalesce(F.sum(F.when(in_time & ~F.col("correct"), 1)).over(before), F.lit(0))
+    out = attempts.withColumn("_wrong", wrong).withColumn("_right", F.col("correct") & in_time & (F.col("_wrong") < most))
+    used = F.coalesce(F.bool_or("_right").over(before), F.lit(False))
+    outcome = F.when(used | (F.col("_wrong") >= most), "burned").when(~in_time, "expired").when(F.col("correct"), "accepted").otherwise("wrong")
+    return out.withColumn("outcome", outcome).drop("_wrong", "_right")
