@@ -174,7 +174,7 @@ def _merge(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, windows: int = 64, fan: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, windows: int = 64, fan: int = 8) -> DataFrame:
     """The pieces (see ``PIECES``) of all texts, each followed by id 0, in sequences of at most ``length`` ids.
 
     Each id lies in exactly one piece. A null or empty text has its end id only. Repeated rows are packed each;
