@@ -78,7 +78,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(sets: list[np.ndarray], grades: np.ndarray, buckets: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.3, least: int = 5, clear: float = 5.0) -> OrdinalModel:
+def fit(sets: list[np.ndarray], grades: np.ndarray, buckets: int, steps: int = 400, l2: float = 1e-4, rate: float = 0.5, least: int = 5, clear: float = 5.0) -> OrdinalModel:
     """Full-batch AdaGrad on the cumulative-link likelihood, grades weighted to count alike.
 
     A bucket gets a weight if ``least`` texts or more have it and, for some grade, the number of that grade's texts with it
