@@ -85,3 +85,24 @@ def next_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
     """(id, next_version): one more than the largest so far, 1 for a document without versions."""
     top = versions.groupBy(F.col("document_id").alias("id")).agg(F.max("version").alias("top"))
     return documents.select("id").join(top, "id", "left").select("id", (F.coalesce("top", F.lit(0)) + 1).alias("next_version"))
+
+
+def rotate_sessions(sessions: DataFrame, refreshed: DataFrame, now: Column, life: str = "interval 30 days") -> DataFrame:
+    """Sessions (id, account_id, revoked_at, expires_at) after some are refreshed: (id, new_id) ends the old one now and begins a new one.
+
+    A session that is revoked or expired is not refreshed, and one that is asked for twice is refreshed once.
+    """
+    asked = refreshed.groupBy("id").agg(F.min("new_id").alias("new_id"))
+    marked = sessions.join(asked, "id", "left")
+    valid = F.col("new_id").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > now)
+    old = marked.withColumn("revoked_at", F.when(valid, now).otherwise(F.col("revoked_at"))).select("id", "account_id", "revoked_at", "expires_at")
+    new = marked.where(valid).select(F.col("new_id").alias("id"), "account_id", F.lit(None).cast(dict(sessions.dtypes)["revoked_at"]).alias("revoked_at"), (now + F.expr(life)).alias("expires_at"))
+    return old.unionByName(new)
+
+
+def session_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, event): sessions that a change began ('created') or ended ('revoked')."""
+    old = before.select("id", F.col("revoked_at").isNotNull().alias("was"), F.lit(True).alias("known"))
+    both = after.join(old, "id", "left")
+    event = F.when(F.col("known").isNull(), "created").when(~F.col("was") & F.col("revoked_at").isNotNull(), "revoked")
+    return both.select("id", event.alias("event")).where("event is not null")

@@ -79,3 +79,13 @@ def queue_depth(events: DataFrame, arrives: Column, leaves: Column, order: list[
 def pipeline_metrics(events: DataFrame) -> DataFrame:
     """Counts and mean values by event type."""
     return events.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_documents"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def estimated_work(queued: DataFrame, finished: DataFrame, pool: str, seconds: str) -> DataFrame:
+    """(pool, queued, mean_seconds, work_seconds): queued items times the mean time that finished ones took, rounded to 6 digits.
+
+    A pool in which nothing finished has no estimate.
+    """
+    waiting = queued.groupBy(pool).agg(F.count("*").alias("queued"))
+    mean = finished.groupBy(pool).agg(F.round(F.avg(seconds), 6).alias("mean_seconds"))
+    return waiting.join(mean, pool, "left").withColumn("work_seconds", F.round(F.col("queued") * F.col("mean_seconds"), 3))

@@ -580,6 +580,33 @@ def code_attempts(get, spark, sf_dir):
     return limits.code_attempts(attempts).select("code_id", "seq", "outcome")
 
 
+_ROTATED = "(id % 4 = 0 and revoked_at is null and expires_at > timestamp '1995-01-01 00:00:00')"
+_ROTATE_SQL = f"""r as (select id, account_id, case when {_ROTATED} then timestamp '1995-01-01 00:00:00' else revoked_at end as revoked_at, expires_at from session_row
+ union all select id + 1000000, account_id, null, timestamp '1995-01-31 00:00:00' from session_row where {_ROTATED})"""
+
+
+def _rotated(get) -> tuple[DataFrame, DataFrame]:
+    sessions = get("session_row")
+    asked = sessions.where("id % 4 = 0").selectExpr("id", "id + 1000000 as new_id")
+    return sessions, mutations.rotate_sessions(sessions, asked, F.lit("1995-01-01").cast("timestamp_ntz"))
+
+
+@_query(f", {_ROTATE_SQL} select * from r", "session_row")
+def session_rotation(get, spark, sf_dir):
+    return _rotated(get)[1]
+
+
+@_query(f", {_ROTATE_SQL} select r.id, case when s.id is null then 'created' else 'revoked' end as event from r left join session_row s on s.id = r.id where s.id is null or (s.revoked_at is null and r.revoked_at is not null)", "session_row")
+def session_events(get, spark, sf_dir):
+    return mutations.session_events(*_rotated(get))
+
+
+@_query("select document_id % 7 as pool, count(*) filter (type = 'DocumentUploadRequested') as queued, round(avg(seq) filter (type = 'DocumentConverted'), 6) as mean_seconds, round(count(*) filter (type = 'DocumentUploadRequested') * round(avg(seq) filter (type = 'DocumentConverted'), 6), 3) as work_seconds from pipeline_event group by 1", "pipeline_event")
+def estimated_work(get, spark, sf_dir):
+    events = get("pipeline_event").withColumn("pool", F.expr("document_id % 7"))
+    return analytics.estimated_work(events.where("type = 'DocumentUploadRequested'"), events.where("type = 'DocumentConverted'"), "pool", "seq")
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 
