@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WHITE, let
+from ._shared import WHITE, cut_lineage, let
 
 WIDTH = 3
 
@@ -52,6 +52,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     windows = docs.select("_id", "_key", F.explode(_windows(F.col("text"))).alias("w")).select("_id", "_key", "w.*")
     place = F.struct("_id", "_key", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
+    first = cut_lineage(first)  # so that the join below has an exchange on both sides and can be split
     later = windows.join(first, ["h1", "h2"]).where(place > F.col("first")).select("_id", "_key", "pos")
     order = Window.partitionBy("_id", "_key").orderBy("pos")
     begins = F.coalesce((F.col("pos") > F.lag("pos").over(order) + WIDTH).cast("int"), F.lit(0))
