@@ -15,7 +15,7 @@ then those from its first window up to the anchor.
    and never compares those bytes again. Equal strips come out side by side. Different strips with the same
    anchor also come out together; their windows are compared one by one.
 4. An anchor that is too frequent for one bucket (a bounded number of anchors is) is left out of the
-   buckets: its distinct windows are spread by their digests and matched by an aggregate and a join.
+   buckets: its distinct windows, each once a run, are spread by their digests and matched there.
 
 The removed spans of a document are merged, and its text is read once more to cut them out.
 """
@@ -27,8 +27,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import cut_lineage, mix64, power_table, prefix_hash, text_bytes, text_slices
 
@@ -73,65 +75,91 @@ def strips(data: np.ndarray, offsets: np.ndarray):
     return owner[first], first, last, anchor[first], hashes[anchor[first]]
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+def short_hash(hashes: np.ndarray) -> np.ndarray:
+    """48 bits of an anchor's hash. Two anchors that share them only cost a comparison of their strips."""
+    return (hashes >> np.uint64(16)).view(np.int64)
+
+
+def bucket_of(short: np.ndarray, buckets: int) -> np.ndarray:
+    return (short >> 4) % buckets
+
+
+def _six_bytes(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(blobs) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+    return np.concatenate((raw, np.zeros((len(raw), 2), dtype=np.uint8)), axis=1).view("<i8").reshape(-1).astype(np.int64)
 
 
 # ------------------------------------------------- 1. which anchors are repeated
 
 
+def _parts(batches, small: int = 2 << 20, large: int = 16 << 20):
+    """Slices of a few megabytes, and with each whether enough has come for a run (or no more comes)."""
+    size, held = 0, None
+    for batch in batches:
+        for start, part in text_slices(batch.column("text"), small):
+            if held is not None:
+                yield *held, size >= large
+                size = 0 if size >= large else size
+            held = (batch.slice(start, len(part)), part)
+            size += part.nbytes
+    if held is not None:
+        yield *held, True
+
+
 def _ask(buckets: int):
-    """For each batch and bucket: anchors seen once with their text, and those seen more often.
+    """For each run of texts and bucket: anchors seen once with their text, and those seen more often.
 
     The texts of the latter need no answer; they are sent along to any bucket.
     """
 
+    def rows_of(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, short: np.ndarray):
+        order = np.argsort(short, kind="stable")
+        owner, short = owner[order], short[order]
+        head = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
+        times = np.diff(np.concatenate((head, [len(short)])))
+        often, counts = head[times > 1], times[times > 1]
+        known = np.ones(len(short), dtype=bool)
+        known[head[times == 1]] = False
+        for kind, at in ((0, np.flatnonzero(~known)), (1, often), (2, np.flatnonzero(known))):
+            place = owner[at] % buckets if kind == 2 else bucket_of(short[at], buckets)
+            by = np.lexsort((owner[at], place))
+            edge = np.searchsorted(place[by], np.arange(buckets + 1))
+            for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                pick = by[edge[b] : edge[b + 1]]
+                mine = at[pick]
+                if kind == 1:
+                    texts = (b"", b"", b"", counts[pick].tobytes())
+                else:
+                    own, index = np.unique(owner[mine], return_inverse=True)
+                    texts = (ids[own].tobytes(), keys[own].tobytes(), index.astype(np.uint32).tobytes(), b"")
+                yield (b, kind, _six_bytes(short[mine]), *texts)
+
     def run(batches):
-        for batch in batches:
-            for start, part in text_slices(batch.column("text"), 8 << 20):
-                ids = batch.column("_id").slice(start, len(part)).to_numpy(zero_copy_only=False)
-                keys = batch.column("_key").slice(start, len(part)).to_numpy(zero_copy_only=False)
-                data, offsets = text_bytes(part)
-                owner, _, _, _, hashes = strips(data, offsets)
-                if not len(owner):
-                    continue
-                order = np.argsort(hashes, kind="stable")
-                hashes, owner = hashes[order], owner[order]
-                head = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-                times = np.diff(np.concatenate((head, [len(hashes)])))
-                once = head[times == 1]
-                often = head[times > 1]
-                known = np.ones(len(hashes), dtype=bool)
-                known[once] = False
-                rows = []
-                for kind, at, count, place in (
-                    (0, once, None, bucket_of(hashes[once], buckets)),
-                    (1, often, times[times > 1], bucket_of(hashes[often], buckets)),
-                    (2, np.flatnonzero(known), None, owner[known].astype(np.int64) % buckets),
-                ):
-                    by = np.argsort(place, kind="stable")
-                    edge = np.searchsorted(place[by], np.arange(buckets + 1))
-                    for b in range(buckets):
-                        pick = by[edge[b] : edge[b + 1]]
-                        if len(pick):
-                            mine = at[pick]
-                            blank = b""
-                            rows.append(
-                                (
-                                    b,
-                                    kind,
-                                    hashes[mine].tobytes(),
-                                    blank if kind == 1 else ids[owner[mine]].astype(np.int64).tobytes(),
-                                    blank if kind == 1 else keys[owner[mine]].astype(np.int64).tobytes(),
-                                    count[pick].astype(np.int64).tobytes() if kind == 1 else blank,
-                                )
-                            )
-                yield _arrow(rows, _ASK)
+        held: list[tuple] = []
+        before = 0
+        for batch, part, full in _parts(batches):
+            owner, _, _, _, hashes = strips(*text_bytes(part))
+            held.append((_longs(batch, "_id"), _longs(batch, "_key"), owner + before, short_hash(hashes)))
+            before += batch.num_rows
+            if full:
+                joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held.clear()
+                before = 0
+                if len(joined[2]):
+                    yield _arrow(list(rows_of(*joined)), _ASK)
 
     return run
 
 
-_ASK = {"bucket": pa.int64(), "kind": pa.int64(), "hashes": pa.binary(), "ids": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
+def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_ASK = {"bucket": pa.int64(), "kind": pa.int64(), "hashes": pa.binary(), "ids": pa.binary(), "keys": pa.binary(), "texts": pa.binary(), "counts": pa.binary()}
 _ANSWER = {"_id": pa.int64(), "_key": pa.int64(), "anchors": pa.list_(pa.int64()), "hot": pa.bool_()}
 
 
@@ -152,17 +180,25 @@ def _joined(column, dtype) -> np.ndarray:
 def _answer(most: int):
     """Texts with their repeated anchors, and the anchors that occur more than ``most`` times."""
 
+    def owners(part) -> tuple[np.ndarray, np.ndarray]:
+        ids, keys = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for row in zip(*(part.column(c).to_pylist() for c in ("ids", "keys", "texts")), strict=True):
+            at = np.frombuffer(row[2], dtype=np.uint32)
+            ids.append(np.frombuffer(row[0], dtype=np.int64)[at])
+            keys.append(np.frombuffer(row[1], dtype=np.int64)[at])
+        return np.concatenate(ids), np.concatenate(keys)
+
     def run(key, table):
-        part = {k: table.filter(pa.compute.equal(table.column("kind"), k)) for k in (0, 1, 2)}
-        once, often = _joined(part[0].column("hashes"), np.uint64), _joined(part[1].column("hashes"), np.uint64)
+        part = {k: table.filter(pc.equal(table.column("kind"), k)) for k in (0, 1, 2)}
+        once, often, known = (_from_six(part[k].column("hashes").to_pylist()) for k in (0, 1, 2))
         every = np.concatenate((once, often))
         times = np.concatenate((np.ones(len(once), dtype=np.int64), _joined(part[1].column("counts"), np.int64)))
         values, place = np.unique(every, return_inverse=True)
         total = np.bincount(place, weights=times, minlength=len(values)).astype(np.int64)
         yes = total[place[: len(once)]] > 1
-        hashes = np.concatenate((once[yes], _joined(part[2].column("hashes"), np.uint64))).view(np.int64)
-        ids = np.concatenate((_joined(part[0].column("ids"), np.int64)[yes], _joined(part[2].column("ids"), np.int64)))
-        keys = np.concatenate((_joined(part[0].column("keys"), np.int64)[yes], _joined(part[2].column("keys"), np.int64)))
+        (ids_0, keys_0), (ids_2, keys_2) = owners(part[0]), owners(part[2])
+        hashes = np.concatenate((once[yes], known))
+        ids, keys = np.concatenate((ids_0[yes], ids_2)), np.concatenate((keys_0[yes], keys_2))
         order = np.lexsort((hashes, keys, ids))
         ids, keys, hashes = ids[order], keys[order], hashes[order]
         rows = []
@@ -170,7 +206,7 @@ def _answer(most: int):
             head = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
             for a, b in zip(head, [*head[1:], len(ids)], strict=True):
                 rows.append((int(ids[a]), int(keys[a]), np.unique(hashes[a:b]), False))
-        hot = values[total > most].view(np.int64)
+        hot = values[total > most]
         if len(hot):
             rows.append((None, None, hot, True))
         return pa.Table.from_batches([_arrow(rows, _ANSWER)])
@@ -221,45 +257,53 @@ def front_code(strings: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return shared, rests
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd").compress(raw, asbytes=True)
+
+
 def _runs(buckets: int, hot: frozenset[int]):
+    def gather(entries: dict[int, list], batch: pa.RecordBatch, part: pa.Array) -> None:
+        ids, keys = batch.column("_id").to_pylist(), batch.column("_key").to_pylist()
+        data, offsets = text_bytes(part)
+        owner, first, last, anchor, hashes = strips(data, offsets)
+        edge = np.searchsorted(owner, np.arange(len(part) + 1))
+        short = short_hash(hashes)
+        pick = np.concatenate([a + np.flatnonzero(np.isin(short[a:b], w.values.to_numpy())) for a, b, w in zip(edge[:-1], edge[1:], batch.column("anchors"), strict=True)])
+        raw = data.tobytes()
+        columns = (first[pick], last[pick] + LENGTH, anchor[pick], owner[pick], short[pick], bucket_of(short[pick], buckets))
+        for p, q, a, o, h, b in zip(*(c.tolist() for c in columns), strict=True):
+            entries.setdefault(-1 if hot and h in hot else b, []).append((raw[a:q] + raw[p:a], a - p, ids[o], keys[o], p - int(offsets[o])))
+
+    def rows_of(entries: dict[int, list]):
+        spans = []
+        for b, own in entries.items():
+            own.sort()
+            kept = []
+            for e in own:
+                if kept and kept[-1][:2] == e[:2]:
+                    if kept[-1][2:] != e[2:]:  # else the same row twice
+                        spans.append((*e[2:], e[4] + len(e[0])))
+                else:
+                    kept.append(e)
+            if b >= 0:
+                shared, rests = front_code([e[0] for e in kept])
+                yield (b, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), _squeezed(b"".join(rests)))
+                continue
+            for i in range(0, len(kept), 1000):
+                some = kept[i : i + 1000]
+                text = b"".join(e[0][len(e[0]) - e[1] :] + e[0][: len(e[0]) - e[1]] for e in some)
+                yield ((some[0][2] + i) % buckets, 2, *_packed([e[2:] for e in some]), b"", b"", bytes(len(e[0]) for e in some), b"", text)
+        for i in range(0, len(spans), 20_000):
+            some = spans[i : i + 20_000]
+            yield ((some[0][0] + i) % buckets, 1, *_packed([s[:3] for s in some]), np.array([s[3] for s in some], dtype=np.int64).tobytes(), b"", b"", b"", b"")
+
     def run(batches):
-        for batch in batches:
-            for start, part in text_slices(batch.column("text"), 8 << 20):
-                ids = batch.column("_id").slice(start, len(part)).to_numpy(zero_copy_only=False)
-                keys = batch.column("_key").slice(start, len(part)).to_numpy(zero_copy_only=False)
-                wanted = batch.column("anchors").slice(start, len(part))
-                data, offsets = text_bytes(part)
-                owner, first, last, anchor, hashes = strips(data, offsets)
-                edge = np.searchsorted(owner, np.arange(len(part) + 1))
-                signed = hashes.view(np.int64)
-                pick = np.concatenate([a + np.flatnonzero(np.isin(signed[a:b], w.values.to_numpy())) for a, b, w in zip(edge[:-1], edge[1:], wanted, strict=True)])
-                raw = data.tobytes()
-                entries: dict[int, list] = {}
-                for i, b in zip(pick.tolist(), bucket_of(hashes[pick], buckets).tolist(), strict=True):
-                    p, q, a, o = int(first[i]), int(last[i]) + LENGTH, int(anchor[i]), int(owner[i])
-                    where = -1 if hot and int(signed[i]) in hot else b
-                    entries.setdefault(where, []).append((raw[a:q] + raw[p:a], a - p, int(ids[o]), int(keys[o]), p - int(offsets[o])))
-                rows, spans = [], []
-                for b, own in entries.items():
-                    own.sort()
-                    kept = []
-                    for e in own:
-                        if kept and kept[-1][:2] == e[:2]:
-                            if kept[-1][2:] != e[2:]:  # else the same row twice
-                                spans.append((*e[2:], e[4] + len(e[0])))
-                        else:
-                            kept.append(e)
-                    if b >= 0:
-                        shared, rests = front_code([e[0] for e in kept])
-                        rows.append((b, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), b"".join(rests)))
-                    elif kept:
-                        for i in range(0, len(kept), 1000):
-                            some = kept[i : i + 1000]
-                            text = b"".join(e[0][len(e[0]) - e[1] :] + e[0][: len(e[0]) - e[1]] for e in some)
-                            rows.append(((some[0][2] + i) % buckets, 2, *_packed([e[2:] for e in some]), b"", b"", bytes(len(e[0]) for e in some), b"", text))
-                for i in range(0, len(spans), 20_000):
-                    some = spans[i : i + 20_000]
-                    rows.append(((some[0][0] + i) % buckets, 1, *_packed([s[:3] for s in some]), np.array([s[3] for s in some], dtype=np.int64).tobytes(), b"", b"", b"", b""))
+        entries: dict[int, list] = {}
+        for batch, part, full in _parts(batches):
+            gather(entries, batch, part)
+            if full:
+                rows = list(rows_of(entries))
+                entries.clear()
                 if rows:
                     yield _arrow(rows, _RUN)
 
@@ -268,7 +312,12 @@ def _runs(buckets: int, hot: frozenset[int]):
 
 def _packed(places: list[tuple]) -> tuple[bytes, bytes, bytes]:
     three = np.array(places, dtype=np.int64).reshape(-1, 3)
-    return three[:, 0].tobytes(), three[:, 1].tobytes(), three[:, 2].tobytes()
+    return three[:, 0].tobytes(), three[:, 1].astype(np.int32).tobytes(), three[:, 2].astype(np.int32).tobytes()
+
+
+def _places(row: dict) -> list[list[int]]:
+    """ids, keys and starts as ``_packed`` made them."""
+    return [np.frombuffer(row[k], dtype=t).tolist() for k, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int32))]
 
 
 # ------------------------------------------------------------ 3. merging the runs
@@ -336,13 +385,14 @@ class LoserTree:
 
 
 def _unpack(row: dict) -> Run:
-    ids, keys, starts = (np.frombuffer(row[k], dtype=np.int64).tolist() for k in ("ids", "keys", "starts"))
-    rests, shared, lengths = row["rests"], row["shared"], row["lengths"]
+    places = [np.frombuffer(row[k], dtype=t) for k, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int32))]
+    shared, lengths = row["shared"], row["lengths"]
+    rests = pa.Codec("zstd").decompress(row["rests"], sum(lengths) - sum(shared), asbytes=True)
 
     def rows():
         at = 0
-        for h, n, left, *place in zip(shared, lengths, row["lefts"], ids, keys, starts, strict=True):
-            yield h, rests[at : at + n - h], (left, *place)
+        for h, n, left, *place in zip(shared, lengths, row["lefts"], *places, strict=True):
+            yield h, rests[at : at + n - h], (left, *map(int, place))
             at += n - h
 
     return Run(rows())
@@ -377,11 +427,11 @@ def _merged():
     def run(key, table):
         found: list[tuple] = []
         runs: list[Run] = []
-        for row in table.to_pylist():
+        for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
             if row["kind"] == 0:
                 runs.append(_unpack(row))
                 continue
-            ids, keys, starts = (np.frombuffer(row[k], dtype=np.int64).tolist() for k in ("ids", "keys", "starts"))
+            ids, keys, starts = _places(row)
             if row["kind"] == 1:
                 found += [(*x, None) for x in zip(ids, keys, starts, np.frombuffer(row["stops"], dtype=np.int64).tolist(), strict=True)]
             else:
@@ -418,20 +468,21 @@ def _merged():
 # ---------------------------------------------------------------- the operator
 
 
-def _cut():
-    names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+def _cut(with_bytes: bool):
+    names = {"_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    names |= {"kept": pa.binary()} if with_bytes else {}
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for doc, text, spans in zip(batch.column("_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 kept, at, removed, runs = [], 0, 0, 0
                 for start, stop in merge_spans([(s["start"], s["stop"]) for s in spans or ()]):
                     kept.append(raw[at:start])
                     removed, runs, at = removed + stop - start, runs + 1, stop
                 rest = b"".join([*kept, raw[at:]]) if spans else raw
-                rows.append((doc, len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), rest))
+                rows.append((doc, len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), *[rest] * with_bytes))
             yield _arrow(rows, names)
 
     return run
@@ -448,7 +499,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(keyed: DataFrame, bucket_bytes: int = 32 << 20, most: int = 50_000) -> DataFrame:
+def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000) -> DataFrame:
     """(_id, _key, start, stop): byte spans to remove, which may overlap.
 
     A bucket has the strips of about ``bucket_bytes`` of text; an anchor that occurs more than ``most`` times is spread by
@@ -456,33 +507,35 @@ def removed_spans(keyed: DataFrame, bucket_bytes: int = 32 << 20, most: int = 50
     """
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, math.ceil(size / bucket_bytes))
-    texts = keyed.select("_id", "_key", "text").where(F.octet_length("text") >= LENGTH)
-    answers = cut_lineage(texts.mapInArrow(_ask(buckets), _ddl(_ASK)).groupBy("bucket").applyInArrow(_answer(most), _ddl(_ANSWER)))
+    answers = cut_lineage(keyed.mapInArrow(_ask(buckets), _ddl(_ASK)).groupBy("bucket").applyInArrow(_answer(most), _ddl(_ANSWER)))
     hot = frozenset(h for r in answers.where("hot").select("anchors").collect() for h in r["anchors"])
     anchors = answers.where("not hot").groupBy("_id", "_key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    runs = texts.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets, hot), _ddl(_RUN))
-    found = cut_lineage(runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND)))
-    spread = found.where("digest is not null")
+    runs = keyed.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets, hot), _ddl(_RUN))
+    found = runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND))
+    if not hot:
+        return found.select("_id", "_key", "start", "stop")
+    # Equal strips of a run are one by now, which keeps a digest's rows few. Spans get a key of their own and meet nothing.
     place = F.struct("_id", "_key", "start")
-    first = spread.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
-    late = spread.join(first, "digest").where(place > F.col("first"))
-    return found.where("digest is null").select("_id", "_key", "start", "stop").unionByName(late.select("_id", "_key", "start", "stop"))
+    key = F.coalesce(F.hex("digest"), F.concat_ws(":", "_id", "_key", "start"))
+    found = found.withColumn("first", F.min(place).over(Window.partitionBy(key)))
+    return found.where(F.col("digest").isNull() | (place > F.col("first"))).select("_id", "_key", "start", "stop")
 
 
-def suffix_dedup(docs: DataFrame, bucket_bytes: int = 32 << 20, most: int = 50_000, with_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``; with ``with_bytes`` also the kept bytes.
 
     What is left need not be valid UTF-8, since a repeated string may begin or end inside a character. A null text counts
-    as empty. A row without doc_id comes after all others; rows that repeat a doc_id with the same
+    as empty. A row without doc_id (or with the largest long) comes after all others; rows that repeat a doc_id with the same
     text are one place and keep the same bytes, with other texts they are ordered by the text's hash.
     """
+    # The same three columns go into both joins below, so that Spark moves the texts once and reuses the exchange.
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("_key"),
+        F.hash(F.col("text").cast("string")).cast("long").alias("_key"),
         F.col("text").cast("string").alias("text"),
     )
     spans = removed_spans(keyed, bucket_bytes, most).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    made = keyed.join(spans, ["_id", "_key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(), out)
-    return made if with_bytes else made.drop("kept")
+    out = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    made = keyed.join(spans, ["_id", "_key"], "left").select("_id", "text", "spans").mapInArrow(_cut(with_bytes), out)
+    doc_id = F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id")
+    return made.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes)
