@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import cut_lineage, mix64, power_table, prefix_hash, text_bytes, text_slices
+from ._shared import mix64, power_table, prefix_hash, text_bytes, text_slices, written
 
 LENGTH = 100
 ANCHOR = 32
@@ -228,7 +228,8 @@ _RUN = {
     "lefts": pa.binary(),
     "rests": pa.binary(),
 }
-_FOUND = {"_id": pa.int64(), "_key": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "digest": pa.binary()}
+_FOUND = {"_id": pa.int64(), "_key": pa.int64(), "start": pa.int64(), "stop": pa.int64()}
+_WINDOW = {"_id": pa.int64(), "_key": pa.int64(), "start": pa.int64(), "digest": pa.binary()}
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -293,6 +294,7 @@ def _runs(buckets: int, hot: frozenset[int]):
                 some = kept[i : i + 1000]
                 text = b"".join(e[0][len(e[0]) - e[1] :] + e[0][: len(e[0]) - e[1]] for e in some)
                 yield ((some[0][2] + i) % buckets, 2, *_packed([e[2:] for e in some]), b"", b"", bytes(len(e[0]) for e in some), b"", text)
+        spans = merged_places(spans)
         for i in range(0, len(spans), 20_000):
             some = spans[i : i + 20_000]
             yield ((some[0][0] + i) % buckets, 1, *_packed([s[:3] for s in some]), np.array([s[3] for s in some], dtype=np.int64).tobytes(), b"", b"", b"", b"")
@@ -310,6 +312,17 @@ def _runs(buckets: int, hot: frozenset[int]):
     return run
 
 
+def merged_places(spans: list[tuple]) -> list[tuple]:
+    """(id, key, start, stop) with those of one document that meet or overlap made one."""
+    out: list[tuple] = []
+    for doc, key, start, stop in sorted(spans):
+        if out and out[-1][:2] == (doc, key) and start <= out[-1][3]:
+            out[-1] = (doc, key, out[-1][2], max(stop, out[-1][3]))
+        else:
+            out.append((doc, key, start, stop))
+    return out
+
+
 def _packed(places: list[tuple]) -> tuple[bytes, bytes, bytes]:
     three = np.array(places, dtype=np.int64).reshape(-1, 3)
     return three[:, 0].tobytes(), three[:, 1].astype(np.int32).tobytes(), three[:, 2].astype(np.int32).tobytes()
@@ -417,29 +430,24 @@ def _same_anchor(group: list[tuple[bytes, tuple]], found: list) -> None:
             if first[w] < (doc, key, start + i):
                 open_at = i if open_at is None else open_at
             elif open_at is not None:
-                found.append((doc, key, start + open_at, start + i - 1 + LENGTH, None))
+                found.append((doc, key, start + open_at, start + i - 1 + LENGTH))
                 open_at = None
         if open_at is not None:
-            found.append((doc, key, start + open_at, start + len(own) - 1 + LENGTH, None))
+            found.append((doc, key, start + open_at, start + len(own) - 1 + LENGTH))
 
 
 def _merged():
+    """Spans found by merging a bucket's runs, and those that its rows carry."""
+
     def run(key, table):
         found: list[tuple] = []
         runs: list[Run] = []
+        table = table.filter(pc.less(table.column("kind"), 2))
         for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
             if row["kind"] == 0:
                 runs.append(_unpack(row))
-                continue
-            ids, keys, starts = _places(row)
-            if row["kind"] == 1:
-                found += [(*x, None) for x in zip(ids, keys, starts, np.frombuffer(row["stops"], dtype=np.int64).tolist(), strict=True)]
             else:
-                at = 0
-                for doc, k, start, n in zip(ids, keys, starts, row["lengths"], strict=True):
-                    text = row["rests"][at : at + n]
-                    at += n
-                    found += [(doc, k, start + i, start + i + LENGTH, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest()) for i in range(n - LENGTH + 1)]
+                found += zip(*_places(row), np.frombuffer(row["stops"], dtype=np.int64).tolist(), strict=True)
         group: list[tuple[bytes, tuple]] = []  # distinct strips of one anchor, each with its first place
         seen: dict[int, int] = {}  # among those equal to the last string: by length of the left part
         for shared, string, place in LoserTree(runs) if runs else ():
@@ -457,10 +465,27 @@ def _merged():
                 one, two = sorted((group[at][1], place), key=lambda x: x[1:])
                 group[at] = (string, one)
                 if one[1:] != two[1:]:
-                    found.append((*two[1:], two[3] + len(string), None))
+                    found.append((*two[1:], two[3] + len(string)))
         if len(group) > 1:
             _same_anchor(group, found)
-        return pa.Table.from_batches([_arrow(found, _FOUND)])
+        return pa.Table.from_batches([_arrow(merged_places(found), _FOUND)])
+
+    return run
+
+
+def _hot_windows():
+    """(_id, _key, start, digest) of every window that the rows of hot anchors carry."""
+
+    def run(key, table):
+        rows: list[tuple] = []
+        table = table.filter(pc.equal(table.column("kind"), 2))
+        for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
+            at = 0
+            for doc, k, start, n in zip(*_places(row), row["lengths"], strict=True):
+                text = row["rests"][at : at + n]
+                at += n
+                rows += [(doc, k, start + i, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest()) for i in range(n - LENGTH + 1)]
+        return pa.Table.from_batches([_arrow(rows, _WINDOW)])
 
     return run
 
@@ -507,18 +532,21 @@ def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50
     """
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, math.ceil(size / bucket_bytes))
-    answers = cut_lineage(keyed.mapInArrow(_ask(buckets), _ddl(_ASK)).groupBy("bucket").applyInArrow(_answer(most), _ddl(_ANSWER)))
+    # Counting takes less memory a strip than merging does, and fewer buckets leave fewer rows a text.
+    counted = max(8, buckets // 4)
+    answers = written(keyed.mapInArrow(_ask(counted), _ddl(_ASK)).groupBy("bucket").applyInArrow(_answer(most), _ddl(_ANSWER)))
     hot = frozenset(h for r in answers.where("hot").select("anchors").collect() for h in r["anchors"])
     anchors = answers.where("not hot").groupBy("_id", "_key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
     runs = keyed.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets, hot), _ddl(_RUN))
     found = runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND))
     if not hot:
-        return found.select("_id", "_key", "start", "stop")
-    # Equal strips of a run are one by now, which keeps a digest's rows few. Spans get a key of their own and meet nothing.
+        return found
+    # The exchange of the runs is read a second time; spans stay out of the shuffle by digests. Equal strips of
+    # a run are one by now, which keeps a digest's rows few.
+    windows = runs.groupBy("bucket").applyInArrow(_hot_windows(), _ddl(_WINDOW))
     place = F.struct("_id", "_key", "start")
-    key = F.coalesce(F.hex("digest"), F.concat_ws(":", "_id", "_key", "start"))
-    found = found.withColumn("first", F.min(place).over(Window.partitionBy(key)))
-    return found.where(F.col("digest").isNull() | (place > F.col("first"))).select("_id", "_key", "start", "stop")
+    later = windows.withColumn("first", F.min(place).over(Window.partitionBy("digest"))).where(place > F.col("first"))
+    return found.unionByName(later.select("_id", "_key", "start", (F.col("start") + LENGTH).alias("stop")))
 
 
 def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, with_bytes: bool = False) -> DataFrame:
