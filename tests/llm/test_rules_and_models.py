@@ -101,3 +101,25 @@ def test_classifier_odd_tables(make_docs, spark):
     assert quality_classifier(make_docs(ODD), labels.where("false")).count() == len(ODD)
     assert quality_classifier(make_docs([]), labels).collect() == []
     assert fit([], np.empty(0, dtype=np.int64), 128).weights.shape == (128,)
+
+
+def test_rights_notice_is_found(make_docs):
+    rows = [
+        (1, "Some text of its own.\nAll rights reserved."),
+        (2, "All rights reserved."),
+        (3, "Copyright (c) 2020 X\n\n  ALL RIGHTS RESERVED\n"),
+        (4, "Copyright (c) 2020 X\n...\n"),
+        (5, "All rights reserved by the author of the other text"),
+        (6, ls.KNOWN["MIT"][-1] + "\nAll rights reserved."),
+        (7, None),
+    ]
+    got = {r["doc_id"]: (r["text_license"], r["line_licenses"]) for r in ls.license_scan(make_docs(rows)).collect()}
+    assert got == {
+        1: (None, "proprietary"),
+        2: ("proprietary", "proprietary"),
+        3: ("proprietary", "proprietary"),
+        4: (None, ""),
+        5: (None, ""),
+        6: ("MIT", "proprietary"),
+        7: (None, ""),
+    }

@@ -10,6 +10,7 @@ it is sent to every task, so neither texts nor lines are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -83,8 +84,16 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved. Unauthorized copying is prohibited.",),
 }
 
-#: A line that holds a copyright statement and nothing else of the licence.
+#: Known texts that the SQL of the query does not have.
+NOTICES: dict[str, tuple[str, ...]] = {"proprietary": ("All rights reserved.",)}
+
+#: As the SQL of the query has it: takes the line after 'all rights reserved' too.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved[ \t.]*(\n|$))[^\n]*"
+#: 'All rights reserved' as a line among others, and as all there is.
+RIGHTS_LINE = r"(?i)(^|\n)[ \t]*all rights reserved[ \t\r.]*(\n|\z)"
+RIGHTS_ONLY = r"(?i)\A[ \t]*all rights reserved[ \t\r.]*\z"
+RIGHTS_DIGEST = hashlib.sha256(b"all rights reserved").hexdigest()
+EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 
 
 def spaced(words: str) -> str:
@@ -102,31 +111,40 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.regexp_replace(out, " +", " "))
 
 
-def known_digests(spark, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts."""
-    rows = [(name, text) for name, texts in sorted(known.items()) for text in texts]
+def line_digest(line: Column) -> Column:
+    """The digest of a line that is not null; 'all rights reserved' alone is a notice of its own."""
+    # Not nullable, or the join would compute it once more to drop nulls.
+    return F.when(line.rlike(RIGHTS_ONLY), RIGHTS_DIGEST).otherwise(F.coalesce(F.sha2(canonical(line), 256), F.lit("")))
+
+
+def known_digests(spark, known: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(digest, license) of the known texts: KNOWN and NOTICES where none are given."""
+    tables = [KNOWN, NOTICES] if known is None else [known]
+    rows = [(name, text) for table in tables for name, texts in sorted(table.items()) for text in texts]
     table = spark.createDataFrame(rows, "license string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return table.select(line_digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, most_broadcast: int = 50_000) -> DataFrame:
     """(doc_id, text_digest, text_license, line_licenses): a row for each row of ``docs``.
 
     ``text_license`` is the licence that the whole text is, ``line_licenses`` the distinct ones that whole lines
-    are, sorted and joined by commas ('' if none). A text that normalises to nothing is no licence; a null text has a null
+    are, sorted and joined by commas ('' if none). Lines 'all rights reserved' are left out of a text with other words,
+    and are a proprietary notice as a line and as a text without other words. A text that otherwise normalises to nothing is no licence; a null text has a null
     digest. Rows that repeat a doc_id get the licences of all of them; a row without doc_id gets those of its text only.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
+    known = known.where(F.col("digest") != EMPTY_DIGEST)
     known = F.broadcast(known) if known.count() <= most_broadcast else known
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0))).alias("line"))
     found = (
-        lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+        lines.select("doc_id", line_digest(F.col("line")).alias("digest"))
         .join(known, "digest")
         .groupBy("doc_id")
         .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     )
-    digest = F.sha2(canonical(text), 256)
-    whole = docs.select("doc_id", digest.alias("text_digest")).join(known.withColumnsRenamed({"digest": "text_digest", "license": "text_license"}), "text_digest", "left")
+    whole = docs.select("doc_id", F.sha2(canonical(text), 256).alias("_d"), text.rlike(RIGHTS_LINE).alias("_notice"))
+    digest = F.when((F.col("_d") == EMPTY_DIGEST) & F.col("_notice"), RIGHTS_DIGEST).otherwise(F.col("_d"))
+    whole = whole.select("doc_id", digest.alias("text_digest")).join(known.withColumnsRenamed({"digest": "text_digest", "license": "text_license"}), "text_digest", "left")
     return whole.join(found, "doc_id", "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
