@@ -123,3 +123,11 @@ def test_rights_notice_is_found(make_docs):
         6: ("MIT", "proprietary"),
         7: (None, ""),
     }
+
+
+def test_line_after_the_rights_notice_counts(make_docs):
+    head, body = "Copyright (c) 2020 X\nAll rights reserved.\n", ls.KNOWN["MIT"][-1].split("\n\n", 1)[1]
+    isc = ls.KNOWN["ISC"][-1]
+    rows = [(1, head + isc), (2, head + "No licence is given.\n" + isc), (3, head.replace("\n", "\r\n") + isc.replace("\n", "\r\n")), (4, head + "MIT License\n" + body), (5, head + "Some other text.")]
+    got = {r["doc_id"]: r["text_license"] for r in ls.license_scan(make_docs(rows)).collect()}
+    assert got == {1: "ISC", 2: None, 3: "ISC", 4: "MIT", 5: None}

@@ -89,6 +89,8 @@ NOTICES: dict[str, tuple[str, ...]] = {"proprietary": ("All rights reserved.",)}
 
 #: As the SQL of the query has it: takes the line after 'all rights reserved' too.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved[ \t.]*(\n|$))[^\n]*"
+#: A line that holds a copyright statement or 'all rights reserved', without the line break after it.
+STATEMENT_LINE = r"(^|\n)[ \t]*(?:(?:copyright|\(c\)|©)[^\n]*|all rights reserved[ \t\r.]*(?=\n|\z))"
 #: 'All rights reserved' as a line among others, and as all there is.
 RIGHTS_LINE = r"(?i)(^|\n)[ \t]*all rights reserved[ \t\r.]*(\n|\z)"
 RIGHTS_ONLY = r"(?i)\A[ \t]*all rights reserved[ \t\r.]*\z"
@@ -103,7 +105,7 @@ def spaced(words: str) -> str:
 
 def canonical(text: Column) -> Column:
     """The normalised form of a text; null stays null."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), STATEMENT_LINE, "\n")
     # Two spaces between words, so that neighbours can both be replaced.
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  "), F.lit(" "))
     for written, one in SPELLINGS:
