@@ -168,3 +168,21 @@ def test_mixing_takes_prefixes(make_docs):
             at = start + n
         assert sum(taken < n for _, n, taken, _, _ in own) <= 1
     assert mix(make_docs([]), domain).collect() == []
+
+
+def test_text_without_spaces_in_bounded_memory():
+    import sentencepiece
+    import tracemalloc
+
+    model, own, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), PrefixCounter(PIECES), random.Random(2)
+    mixed = "".join(r.choice(["日", "本", "語", "th", "er", "e", "tion", "0", "é", "YWJj", ";"]) for _ in range(60_000))[:100_000]
+    for text in (mixed, "\n" + "日本語の文" * 20_000, "a" * 100_000):
+        want = len(model.encode(text))
+        tracemalloc.start()
+        got = own.total(text), own.longest_prefix(text, want // 2)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got[0] == want
+        assert len(model.encode(text[: got[1]])) <= want // 2 < len(model.encode(text[: got[1] + 1]))
+        assert peak < 20 << 20
+    assert max(map(len, [*own.states, *own.counts])) <= 40

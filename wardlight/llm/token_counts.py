@@ -7,14 +7,17 @@ ends before it. The counts of all prefixes of a text come out of one pass, witho
 encoding any of them.
 
 Pieces of the model never go on after a word's end (a space begins a new piece, a line break is a byte of its own),
-so the programme runs once for each word: its states, one a prefix, are kept in a trie that all words of
-a task share, bounded in size. A document's store is then the running count at the words' ends, and the trie
-answers inside a word.
+so the programme runs once for each word. The states of short words, one a prefix, are kept in a trie that all words of
+a task share, bounded in size. A longer one (a text without spaces, a minified line) is passed once with
+only the states that a token can reach back to, and nothing of it is kept. A document's store is then the running count at
+the words' ends, and another pass answers inside a word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -23,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Characters of the longest unit whose states and count are kept.
+SHORT = 32
 #: A word with the spaces before it; a line break, with the word right after it; spaces at the end.
 _UNITS = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 
 
 class PrefixCounter:
-    """Counts at prefixes for the sentencepiece BPE model at ``path``; at most ``most`` states are kept."""
+    """Counts at prefixes for the sentencepiece BPE model at ``path``; at most ``most`` states of short words are kept."""
 
     def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
@@ -66,8 +71,36 @@ class PrefixCounter:
         self.follows[before, token] = out
         return out
 
+    def passed(self, unit: str) -> Iterator[int]:
+        """The count at each prefix of a unit of any length, ' ' written as the piece space; keeps ``longest`` states."""
+        longest, score, follows = self.longest, self.score, self.follows
+        near = [(0, "")] * longest  # the state of the first n characters is at n modulo longest
+        for end in range(1, len(unit) + 1):
+            for size in range(min(longest, end), 0, -1):
+                token = unit[end - size : end]
+                if token in score:
+                    count, last = near[(end - size) % longest]
+                    if (ok := follows.get((last, token))) is None:
+                        ok = self.can_follow(last, token)
+                    if ok:
+                        now = count + 1, token
+                        break
+            else:
+                now = near[(end - 1) % longest][0] + len(unit[end - 1].encode()), ""
+            near[end % longest] = now
+            yield now[0]
+
+    def count(self, unit: str) -> int:
+        """The count of a whole word, ' ' written as the piece space."""
+        if len(unit) <= SHORT:
+            return self.state(unit)[0]
+        count = 0
+        for count in self.passed(unit):
+            pass
+        return count
+
     def state(self, unit: str) -> tuple[int, str]:
-        """(count, last token) of a prefix within one word, ' ' written as the piece space."""
+        """(count, last token) of a short prefix within one word, ' ' written as the piece space."""
         states = self.states
         known = len(unit)
         while unit[:known] not in states:
@@ -110,21 +143,23 @@ class PrefixCounter:
         """The token count of every prefix of a text, the empty one first."""
         out, base = [0], 0
         for unit in self.store(text)[0]:
-            out += [base + self.inside(unit, i) for i in range(1, len(unit) + 1)]
+            out += [base + n for n in self.inside(unit)[1:]]
             base = out[-1]
         return [0, *out[2:]] if text else [0]  # without the space that the model puts in front
 
-    def inside(self, unit: str, n: int) -> int:
-        """Tokens of the first n characters of a unit."""
+    def inside(self, unit: str) -> array:
+        """Tokens of every prefix of a unit, the empty one first."""
         broken = unit[0] == "\n"
-        return broken + self.state(unit[broken:n].replace(" ", SPACE))[0]
+        out = array("q", [0, 1] if broken else [0])
+        out.extend(broken + n for n in self.passed(unit[broken:].replace(" ", SPACE)))
+        return out
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
         done = at = 0
         for unit, upto in zip(*self.store(text), strict=True):
             if upto > budget:
-                best = max((n for n in range(len(unit)) if done + (self.inside(unit, n) if n else 0) <= budget), default=0)
+                best = max((n for n, count in enumerate(self.inside(unit)) if done + count <= budget), default=0)
                 return max(at + best - 1, 0)
             done, at = upto, at + len(unit)
         return len(text)
@@ -146,10 +181,11 @@ class _Counts(dict):
         if len(self) >= self.counter.most:
             self.clear()
         if unit[:1] == "\n":
-            count = 1 + self.counter.state(unit[1:])[0]
+            count = 1 + self.counter.count(unit[1:])
         else:
-            count = self.counter.state(unit.replace(" ", SPACE) if unit[:1] == " " else SPACE + unit)[0]
-        self[unit] = count
+            count = self.counter.count(unit.replace(" ", SPACE) if unit[:1] == " " else SPACE + unit)
+        if len(unit) <= SHORT:
+            self[unit] = count
         return count
 
 
