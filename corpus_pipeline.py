@@ -34,9 +34,14 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; one row of repeated ones."""
+    """One document of each near-duplicate group, the one with the smallest doc_id, and all rows without doc_id.
+
+    Of rows with the same doc_id the first by text (null last), lang, source and n_chars is left.
+    """
     classes = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = F.min(F.struct(F.col("text").isNull().alias("empty"), *[c for c in COLUMNS if c != "doc_id"])).alias("r")
+    named = docs.join(classes, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "r.*").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,10 @@ def test_stages_on_odd_documents(spark, make_docs):
         docs = make_docs(rows).select(*cp.COLUMNS)
         for _, stage in cp.STAGES:
             stage(spark, docs, DIR).collect()
+
+
+def test_near_dedup_keeps_rows_without_id_and_the_first_of_an_id(spark, make_docs):
+    rows = [(None, "no id"), (None, None), (1, "zz other words"), (1, "aa some words"), (1, None), (2, None)]
+    docs = make_docs(rows).select(*cp.COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, DIR).collect()]
+    assert sorted(got, key=str) == sorted([(None, "no id"), (None, None), (1, "aa some words"), (2, None)], key=str)
