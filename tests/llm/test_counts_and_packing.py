@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.llm import fingerprints as fp
+from wardlight.llm import token_counts as tc
 from wardlight.llm.mixing import leaf_budgets, mix
 from wardlight.llm.packing import pack
 from wardlight.llm.token_counts import PrefixCounter, token_counts
@@ -30,10 +32,38 @@ def test_prefix_counts_are_the_library_s():
     for _ in range(600):
         text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
         want = [len(model.encode(text[:i])) for i in range(len(text) + 1)]
-        assert own.total(text) == want[-1]
-        assert own.prefix_counts(text) == want
+        steps = own.store(text)
+        assert tc.counts(steps).tolist() == want
         for budget in (0, 1, 4):
-            assert own.longest_prefix(text, budget) == max(i for i, n in enumerate(want) if n <= budget)
+            assert tc.longest_prefix(steps, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_pairs_that_can_follow_are_those_of_plain_encoding():
+    own, r = PrefixCounter(PIECES), random.Random(2)
+    pieces = [p for p in own.rank if len(p) > 1]
+    runs = [p for p in pieces if not p.strip("▁")]
+    pairs = [(r.choice(pieces), r.choice(pieces)) for _ in range(3000)] + [(a, b) for a in ["▁", *runs] for b in [*runs, "▁the"]]
+    pairs += [(p[:i], p[i:]) for p in r.sample(pieces, 400) for i in range(1, len(p)) if p[:i] in own.rank and p[i:] in own.rank]
+    for a, b in pairs:
+        parts = list(a + b)
+        own.merge(parts)
+        assert own.can_follow(a, b) == (parts == [a, b])
+
+
+@pytest.mark.parametrize("kind", ["base64", "cjk", "letters", "spaces"])
+def test_a_million_characters_without_a_space(kind):
+    import sentencepiece
+
+    r = random.Random(3)
+    one = {"base64": lambda: r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), "cjk": lambda: chr(r.randrange(0x4E00, 0x9FFF)), "letters": lambda: "ab"[r.random() < 0.5], "spaces": lambda: " "}[kind]
+    text = "".join(one() for _ in range(1_000_000 if kind != "spaces" else 100_000))
+    own = PrefixCounter(PIECES)
+    tracemalloc.start()
+    steps = own.store(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # of Python objects; the text itself is made before
+    assert int(steps.sum(dtype=np.int64)) == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text))
 
 
 def test_token_counts(make_docs):
@@ -46,7 +76,12 @@ def test_token_counts(make_docs):
     assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"]) for g in got) == want
     for g in got:
         assert g["over_limit"] == (g["n_tokens"] > 50)
-        assert g["n_tokens"] == (g["unit_tokens"] or [0])[-1]
+    text = {r[0]: r[1] or "" for r in ODD}
+    at = token_counts(make_docs(ODD), PIECES).where("doc_id is not null").select("doc_id", "prefix_steps", tc.tokens_at(F.col("prefix_steps"), 7).alias("seven"), tc.tokens_at(F.col("prefix_steps"), 0).alias("none")).collect()
+    for g in at:
+        own = text[g["doc_id"]]
+        assert (g["seven"], g["none"]) == (len(model.encode(own[:7])), 0)
+        assert tc.counts(np.frombuffer(g["prefix_steps"], dtype=np.int8))[len(own) // 2] == len(model.encode(own[: len(own) // 2]))
     assert token_counts(make_docs([]), PIECES).collect() == []
 
 
