@@ -1,13 +1,16 @@
 """Quality rules, licence scan and classifier on small and odd tables."""
 
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wardlight.llm import license_scan as ls
-from wardlight.llm.quality_classifier import fit, quality_classifier, score, train
+from wardlight.llm import quality_classifier as qc
+from wardlight.llm.quality_classifier import quality_classifier, score, train
 from wardlight.llm.quality_rules import bucket, quality_rules
 
 from .conftest import ODD, prose
@@ -95,12 +98,102 @@ def test_classifier_held_out(make_docs, spark):
         assert r["expected_grade"] == pytest.approx(r["p_good"] + r["p_above_toxic"])
 
 
+def _ratings(seed, texts=40, columns=12):
+    r = np.random.default_rng(seed)
+    pairs = [(i, c) for i in range(texts) for c in range(columns) if r.random() < 0.4]
+    rows, cols = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
+    return qc.Ratings(rows, cols, r.random(len(rows)), r.integers(0, 3, texts))
+
+
+def brute_loss(own, weights, gap):
+    """The weighted negative log likelihood, text by text."""
+    cuts, total = (gap[0], gap[0] + math.exp(gap[1])), 0.0
+    counts = [list(own.grades).count(j) for j in range(3)]
+    for i, g in enumerate(own.grades):
+        s = sum(weights[c] * (x if weights[c] > 0 else 1) for r, c, x in zip(own.rows, own.columns, own.shares, strict=True) if r == i)
+        below = [0, *(1 / (1 + math.exp(s - t)) for t in cuts), 1]
+        total -= math.log(below[g + 1] - below[g]) * len(own.grades) / (counts[g] * sum(c > 0 for c in counts))
+    return total / len(own.grades)
+
+
+def test_slopes_are_those_of_the_loss():
+    own, r = _ratings(1), np.random.default_rng(2)
+    weights, gap, step = r.normal(size=12), np.array([-0.7, 0.4]), 1e-5
+    assert own.loss(weights, gap) == pytest.approx(brute_loss(own, weights, gap))
+    fault, praise, by_cut = own.slopes(weights, gap)
+    for c in range(12):
+        way = np.eye(12)[c] * step
+        want = (brute_loss(own, weights + way, gap) - brute_loss(own, weights - way, gap)) / (2 * step)
+        assert (praise if weights[c] > 0 else fault)[c] == pytest.approx(want, abs=1e-6)
+    for j in range(2):
+        way = np.eye(2)[j] * step
+        assert by_cut[j] == pytest.approx((brute_loss(own, weights, gap + way) - brute_loss(own, weights, gap - way)) / (2 * step), abs=1e-6)
+
+
+def test_fit_is_as_good_as_a_plain_search():
+    own = _ratings(3, texts=120)
+    columns = own.columns + qc._FORMS
+    grades = np.where(np.isin(np.arange(120), own.rows[own.columns == 0]), 0, own.grades)  # column 0 tells
+    own = qc.Ratings(own.rows, columns, own.shares, grades)
+    size = qc._FORMS + 12
+    use = qc.telling(own, size)
+    model = qc.fit(own, size, steps=3000)
+    assert set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(use))
+    one = int(np.flatnonzero(use)[0])
+
+    def loss(x):
+        w = np.zeros(size)
+        w[one] = x[0]
+        return own.loss(w, np.array(x[1:])) + 0.5e-4 * x[0] ** 2
+
+    assert np.count_nonzero(use) == 1
+    best, step = [0.0, -2.0, math.log(2.0)], 1.0
+    while step > 1e-4:  # one coordinate after the other
+        tries = [[b + d * (k == j) for k, b in enumerate(best)] for j in range(3) for d in (-step, step)]
+        least = min(tries, key=loss)
+        best, step = (least, step) if loss(least) < loss(best) else (best, step / 2)
+    cuts = model.thresholds
+    assert loss([float(model.weights[one]), cuts[0], math.log(cuts[1] - cuts[0])]) == pytest.approx(loss(best), abs=2e-3)
+
+
+def test_scores_are_those_of_single_texts(make_docs, spark):
+    docs, labels = _labelled(make_docs, spark)
+    model = train(docs, labels, buckets=1 << 14)
+    texts = [prose(900 + i, 3 + i) + (" nasty" if i % 2 else "") for i in range(20)] + ["Ab " * 50, "x%% " * 9]
+    many = model.scores(*qc.features(pa.array(texts), 1 << 14))
+    for t, s in zip(texts, many, strict=True):
+        (n,), _, bucket = qc.features(pa.array([t]), 1 << 14)
+        weights = model.weights.astype(float)
+        want = sum(weights[b] for b in set(bucket.tolist()) if b < qc._FORMS or weights[b] < 0)
+        want += sum(max(weights[b], 0) for b in bucket.tolist() if b >= qc._FORMS) * qc.PRAISE / ((n + qc.PRIOR) * 3)
+        assert s == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_wordless_texts_are_not_kept_and_grades_rank(make_docs, spark):
+    docs, labels = _labelled(make_docs, spark)
+    model = train(docs, labels.where("doc_id % 5 < 3"), buckets=1 << 14)
+    odd = {r["doc_id"]: r for r in score(make_docs([(1, None), (2, ""), (3, " \n\t"), (4, "zq")]), model).collect()}
+    for i in (1, 2, 3):
+        assert (odd[i]["score"], odd[i]["expected_grade"], odd[i]["p_good"], odd[i]["kept"]) == (None, 0, 0, False)
+    got = score(docs, model).where("doc_id % 5 >= 3").collect()
+    assert max(r["p_good"] for r in got) > odd[4]["p_good"] > 0
+    good = [r["expected_grade"] for r in got if r["doc_id"] % 4 in (0, 3)]
+    bad = [r["expected_grade"] for r in got if r["doc_id"] % 4 in (1, 2)]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.99
+
+
+def test_repeated_rows_do_not_pass_the_bound(make_docs, spark):
+    docs = make_docs([(1, prose(1, 20))] * 30 + [(1, "another text"), (2, prose(2, 20)), (3, prose(3, 20))])
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 1, 2, 3)], "doc_id long, quality int, toxic int")
+    assert qc.rated_texts(docs, labels, 10).count() == 3
+    assert qc.rated_texts(docs, labels, 2).count() == 2
+
+
 def test_classifier_odd_tables(make_docs, spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, None, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality_classifier(make_docs(ODD), labels).count() == len(ODD)
     assert quality_classifier(make_docs(ODD), labels.where("false")).count() == len(ODD)
     assert quality_classifier(make_docs([]), labels).collect() == []
-    assert fit([], np.empty(0, dtype=np.int64), 128).weights.shape == (128,)
 
 
 def test_rights_notice_is_found(make_docs):

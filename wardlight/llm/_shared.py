@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,40 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, or a temporary one where none is set."""
+    """The folder for checkpoints: the cluster's own, or a temporary one where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wardlight-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardlight-"))
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``taken`` has them (in any case of letters)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it without its history."""
     shared_checkpoint_dir(df.sparkSession)
@@ -33,7 +61,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller on disk than a checkpoint where rows are many and short."""
-    path = f"{shared_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -98,14 +126,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+#: Bytes that are hashed at a time; a longer text is taken in blocks, so that memory beside it stays bounded.
+BLOCK = 4 << 20
+
+
 def power_table(n: int, kind: str = "up") -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse) modulo 2**64."""
+    """The first n powers of the hash base (or of its inverse) modulo 2**64; those of a block are kept."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 32 << 20:
+        if n <= BLOCK + 4096:
             _powers[kind] = have
     return have[:n]
 
@@ -117,22 +149,49 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """Hash, text number, start and end of every word in a slice of texts, in order."""
-    data = _LOWER[data] if lower else data
+def _word_blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK):
+    """(start, stop) of consecutive blocks that no word crosses: they end before white space or at a text's end."""
+    start = 0
+    while len(data) - start > size:
+        stop = start + size
+        end = int(offsets[np.searchsorted(offsets, stop)])
+        while stop < end:
+            white = np.flatnonzero(_IS_SPACE[data[stop : min(stop + 65536, end)]])
+            if len(white):
+                stop += int(white[0])
+                break
+            stop = min(stop + 65536, end)
+        yield start, stop
+        start = stop
+    yield start, len(data)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()):
+    """Hashes, text number, start and end of every word (A-Z in lower case) in a slice of texts, in order.
+
+    The hashes are a list: those of whole words, then for each of ``stems`` those of their first bytes.
+    """
+    found = [_block_words(data[a:b], a, offsets, stems) for a, b in _word_blocks(data, offsets)]
+    hashes = [np.concatenate(x) for x in zip(*(f[0] for f in found), strict=True)]
+    return hashes, *(np.concatenate(x) for x in zip(*(f[1:] for f in found), strict=True))
+
+
+def _block_words(data: np.ndarray, at: int, offsets: np.ndarray, stems: tuple[int, ...]):
+    data = _LOWER[data]
     inside = np.concatenate(([False], ~_IS_SPACE[data], [False]))
     first = inside[1:] & ~inside[:-1]
     last = inside[:-1] & ~inside[1:]
-    bounds = offsets[1:-1]
-    bounds = bounds[(bounds > 0) & (bounds < len(data))]
+    bounds = offsets[np.searchsorted(offsets, at, side="right") : np.searchsorted(offsets, at + len(data))] - at
     cut = bounds[inside[bounds] & inside[bounds + 1]]  # a word never crosses into the next text
     first[cut] = True
     last[cut] = True
     starts, ends = np.flatnonzero(first[: len(data)]), np.flatnonzero(last)
-    sums = prefix_hash(data)
-    hashes = mix64((sums[ends] - sums[starts]) * power_table(len(data) + 1, "down")[starts] + (ends - starts).astype(np.uint64))
-    owner = np.searchsorted(offsets, starts, side="right") - 1
-    return hashes, owner, starts, ends
+    sums, down = prefix_hash(data), power_table(len(data) + 1, "down")[starts]
+    hashes = [mix64((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64))]
+    for size in stems:
+        hashes.append(mix64((sums[np.minimum(starts + size, ends)] - sums[starts]) * down + np.uint64(1000 + size)))
+    owner = np.searchsorted(offsets, starts + at, side="right") - 1
+    return hashes, owner, starts + at, ends + at
 
 
 _WEIGHTS = mix64(np.arange(11, 16, dtype=np.uint64))
@@ -144,7 +203,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     A text with fewer words has its whole sequence as one shingle; one without words has none.
     """
     data, offsets = text_bytes(column)
-    hashes, owner, _, _ = words_of(data, offsets)
+    (hashes,), owner, _, _ = words_of(data, offsets)
     weights = np.resize(_WEIGHTS, width)
     n = max(len(hashes) - width + 1, 0)
     rolled = np.full(n, np.uint64(width))
