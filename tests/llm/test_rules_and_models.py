@@ -1,7 +1,9 @@
 """Quality rules, licence scan and classifier on small and odd tables."""
 
 import math
+import os
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +62,13 @@ def test_bucket_error(spark):
         assert b <= v and v - b <= v / 32
 
 
+def full(name, title=0):
+    titles, body = ls.FULL[name]
+    return "\n\n".join(filter(None, (titles[title], *body)))
+
+
 def test_license_scan(make_docs):
-    mit = ls.KNOWN["MIT"][-1]
+    mit = full("MIT")
     shouted = "Copyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ").replace("\n\n", "\n") + "\n(c) 2021 Another"
     rows = ODD + [(20, mit), (21, shouted), (22, mit + " and more"), (23, "text\nlicenced under the APACHE Licence, version 2.0\nmore"), (24, "Licensed under CC BY-NC 4.0."), (25, "Copyright 2020")]
     got = {r["doc_id"]: (r["text_license"], r["line_licenses"]) for r in ls.license_scan(make_docs(rows)).collect() if r["doc_id"] is not None}
@@ -73,6 +80,40 @@ def test_license_scan(make_docs):
     assert ls.license_scan(make_docs([])).collect() == []
 
 
+def test_wrapped_licences_are_found(make_docs):
+    rows, want = [], {}
+    for i, name in enumerate(sorted(ls.FULL)):
+        for j, width in enumerate((20, 35, 60, 72, 79)):
+            doc = 10 * i + j
+            text = "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in full(name, j % len(ls.FULL[name][0])).split("\n\n"))
+            head = ("", "Copyright (c) 2019, Some Body\nAll rights reserved.\n", "Copyright © 2020 X. All rights reserved.\r\n", "(c) 2001 by A\n(c) 2002 by B\n\n", " * Copyright 2020 The Authors\n")[j]
+            rows.append((doc, head + re.sub(r"\blicense", "licence" if j % 2 else "license", text).replace('"', "“" if j == 3 else '"')))
+            want[doc] = name
+    assert any(line.startswith("copyright notice") for _, t in rows for line in t.split("\n"))
+    got = {r["doc_id"]: r["text_license"] for r in ls.license_scan(make_docs(rows)).collect()}
+    assert got == want
+
+
+def test_longer_licences_are_found(make_docs):
+    folder, files = "/usr/share/common-licenses", {"GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-3.0": "LGPL-3", "Artistic-1.0-Perl": "Artistic", "BSD-3-Clause-UC": "BSD"}
+    if not os.path.isdir(folder):
+        pytest.skip("the copies are not here")
+    names = sorted(ls.DIGESTS)
+    rows = []
+    for i, name in enumerate(names):
+        with open(f"{folder}/{files.get(name, name)}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        rows += [(2 * i, text), (2 * i + 1, re.sub(r"[ \t]+", " ", text).upper())]
+    got = {r["doc_id"]: r["text_license"] for r in ls.license_scan(make_docs(rows)).collect()}
+    assert got == {k: names[k // 2] for k in range(2 * len(names))}
+
+
+@pytest.mark.parametrize("line", ["(c) You must retain the notices", "copyright notice, this list of conditions", "copyright holders be liable", "Copyright law", "All rights reserved by them"])
+def test_ordinary_lines_are_no_statements(make_docs, line):
+    got = {r["doc_id"]: r["text_digest"] for r in ls.license_scan(make_docs([(1, f"some text\n{line}"), (2, "some text")])).collect()}
+    assert got[1] != got[2]
+
+
 def _labelled(make_docs, spark, n=400):
     rows, labels = [], []
     for i in range(n):
@@ -203,7 +244,7 @@ def test_rights_notice_is_found(make_docs):
         (3, "Copyright (c) 2020 X\n\n  ALL RIGHTS RESERVED\n"),
         (4, "Copyright (c) 2020 X\n...\n"),
         (5, "All rights reserved by the author of the other text"),
-        (6, ls.KNOWN["MIT"][-1] + "\nAll rights reserved."),
+        (6, full("MIT") + "\nAll rights reserved."),
         (7, None),
     ]
     got = {r["doc_id"]: (r["text_license"], r["line_licenses"]) for r in ls.license_scan(make_docs(rows)).collect()}
@@ -219,8 +260,8 @@ def test_rights_notice_is_found(make_docs):
 
 
 def test_line_after_the_rights_notice_counts(make_docs):
-    head, body = "Copyright (c) 2020 X\nAll rights reserved.\n", ls.KNOWN["MIT"][-1].split("\n\n", 1)[1]
-    isc = ls.KNOWN["ISC"][-1]
+    head, body = "Copyright (c) 2020 X\nAll rights reserved.\n", full("MIT")
+    isc = full("ISC", 1)
     rows = [(1, head + isc), (2, head + "No licence is given.\n" + isc), (3, head.replace("\n", "\r\n") + isc.replace("\n", "\r\n")), (4, head + "MIT License\n" + body), (5, head + "Some other text.")]
     got = {r["doc_id"]: r["text_license"] for r in ls.license_scan(make_docs(rows)).collect()}
     assert got == {1: "ISC", 2: None, 3: "ISC", 4: "MIT", 5: None}

@@ -194,24 +194,34 @@ kept as (select d.doc_id, len(lines) as n_lines, coalesce(n, 0) as n_removed, co
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, n_removed::bigint as n_removed, n_runs::bigint as n_runs, length(rest)::bigint as kept_chars, sha256(rest) as kept_sha256 from kept"""
 
 
-def _license_sql() -> str:
-    def canonical(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{_license.COPYRIGHT_LINE}', chr(10), 'g')"
-        out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g') || ' '"
-        for written, one in _license.SPELLINGS:
-            out = f"replace({out}, '{_license.spaced(written)}', '{_license.spaced(one)}')"
-        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+_LICENSE_SQL = """
+with given(license, text) as (values {texts}),
+listed(license, digest) as (values {digests}),
+spelled(word, other) as (values ('https', 'http'), ('licence', 'license'), ('licenced', 'licensed'), ('licences', 'licenses'), ('sublicence', 'sublicense'),
+  ('acknowledgement', 'acknowledgment'), ('merchantibility', 'merchantability'), ('v2', 'version 2'), ('v3', 'version 3'), ('favour', 'favor'), ('authorised', 'authorized'),
+  ('organisation', 'organization'), ('initialise', 'initialize'), ('behaviour', 'behavior'), ('whilst', 'while'), ('wilful', 'willful')),
+spelling as (select map_from_entries(list((word, other))) as m from spelled),
+raw as (select row_number() over () as r, doc_id, text, null as license from documents union all select -row_number() over (), null, text, license from given),
+cut as (select r, unnest(string_split(lower(text), chr(10))) as line, generate_subscripts(string_split(lower(text), chr(10)), 1) as k from raw),
+said as (select r, k, regexp_extract_all(line, '[\\p{{L}}\\p{{N}}\\p{{M}}]+') as words from cut
+  where not regexp_matches(line, '^[ \\t*#/;%<!-]*(portions )?(copyright[ \\t:,-]*(\\(c\\)|©|&copy;|(19|20)[0-9][0-9]|by |[<\\[{{(] ?(year|yyyy))|©|&copy;|\\(c\\)[ \\t,-]*(copyright|(19|20)[0-9][0-9]|[<\\[{{] ?(year|yyyy)))')),
+own as (select r, k, ' ' || array_to_string(list_transform(words, lambda w: coalesce(replace(m[w], ' ', '  '), w)), '  ') || ' ' as words from said, spelling where len(words) > 0),
+whole as (select r, string_agg(words, '' order by k) filter (words <> ' all  rights  reserved ') as words, count(*) as n from own group by r),
+phrased as (select 'line' as kind, r, words from own union all select 'text', r, coalesce(words, case when n > 0 then ' all  rights  reserved ' end) from whole),
+clean as (select kind, r, trim(replace(replace(replace(replace(replace(replace(words, ' sub  license ', ' sublicense '), ' non  commercial ', ' noncommercial '),
+  ' per  cent ', ' percent '), ' version  2  0 ', ' version  2 '), ' version  3  0 ', ' version  3 '), '  ', ' ')) as words from phrased),
+known as (select digest, min(license) as license from (select sha256(c.words) as digest, w.license from clean c join raw w using (r) where c.kind = 'text' and c.r < 0 union all select digest, license from listed) group by digest),
+found as (select w.doc_id, string_agg(distinct k.license, ',' order by k.license) as names from clean c join raw w using (r) join known k on k.digest = sha256(c.words) where c.kind = 'line' and c.r > 0 and w.doc_id is not null group by w.doc_id)
+select w.doc_id, case when w.text is not null then sha256(coalesce(c.words, '')) end as text_digest, k.license as text_license, coalesce(f.names, '') as line_licenses
+from raw w left join clean c on c.r = w.r and c.kind = 'text' left join known k on k.digest = sha256(c.words) left join found f on f.doc_id = w.doc_id where w.r > 0"""
+
 
+def _license_sql() -> str:
+    """The texts and digests are those that the query is given; the rest is the SQL's own."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in sorted(_license.KNOWN.items()) for text in texts)
-    return f"""
-with given(license, text) as (values {rows}),
-known as (select sha256({canonical("text")}) as digest, min(license) as license from given group by 1),
-lines as (select doc_id, sha256({canonical("line")}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where line <> ''),
-found as (select doc_id, string_agg(distinct license, ',' order by license) as names from lines join known using (digest) group by doc_id),
-whole as (select doc_id, sha256({canonical("text")}) as digest from documents)
-select w.doc_id, w.digest as text_digest, k.license as text_license, coalesce(f.names, '') as line_licenses
-from whole w left join known k using (digest) left join found f on f.doc_id = w.doc_id"""
+    texts = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in _license.known_texts())
+    digests = ", ".join(f"({quote(name)}, '{digest}')" for name, digest in sorted(_license.DIGESTS.items()))
+    return _LICENSE_SQL.format(texts=texts, digests=digests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
