@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import fingerprints as fp
 from wardlight.llm import token_counts as tc
 from wardlight.llm.mixing import leaf_budgets, mix
-from wardlight.llm.packing import pack
+from wardlight.llm.packing import encoder, pack
 from wardlight.llm.token_counts import PrefixCounter, token_counts
 
 from .conftest import ODD, prose
@@ -22,6 +22,7 @@ from .conftest import ODD, prose
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def test_prefix_counts_are_the_library_s():
@@ -85,12 +86,23 @@ def test_token_counts(make_docs):
     assert token_counts(make_docs([]), PIECES).collect() == []
 
 
-def test_packing_is_a_round_trip(make_docs):
+def test_ranks_give_the_ids_of_the_tokenizer():
+    plain, fast, r = encoder(BYTES), encoder(BYTES, RANKS), random.Random(4)
+    parts = ["a", "The ", "  ", "\n\n", "é", "日本", "\t", "0123", "<|endoftext|>", "😀", "\x00", "don't", "'LL", "\u2028", "_x_", "ß"]
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(15)))
+        assert plain(text).tolist() == fast(text).tolist()
+    with pytest.raises(ValueError):
+        encoder(BYTES, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@pytest.mark.parametrize("ranks", [None, public_tokenizers.path("byte_bpe_50k.tiktoken")])
+def test_packing_is_a_round_trip(make_docs, ranks):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTES)
     rows = [r for r in ODD if r[0] is not None and r[0] != 6] + [(20 + i, prose(i, 7 * i % 400)) for i in range(80)] + [(200, "a <|endoftext|> b")]
-    got = pack(make_docs(rows).repartition(5), BYTES, length=256, windows=4, fan=2).collect()
+    got = pack(make_docs(rows).repartition(5), BYTES, length=256, windows=4, fan=2, ranks=ranks).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for g in got:
         pieces[g["doc_id"]].append(g)
@@ -214,10 +226,11 @@ def test_text_without_spaces_in_bounded_memory():
     for text in (mixed, "\n" + "日本語の文" * 20_000, "a" * 100_000):
         want = len(model.encode(text))
         tracemalloc.start()
-        got = own.total(text), own.longest_prefix(text, want // 2)
+        steps = own.store(text)
+        got = int(steps.sum(dtype=np.int64)), tc.longest_prefix(steps, want // 2)
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert got[0] == want
         assert len(model.encode(text[: got[1]])) <= want // 2 < len(model.encode(text[: got[1] + 1]))
         assert peak < 20 << 20
-    assert max(map(len, [*own.states, *own.counts])) <= 40
+    assert max(map(len, own.steps), default=0) <= tc.SHORT

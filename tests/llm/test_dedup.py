@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wardlight.llm import _shared as shared
 from wardlight.llm import suffix_dedup as sd
 from wardlight.llm.components import connected_components
 from wardlight.llm.line_dedup import line_dedup
-from wardlight.llm.near_dedup import near_duplicates
+from wardlight.llm.near_dedup import _cross_pairs, near_duplicates
 
 from .conftest import ODD, prose
 
@@ -73,6 +76,42 @@ def test_near_duplicates_with_tiny_sketches(make_docs):
     assert got == {k: v[1] for k, v in brute_classes(rows).items()}
 
 
+def test_near_duplicates_with_whole_sets(make_docs):
+    rows = near_rows()
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows), k=None).collect() if r["doc_id"] is not None}
+    assert got == {k: v[1] for k, v in brute_classes(rows).items()}
+
+
+def test_pairs_of_one_list(spark):
+    """The pairs that sizes and positions allow, of members at the ends of the bounds, against all pairs."""
+    r, rows = random.Random(8), []
+    for v in range(6):
+        for i in range(40):
+            n = r.choice([1, 2, 3, 4, 7, 8, 30, 31, 40, 41, 75, 100, 133, 134])
+            rows.append((v, 1000 * v + i, n, r.randrange(12), r.randrange(1, n + 1)))
+    share, want = 75 / 175, set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and min(a[2], b[2]) * 100 >= max(a[2], b[2]) * 75:
+                if all(x[4] + 1e-6 >= (x[2] + y[2]) * share for x, y in ((a, b), (b, a))):
+                    want.add((a[1], b[1]))
+    lists = spark.createDataFrame(rows, "v long, rep long, n long, part long, after int")
+    assert {tuple(p) for p in _cross_pairs(lists, 75).collect()} == want and want
+
+
+def test_a_common_passage_without_links_takes_linear_time(spark):
+    """16,000 documents share four fifths of their shingles and no two are similar."""
+    common = prose(4000, 84)
+    rows = [(i, f"{common} " + " ".join(f"w{i}x{j}" for j in range(20)), "en", "src0", None, None) for i in range(16_000)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    seconds = []
+    for part in (docs.where("doc_id < 2000"), docs):
+        began = time.time()
+        assert part.count() == near_duplicates(part).where("kept and component_id = doc_id").count()
+        seconds.append(time.time() - began)
+    assert seconds[1] < 4 * seconds[0] + 20  # eight times the documents; all pairs would be 64 times
+
+
 def test_near_duplicates_of_nothing(make_docs):
     assert near_duplicates(make_docs([])).collect() == []
 
@@ -109,7 +148,7 @@ def suffix_rows():
     return rows + [(95, "ab" * 300), (96, "x" * 99), (97, "x" * 100), (98, "x" * 101), (99, "é" * 130 + "y")]
 
 
-@pytest.mark.parametrize("options", [{}, {"most": 2, "bucket_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"most": 2, "bucket_bytes": 2000}, {"most": 0, "bucket_bytes": 2000}])
 def test_suffix_dedup(make_docs, options):
     rows = suffix_rows()
     got = sorted((tuple(r) for r in sd.suffix_dedup(make_docs(rows), **options).collect()), key=str)
@@ -117,6 +156,21 @@ def test_suffix_dedup(make_docs, options):
     assert sum(g[2] for g in got) > 2000
 
 
+def test_long_texts_are_taken_in_blocks(make_docs, monkeypatch):
+    """Blocks of 1000 bytes give what whole texts give: suffixes, words and features."""
+    rows = [(1, prose(1, 900)), (2, "x" * 5000 + prose(1, 300)), (3, prose(2, 50)), (4, ""), (5, "é" * 700), (6, " " * 2500), (7, None)]
+    texts = pa.array([r[1] for r in rows], pa.string())
+    data, offsets = shared.text_bytes(texts)
+    whole = [shared.shingle_sets(texts), shared.words_of(data, offsets, (4,)), sd.strips(data, offsets)]
+    monkeypatch.setattr(sd, "BLOCK", 1000)
+    monkeypatch.setattr(shared._word_blocks, "__defaults__", (1000,))
+    assert len(list(shared._word_blocks(data, offsets))) > 8
+    cut = [shared.shingle_sets(texts), shared.words_of(data, offsets, (4,)), sd.strips(data, offsets)]
+    assert all((a == b).all() for a, b in zip(whole[0], cut[0], strict=True))
+    assert all((a == b).all() for a, b in zip([*whole[1][0], *whole[1][1:]], [*cut[1][0], *cut[1][1:]], strict=True))
+    assert sum(whole[2][2] - whole[2][1] + 1) == sum(cut[2][2] - cut[2][1] + 1) and set(whole[2][4]) == set(cut[2][4])
+
+
 def test_suffix_dedup_of_nothing(make_docs):
     assert sd.suffix_dedup(make_docs([])).collect() == []
 
@@ -168,3 +222,14 @@ def test_line_dedup(make_docs):
     assert got.columns[:2] == ["doc_id", "lang"] and "kept" in got.columns
     assert line_dedup(make_docs([])).collect() == []
     assert line_dedup(make_docs(rows)).where("n_removed > 0").agg(F.sum("n_runs")).first()[0] == 5
+
+
+def test_line_dedup_keeps_columns_with_any_name(make_docs):
+    rows = [(20, "a\nb\nc\nd"), (21, "x\na\nb\nc\nd"), (None, None)]
+    names = ["_id", "_KEY", "runs", "_runs", "w", "h1", "pos", "a.b", "first"]
+    docs = make_docs(rows)
+    got = line_dedup(docs.select("*", *[F.lit("mine").alias(n) for n in names]))
+    assert [c for c in got.columns if c in names] == names
+    assert all(r[n] == "mine" for r in got.collect() for n in names)
+    key = lambda r: str((r["doc_id"], r["text"], r["n_removed"]))
+    assert sorted(map(key, got.collect())) == sorted(map(key, line_dedup(docs).collect()))

@@ -1,11 +1,16 @@
 """The pipeline stage by stage against brute force, and the SQL-expressible operators against DuckDB."""
 
+import collections
 import os
+import re
 import sys
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from wardlight.llm import queries as q
@@ -43,8 +48,15 @@ def test_stages(spark, tmp_path):
         assert tuple(kept[name][1].columns) == cp.COLUMNS
     texts = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
+    def by_sql(name, table):
+        con = duckdb.connect()
+        con.register("given", table.toArrow())
+        con.sql("create view documents as select * from given")
+        return con.sql(q.oracle_sql()[name])
+
     before, after = kept["quality rules"]
-    assert 0 < before.count() - after.count() < before.count() / 2
+    want = [r[0] for r in by_sql("op7_quality_rules", before).filter("kept").select("doc_id").fetchall()]
+    assert sorted(i for i, _ in texts(after)) == sorted(want) and 0 < len(want) < before.count()
 
     before, after = kept["line dedup"]
     want = [(i, t) for i, t, n, gone in brute_lines(texts(before)) if gone < n or not gone]
@@ -56,12 +68,21 @@ def test_stages(spark, tmp_path):
 
     before, after = kept["source mixing"]
     known = dict(texts(before))
-    assert all(known[i] == t for i, t in texts(after)) and after.count() > 0
+    taken = by_sql("op1_source_mixing", before).select("doc_id, n_tokens, n_taken").fetchall()
+    want = [(i, known[i] if got == n else re.match(rf"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){{{got}}}", known[i])[0]) for i, n, got in taken]
+    assert sorted(texts(after)) == sorted(want)
+    assert any(got < n for _, n, got in taken) and after.where("n_chars <> length(text)").count() == 0
 
     before, after = kept["packing"]
-    ends = after.groupBy("doc_id").agg(F.sum("length").alias("n")).count()
-    assert ends == before.select("doc_id").distinct().count()
-    assert after.agg(F.sum("length")).first()[0] == after.select("doc_id", "start", "length", "doc_tokens").where("start + length = doc_tokens").agg(F.sum("doc_tokens")).first()[0]
+    tokenizer = Tokenizer.from_file(q.tokenizer_file("byte_bpe_50k.json"))
+    ids = [(i, [*tokenizer.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts(before)]
+    want = collections.Counter((i, len(x)) for i, x in ids)
+    assert collections.Counter((r[0], r[1]) for r in after.where("start = 0").select("doc_id", "doc_tokens").collect()) == want
+    first = {(i, len(x)): x for i, x in ids}
+    for r in after.collect():
+        part = np.array(first[r["doc_id"], r["doc_tokens"]][r["start"] : r["start"] + r["length"]], dtype="<u4")
+        assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+    assert after.agg(F.sum("length")).first()[0] == sum(len(x) for _, x in ids)
 
 
 def test_stages_on_odd_documents(spark, make_docs):
@@ -78,3 +99,12 @@ def test_near_dedup_keeps_rows_without_id_and_the_first_of_an_id(spark, make_doc
     docs = make_docs(rows).select(*cp.COLUMNS)
     got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, DIR).collect()]
     assert sorted(got, key=str) == sorted([(None, "no id"), (None, None), (1, "aa some words"), (2, None)], key=str)
+
+
+def test_mixing_takes_repeated_rows_each(spark, make_docs):
+    rows = [(1, "one two three", "en", "src0")] * 3 + [(1, "another text here now", "en", "src0"), (2, "a b", "en", "src0"), (None, "no id", "en", "src0")]
+    docs = make_docs(rows).select(*cp.COLUMNS)
+    want = q.mix(docs, q.domain_of(), percent=q.MIX_PERCENT, max_epochs=q.MIX_EPOCHS, weights=q.MIX_WEIGHTS, seed=q.MIX_SEED).collect()
+    got = cp.mix_sources(spark, docs, DIR).collect()
+    assert len(got) == len(want) and {r["doc_id"] for r in got} <= {1, 2}
+    assert sum(len(r["text"].split()) for r in got) == sum(r["n_taken"] for r in want)

@@ -56,6 +56,18 @@ def test_rules_on_nothing_and_clashes(make_docs, spark):
     assert dict(quality_rules(docs, keep_text=True).dtypes)["n_words"] == "bigint"
 
 
+def test_rules_keep_columns_with_any_name(make_docs):
+    docs = make_docs(ODD)
+    names = ["_lang", "_source", "_words", "_LINES", "_upper", "_symbol_share_hi", "a.b", "kept", "_w", "_l", "_u"]
+    own = docs.select("doc_id", "text", "lang", "source", *[F.lit("mine").alias(n) for n in names])
+    got = quality_rules(own, keep_text=True)
+    assert [c for c in got.columns if c in names] == [n for n in names if n != "kept"] + ["kept"]
+    rows = got.drop("kept").collect()
+    assert len(rows) == len(ODD) and all(r[n] == "mine" for r in rows for n in names if n != "kept")
+    key = lambda r: str((r["doc_id"], r["kept"], r["n_words"]))
+    assert sorted(map(key, got.collect())) == sorted(map(key, quality_rules(docs).collect()))
+
+
 def test_bucket_error(spark):
     values = [0, 1, 63, 64, 65, 1000, 123456, 2**40 + 12345]
     for v, b in spark.createDataFrame([(v,) for v in values], "v long").select("v", bucket(F.col("v"))).collect():

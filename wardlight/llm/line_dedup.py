@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WHITE, cut_lineage, let
+from ._shared import WHITE, cut_lineage, fresh, let, quoted
 
 WIDTH = 3
 
@@ -68,19 +68,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     don't count. A row without doc_id comes after all others. Rows that repeat a doc_id with the same
     text are one place and stay alike; with another text they are ordered by its hash.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_runs")]
+    ident, key, found = fresh(docs.columns, "_id", "_key", "_runs")
     keyed = docs.select(
-        *own,
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"),
-        F.xxhash64("text").alias("_key"),
+        *map(quoted, own),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(ident),
+        F.xxhash64("text").alias(key),
     )
-    runs = repeated_runs(keyed.select("_id", "_key", "text"))
-    joined = keyed.join(runs, ["_id", "_key"], "left")
-    removed = F.aggregate("runs", F.lit(0), lambda a, r: a + r["stop"] - r["start"])
+    runs = repeated_runs(keyed.select(F.col(ident).alias("_id"), F.col(key).alias("_key"), "text")).toDF(ident, key, found)
+    joined = keyed.join(runs, [ident, key], "left")
+    removed = F.aggregate(found, F.lit(0), lambda a, r: a + r["stop"] - r["start"])
     return joined.select(
-        *[c for c in own if c != "text"],
-        F.when(F.col("runs").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("runs"))).alias("text"),
+        *[quoted(c) for c in own if c.lower() != "text"],
+        F.when(F.col(found).isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col(found))).alias("text"),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
+        F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_runs"),
     )

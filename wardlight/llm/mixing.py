@@ -37,6 +37,11 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.size(F.split(bare, SPACE_RE))).otherwise(0).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
 def share_out(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     """Adds ``granted``: each parent's ``budget`` divided among its children by ``weight`` up to their ``offer``.
 
@@ -83,9 +88,12 @@ def mix(
     seed: int = 1,
     piece_docs: int = 2048,
     most_broadcast: int = 100_000,
+    key: Column | None = None,
 ) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, start, n_taken): a row for each document and epoch taken.
 
+    With ``key``, a number that tells rows of one doc_id apart, there is a last column of that name.
+
     ``start`` is the document's place in its leaf's stream of epochs and ``n_taken`` what the target has room
     for, less than n_tokens at the end only. ``weights`` gives whole numbers by level and name (default 1).
     Null lang or source count as an empty name. Documents without tokens or without doc_id are never taken;
@@ -99,6 +107,7 @@ def mix(
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         tokens.alias("n_tokens"),
+        (F.lit(0) if key is None else key).cast("long").alias("key"),
     )
     own = cut_lineage(own.where("doc_id is not null and n_tokens > 0"))
     leaves = cut_lineage(own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
@@ -115,15 +124,15 @@ def mix(
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("mark", mark)
         .withColumn("piece", F.expr("substring(mark, 1, digits)"))
-        .select("doc_id", *LEVELS, "n_tokens", "tokens", "target", "epoch", "mark", "piece")
+        .select("doc_id", *LEVELS, "n_tokens", "key", "tokens", "target", "epoch", "mark", "piece")
     )
     keys = [*LEVELS, "epoch"]
     whole = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy(*keys, "piece").agg(F.sum("n_tokens").alias("n")).select(*keys, "piece", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*keys, "piece").orderBy("mark", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "piece").orderBy("mark", "doc_id", "n_tokens", "key").rowsBetween(Window.unboundedPreceding, -1)
     started = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offset, [*keys, "piece"])
     return (
         started.withColumn("start", F.col("epoch") * F.col("tokens") + F.col("offset") + F.col("inside"))
         .where("start < target")
-        .select("doc_id", *LEVELS, "epoch", "n_tokens", "start", F.least("n_tokens", F.col("target") - F.col("start")).alias("n_taken"))
+        .select("doc_id", *LEVELS, "epoch", "n_tokens", "start", F.least("n_tokens", F.col("target") - F.col("start")).alias("n_taken"), *["key"] * (key is not None))
     )

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import cut_lineage, shingle_sets, text_slices
 from .components import connected_components
 
+#: A sketch size that no set has.
+WHOLE = 1 << 30
 SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
@@ -172,43 +174,51 @@ def _full_sets(sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of one list but two components, with sizes that allow the threshold.
 
-    Members of a list and component with nearly the same size and room are paired as one bundle first, so that a
-    list within one component makes no row, and only bundles that can hold a similar pair are opened.
-    ``room`` is what a member can still share from this value on, less its own part of what two similar
-    sets share, which is percent / (100 + percent) of both sizes; it must cover the other's part.
+    ``reach`` is the largest set that can still be similar to a member if no value before this one is shared: what two
+    similar sets share is percent / (100 + percent) of both sizes. The smaller of a pair must reach the larger and so
+    more than its own size, so members that do not are only ever the larger one: a list of documents with a common passage but
+    nothing else has no smaller one at all. Members are bundled by component and ring of sizes, so that a list within one
+    component makes no row; bundles meet by list and ring, which is an ordinary join by key, and only those that can hold a
+    similar pair are opened.
     """
     share = percent / (100 + percent)
-    lists = lists.withColumn("room", F.col("after") - F.col("n") * share + 1e-6)
-    lists = lists.withColumn("ring", F.struct(F.floor(F.log("n") * 16).alias("n"), F.floor(F.col("room") / 4).alias("room")))
-    bundle = lists.groupBy("v", "part", "ring").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
-    x = bundle.toDF("v", "part_x", "ring_x", "lo_x", "hi_x", "room_x")
-    y = bundle.toDF("v", "part_y", "ring_y", "lo_y", "hi_y", "room_y")
+    ring = lambda n: F.floor(F.log(n) * 16).cast("int")
+    lists = lists.withColumn("reach", (F.col("after") - F.col("n") * share + 1e-6) / share).withColumn("ring", ring(F.col("n")))
+    lists = lists.withColumn("band", F.floor(F.col("reach") * 8 / F.col("n")).cast("int")).where(F.col("reach") * 100 >= F.col("n") * percent)
+    bundle = lists.groupBy("v", "part", "ring", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"))
+    small = bundle.where("reach >= lo").toDF("v", "part_y", "ring_y", "band_y", "lo_y", "hi_y", "reach_y")
+    large = bundle.toDF("v", "part_x", "ring_x", "band_x", "lo_x", "hi_x", "reach_x")
+    large = large.withColumn("ring_y", F.explode(F.sequence(ring(F.col("lo_x") * (percent / 100) - 1e-6), ring(F.least("hi_x", "reach_x") + 1e-6))))
     met = (
-        x.join(y, "v")
-        .where(F.col("part_x") < F.col("part_y"))
-        .where((F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent))
-        .where((F.col("room_x") >= F.col("lo_y") * share) & (F.col("room_y") >= F.col("lo_x") * share))
-        .select("v", "part_x", "ring_x", "part_y", "ring_y")
+        large.join(small, ["v", "ring_y"])
+        .where(F.col("part_x") != F.col("part_y"))
+        .where((F.col("hi_y") * 100 >= F.col("lo_x") * percent) & (F.col("lo_y") <= F.col("hi_x")))
+        .where((F.col("reach_x") >= F.col("lo_y")) & (F.col("reach_y") >= F.col("lo_x")))
+        .select("v", "part_x", "ring_x", "band_x", "part_y", "ring_y", "band_y")
     )
-    members = lists.select("v", "part", "ring", "rep", "n", "room")
+    members = lists.select("v", "part", "ring", "band", "rep", "n", "reach")
+    of = lambda side: members.toDF("v", *[f"{c}_{side}" for c in ("part", "ring", "band", "rep", "n", "reach")])
     return (
-        met.join(members.toDF("v", "part_x", "ring_x", "rep_x", "n_x", "room_x"), ["v", "part_x", "ring_x"])
-        .join(members.toDF("v", "part_y", "ring_y", "rep_y", "n_y", "room_y"), ["v", "part_y", "ring_y"])
-        .where((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-        .where((F.col("room_x") >= F.col("n_y") * share) & (F.col("room_y") >= F.col("n_x") * share))
+        met.join(of("x"), ["v", "part_x", "ring_x", "band_x"])
+        .join(of("y"), ["v", "part_y", "ring_y", "band_y"])
+        .where((F.col("n_y") * 100 >= F.col("n_x") * percent) & (F.col("n_y") <= F.col("n_x")))
+        .where((F.col("reach_x") >= F.col("n_y")) & (F.col("reach_y") >= F.col("n_x")))
         .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
         .distinct()
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int | None = 64, percent: int = 75, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
+    With ``k`` None sketches hold whole sets, so that every candidate rule is exact and no link can be missed.
+
     Texts are linked when 100 * shared shingles >= ``percent`` * shingles in either. A null or
     wordless text has no shingles and is linked with nothing. A row without doc_id can't be
     named by a link: its component_id is null and it is kept. Repeated rows share their doc_id and
     thus their component. Further columns of ``docs`` are ignored.
     """
+    k = WHOLE if k is None else k
     similar = F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent
     table = cut_lineage(sketch_table(docs, k, width))
     named = table.where("doc_id is not null and n_shingles > 0")

@@ -31,40 +31,47 @@ _TYPES = [pa.int64()] * 9 + [pa.binary()]
 END_ID = 0
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own if it can be seen, else one after 255."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, ranks: str | None = None):
     """A function text -> uint32 ids for the byte-level BPE file of the library ``tokenizers`` at ``path``.
 
-    If the same vocabulary lies beside it as ranks (``.tiktoken``), those are read by tiktoken, which gives the same
-    ids several times as fast; otherwise ``tokenizers`` itself is used. Special strings in a
-    text become their ids, as ``tokenizers`` does by default.
+    ``ranks`` is a file of the same vocabulary for tiktoken, which gives the same ids several times as fast.
+    Special strings in a text become their ids, as ``tokenizers`` does by default.
     """
-    import os
-
-    ranks_file = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks_file):
-        import json
+    if ranks is None:
+        from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
+        whole = Tokenizer.from_file(path)
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    import json
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        with open(path) as f:
-            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        names = set(special)
+    import public_tokenizers
+    import tiktoken
 
-        def encode(text: str) -> np.ndarray:
-            if any(x in text for x in names):
-                return np.array(own.encode(text, allowed_special=names), dtype=np.uint32)
-            return np.array(own.encode_ordinary(text), dtype=np.uint32)
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path) as f:
+        described = json.load(f)
+    special = {x["content"]: x["id"] for x in described["added_tokens"]}
+    letters = _byte_letters()
+    if {bytes(letters[c] for c in k): v for k, v in described["model"]["vocab"].items() if k not in special} != table:
+        raise ValueError("the ranks are not those of the tokenizer's vocabulary")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+    names = set(special)
 
-        return encode
-    from tokenizers import Tokenizer
+    def encode(text: str) -> np.ndarray:
+        if any(x in text for x in names):
+            return np.array(own.encode(text, allowed_special=names), dtype=np.uint32)
+        return np.array(own.encode_ordinary(text), dtype=np.uint32)
 
-    slow = Tokenizer.from_file(path)
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return encode
 
 
 class Windows:
@@ -116,9 +123,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _pack_partition(path: str, length: int, windows: int):
+def _pack_partition(path: str, ranks: str | None, length: int, windows: int):
     def run(batches):
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, ranks), TaskContext.get().partitionId()
         rows: list[tuple] = []
         made = 0
 
@@ -174,17 +181,18 @@ def _merge(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, windows: int = 64, fan: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, windows: int = 64, fan: int = 8, ranks: str | None = None) -> DataFrame:
     """The pieces (see ``PIECES``) of all texts, each followed by id 0, in sequences of at most ``length`` ids.
 
-    Each id lies in exactly one piece. A null or empty text has its end id only. Repeated rows are packed each;
+    Ids are those of ``tokenizers``; with ``ranks``, a file of the same vocabulary for tiktoken, they are had from there
+    (see ``encoder``). Each id lies in exactly one piece. A null or empty text has its end id only. Repeated rows are packed each;
     a row without doc_id is packed under a null. Which documents share a sequence depends on how the table is
     split into partitions; the ids, their pieces' order in a document and the padding bound do not.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = cut_lineage(texts.mapInArrow(_pack_partition(tokenizer, length, windows), f"{PIECES}, part long, slot long, ids binary"))
+    made = cut_lineage(texts.mapInArrow(_pack_partition(tokenizer, ranks, length, windows), f"{PIECES}, part long, slot long, ids binary"))
     merged = (
         made.where("ids is not null")
         .withColumn("merge", F.floor(F.col("part") / fan))

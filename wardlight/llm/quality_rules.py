@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import SPACE_RE, WHITE, cut_lineage, let
+from ._shared import SPACE_RE, WHITE, cut_lineage, fresh, let, written
 
 #: measure: slack above, slack below (None: no lower fence)
 RULES: dict[str, tuple[int, int | None]] = {
@@ -61,7 +61,7 @@ def _repeat_words(words: Column, width: int) -> Column:
 
 
 def with_measures(docs: DataFrame, width: int = 5, least_words: int = 10, most_repeated: int = 20) -> DataFrame:
-    """``docs`` and its measures; columns of the same names are replaced. A null text has no words."""
+    """``docs`` and its measures; columns of the same names, and ``kept``, are replaced. A null text has no words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def words(w: Column) -> Column:
@@ -75,30 +75,31 @@ def with_measures(docs: DataFrame, width: int = 5, least_words: int = 10, most_r
         return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
 
     spoken = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    out = docs.drop(*MEASURES, "_w", "_l", "_u").withColumns(
+    of_words, of_lines, upper = fresh([*docs.columns, *MEASURES], "_words", "_lines", "_upper")
+    out = docs.drop(*MEASURES, "kept").withColumns(
         {
-            "_w": let(_split_words(text), words),
-            "_l": let(spoken, lines),
+            of_words: let(_split_words(text), words),
+            of_lines: let(spoken, lines),
             "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-            "_u": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
+            upper: F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
         }
     )
-    chars = F.greatest(F.col("_w.word_chars"), F.lit(1))
+    chars = F.greatest(F.col(f"{of_words}.word_chars"), F.lit(1))
     return (
         out.withColumns(
             {
-                "n_words": F.col("_w.n_words"),
-                "word_chars": F.col("_w.word_chars"),
-                "n_dup_lines": F.col("_l.dup"),
-                "n_repeat_words": F.col("_w.n_repeat_words"),
+                "n_words": F.col(f"{of_words}.n_words"),
+                "word_chars": F.col(f"{of_words}.word_chars"),
+                "n_dup_lines": F.col(f"{of_lines}.dup"),
+                "n_repeat_words": F.col(f"{of_words}.n_repeat_words"),
                 "symbol_share": F.floor(F.col("n_symbols") * 1000 / chars),
-                "upper_share": F.floor(F.col("_u") * 1000 / chars),
-                "dup_line_share": F.floor(F.col("_l.dup") * 1000 / F.greatest(F.col("_l.n"), F.lit(1))),
-                "word_length": F.floor(F.col("_w.word_chars") * 100 / F.greatest(F.col("_w.n_words"), F.lit(1))),
+                "upper_share": F.floor(F.col(upper) * 1000 / chars),
+                "dup_line_share": F.floor(F.col(f"{of_lines}.dup") * 1000 / F.greatest(F.col(f"{of_lines}.n"), F.lit(1))),
+                "word_length": F.floor(F.col(f"{of_words}.word_chars") * 100 / F.greatest(F.col(f"{of_words}.n_words"), F.lit(1))),
             }
         )
         .withColumn("base_failed", (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated))
-        .drop("_w", "_l", "_u")
+        .drop(of_words, of_lines, upper)
     )
 
 
@@ -148,26 +149,26 @@ def judge(measured: DataFrame, limits: DataFrame, most_broadcast: int = 100_000)
     The fences go to every task while there are at most ``most_broadcast`` groups (under
     20 MB); beyond that it is a shuffled join, whose hot sources adaptive execution splits.
     """
-    limits = cut_lineage(limits.toDF("_lang", "_source", *[f"_{c}" for c in limits.columns[2:]]))
+    names = dict(zip(limits.columns, fresh(measured.columns, *[f"_{c}" for c in limits.columns]), strict=True))
+    limits = cut_lineage(limits.withColumnsRenamed(names))
     side = F.broadcast(limits) if limits.count() <= most_broadcast else limits
-    on = (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))
+    on = (F.coalesce("lang", F.lit("")) == F.col(names["lang"])) & (F.coalesce("source", F.lit("")) == F.col(names["source"]))
     failed = F.col("base_failed")
     for m, (_, below) in RULES.items():
-        failed = failed | F.coalesce(F.col(m) > F.col(f"_{m}_hi"), F.lit(False))
+        failed = failed | F.coalesce(F.col(m) > F.col(names[f"{m}_hi"]), F.lit(False))
         if below is not None:
-            failed = failed | F.coalesce(F.col(m) < F.col(f"_{m}_lo"), F.lit(False))
-    return measured.join(side, on, "left").withColumn("kept", ~failed).select(*measured.columns, "kept")
+            failed = failed | F.coalesce(F.col(m) < F.col(names[f"{m}_lo"]), F.lit(False))
+    return measured.join(side, on, "left").withColumn("kept", ~failed).drop(*names.values())
 
 
 def quality_rules(docs: DataFrame, keep_text: bool = False, least_docs: int = 50) -> DataFrame:
     """Measures and verdict of every row of ``docs``.
 
-    With ``keep_text`` all columns of ``docs`` stay and the measures are computed again when the verdict is
-    made, rather than moving texts; else only doc_id, lang and source stay.
-    Null lang or source count as an empty name; a null text has no words and fails the base rules;
+    With ``keep_text`` all columns of ``docs`` stay (those with the names of measures, and ``kept``, are replaced), and the
+    texts are written once beside their measures, which are then read alone for the sketches; else only doc_id, lang and
+    source stay. Null lang or source count as an empty name; a null text has no words and fails the base rules;
     repeated rows each count and are each judged.
     """
-    measured = with_measures(docs)
-    narrow = cut_lineage(measured.select("doc_id", "lang", "source", *MEASURES))
-    limits = fences(sketch(narrow), least_docs)
-    return judge(measured if keep_text else narrow, limits)
+    measured = with_measures(docs if keep_text else docs.select("doc_id", "text", "lang", "source"))
+    measured = written(measured) if keep_text else cut_lineage(measured.select("doc_id", "lang", "source", *MEASURES))
+    return judge(measured, fences(sketch(measured), least_docs))

@@ -85,7 +85,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
-    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), length=1024)
+    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), length=1024, ranks=tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

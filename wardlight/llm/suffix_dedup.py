@@ -14,8 +14,8 @@ then those from its first window up to the anchor.
 3. A bucket's runs are merged by a loser tree that keeps the common prefix of every loser with the last winner
    and never compares those bytes again. Equal strips come out side by side. Different strips with the same
    anchor also come out together; their windows are compared one by one.
-4. An anchor that is too frequent for one bucket (a bounded number of anchors is) is left out of the
-   buckets: its distinct windows, each once a run, are spread by their digests and matched there.
+4. The strips of an anchor that is too frequent for one bucket are cut into their windows, which are strings of
+   the same runs but of buckets by their own hash: so the anchor is spread, and equal windows still meet in one merge.
 
 The removed spans of a document are merged, and its text is read once more to cut them out.
 """
@@ -24,15 +24,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._shared import mix64, power_table, prefix_hash, text_bytes, text_slices, written
+from ._shared import BLOCK, mix64, power_table, prefix_hash, text_bytes, text_slices, written
 
 LENGTH = 100
 ANCHOR = 32
@@ -54,8 +54,14 @@ def _leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
 def strips(data: np.ndarray, offsets: np.ndarray):
     """(text number, first window, last window, anchor, anchor hash) of every strip in joined texts.
 
-    Positions count from the start of ``data``.
+    Positions count from the start of ``data``. Long data is taken in blocks of windows; a strip
+    that goes over the end of a block comes as two.
     """
+    parts = [_block_strips(data[at : at + BLOCK + LENGTH - 1], at, offsets) for at in range(0, max(len(data), 1), BLOCK)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _block_strips(data: np.ndarray, start: int, offsets: np.ndarray):
     n = len(data) - LENGTH + 1
     empty = np.empty(0, dtype=np.int64)
     if n <= 0:
@@ -64,15 +70,15 @@ def strips(data: np.ndarray, offsets: np.ndarray):
     hashes = mix64((sums[ANCHOR:] - sums[:m]) * power_table(m, "down"))
     keys = (hashes >> np.uint64(34)).astype(np.int64) << 31 | np.arange(m, dtype=np.int64)
     anchor = _leftmost_least(keys, LENGTH - ANCHOR + 1) & ((1 << 31) - 1)
-    owner = np.searchsorted(offsets, np.arange(n), side="right") - 1
-    inside = np.arange(n) + LENGTH <= offsets[owner + 1]
+    owner = np.searchsorted(offsets, np.arange(start, start + n), side="right") - 1
+    inside = np.arange(start, start + n) + LENGTH <= offsets[owner + 1]
     at = np.flatnonzero(inside)
     if not len(at):
         return empty, empty, empty, empty, empty.view(np.uint64)
     new = np.concatenate(([True], (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])))
     first = at[new]
     last = at[np.concatenate((np.flatnonzero(new)[1:], [len(at)])) - 1]
-    return owner[first], first, last, anchor[first], hashes[anchor[first]]
+    return owner[first], first + start, last + start, anchor[first] + start, hashes[anchor[first]]
 
 
 def short_hash(hashes: np.ndarray) -> np.ndarray:
@@ -218,7 +224,7 @@ def _answer(most: int):
 
 _RUN = {
     "bucket": pa.int64(),
-    "kind": pa.int64(),  # 0: a run, 1: spans, 2: windows of a hot anchor
+    "kind": pa.int64(),  # 0: a run, 1: spans
     "ids": pa.binary(),
     "keys": pa.binary(),
     "starts": pa.binary(),
@@ -229,7 +235,6 @@ _RUN = {
     "rests": pa.binary(),
 }
 _FOUND = {"_id": pa.int64(), "_key": pa.int64(), "start": pa.int64(), "stop": pa.int64()}
-_WINDOW = {"_id": pa.int64(), "_key": pa.int64(), "start": pa.int64(), "digest": pa.binary()}
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -262,18 +267,28 @@ def _squeezed(raw: bytes) -> bytes:
     return pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _runs(buckets: int, hot: frozenset[int]):
+#: In place of the left part's length: the string is one window of a hot anchor.
+_WINDOW = 255
+
+
+def _runs(buckets: int):
     def gather(entries: dict[int, list], batch: pa.RecordBatch, part: pa.Array) -> None:
         ids, keys = batch.column("_id").to_pylist(), batch.column("_key").to_pylist()
         data, offsets = text_bytes(part)
         owner, first, last, anchor, hashes = strips(data, offsets)
         edge = np.searchsorted(owner, np.arange(len(part) + 1))
         short = short_hash(hashes)
-        pick = np.concatenate([a + np.flatnonzero(np.isin(short[a:b], w.values.to_numpy())) for a, b, w in zip(edge[:-1], edge[1:], batch.column("anchors"), strict=True)])
+        among = lambda c: [np.isin(short[a:b], w.values.to_numpy()) if w.is_valid else np.zeros(b - a, dtype=bool) for a, b, w in zip(edge[:-1], edge[1:], batch.column(c), strict=True)]
+        pick, hot = np.flatnonzero(np.concatenate(among("anchors"))), np.concatenate(among("hot"))
         raw = data.tobytes()
-        columns = (first[pick], last[pick] + LENGTH, anchor[pick], owner[pick], short[pick], bucket_of(short[pick], buckets))
-        for p, q, a, o, h, b in zip(*(c.tolist() for c in columns), strict=True):
-            entries.setdefault(-1 if hot and h in hot else b, []).append((raw[a:q] + raw[p:a], a - p, ids[o], keys[o], p - int(offsets[o])))
+        columns = (first[pick], last[pick] + LENGTH, anchor[pick], owner[pick], bucket_of(short[pick], buckets), hot[pick])
+        for p, q, a, o, b, h in zip(*(c.tolist() for c in columns), strict=True):
+            if not h:
+                entries.setdefault(b, []).append((raw[a:q] + raw[p:a], a - p, ids[o], keys[o], p - int(offsets[o])))
+                continue
+            for i in range(p, q - LENGTH + 1):
+                window = raw[i : i + LENGTH]
+                entries.setdefault(zlib.crc32(window) % buckets, []).append((window, _WINDOW, ids[o], keys[o], i - int(offsets[o])))
 
     def rows_of(entries: dict[int, list]):
         spans = []
@@ -286,14 +301,8 @@ def _runs(buckets: int, hot: frozenset[int]):
                         spans.append((*e[2:], e[4] + len(e[0])))
                 else:
                     kept.append(e)
-            if b >= 0:
-                shared, rests = front_code([e[0] for e in kept])
-                yield (b, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), _squeezed(b"".join(rests)))
-                continue
-            for i in range(0, len(kept), 1000):
-                some = kept[i : i + 1000]
-                text = b"".join(e[0][len(e[0]) - e[1] :] + e[0][: len(e[0]) - e[1]] for e in some)
-                yield ((some[0][2] + i) % buckets, 2, *_packed([e[2:] for e in some]), b"", b"", bytes(len(e[0]) for e in some), b"", text)
+            shared, rests = front_code([e[0] for e in kept])
+            yield (b, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), _squeezed(b"".join(rests)))
         spans = merged_places(spans)
         for i in range(0, len(spans), 20_000):
             some = spans[i : i + 20_000]
@@ -412,28 +421,36 @@ def _unpack(row: dict) -> Run:
 
 
 def _same_anchor(group: list[tuple[bytes, tuple]], found: list) -> None:
-    """Windows of different strips with one anchor: all but the first place of each string are removed."""
-    first: dict[bytes, tuple] = {}
-    windows = []
-    for string, (left, doc, key, start) in group:
-        right = len(string) - left
-        text = string[right:] + string[:right]
-        own = [text[i : i + LENGTH] for i in range(len(text) - LENGTH + 1)]
-        windows.append((own, doc, key, start))
-        for i, w in enumerate(own):
-            place = (doc, key, start + i)
-            if (was := first.get(w)) is None or place < was:
-                first[w] = place
-    for own, doc, key, start in windows:
-        open_at = None
-        for i, w in enumerate(own):
-            if first[w] < (doc, key, start + i):
-                open_at = i if open_at is None else open_at
-            elif open_at is not None:
-                found.append((doc, key, start + open_at, start + i - 1 + LENGTH))
-                open_at = None
-        if open_at is not None:
-            found.append((doc, key, start + open_at, start + len(own) - 1 + LENGTH))
+    """Windows of different strips with one anchor: all but the first place of each string are removed.
+
+    Equal windows have their anchor at the same distance from their start, so only those of one distance are compared,
+    and a dictionary holds the windows of one distance at a time.
+    """
+    group = [x for x in group if x[1][0] != _WINDOW]
+    if len(group) < 2:
+        return
+    texts = [(string[len(string) - left :] + string[: len(string) - left], left, (doc, key, start)) for string, (left, doc, key, start) in group]
+    gone: list[list[int]] = [[] for _ in texts]
+    for before in range(LENGTH - ANCHOR + 1):  # bytes of the window before the anchor
+        first: dict[bytes, tuple] = {}
+        own = []
+        for n, (text, left, (doc, key, start)) in enumerate(texts):
+            i = left - before
+            if 0 <= i <= len(text) - LENGTH:
+                window, place = text[i : i + LENGTH], (doc, key, start + i)
+                own.append((n, i, window, place))
+                if (was := first.get(window)) is None or place < was:
+                    first[window] = place
+        if len(first) < len(own):
+            for n, i, window, place in own:
+                if first[window] < place:
+                    gone[n].append(i)
+    for (_, _, (doc, key, start)), at in zip(texts, gone, strict=True):
+        for i in sorted(at):
+            if found and found[-1][:2] == (doc, key) and found[-1][2] <= start + i <= found[-1][3]:
+                found[-1] = (doc, key, found[-1][2], max(found[-1][3], start + i + LENGTH))
+            else:
+                found.append((doc, key, start + i, start + i + LENGTH))
 
 
 def _merged():
@@ -442,7 +459,6 @@ def _merged():
     def run(key, table):
         found: list[tuple] = []
         runs: list[Run] = []
-        table = table.filter(pc.less(table.column("kind"), 2))
         for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
             if row["kind"] == 0:
                 runs.append(_unpack(row))
@@ -458,6 +474,8 @@ def _merged():
                 seen.clear()
             elif group and not shared == len(string) == len(group[-1][0]):
                 seen.clear()
+                if group[-1][1][0] == _WINDOW:
+                    group.pop()  # a window meets its equals only
             if (at := seen.get(place[0])) is None:
                 seen[place[0]] = len(group)
                 group.append((string, place))
@@ -473,23 +491,6 @@ def _merged():
     return run
 
 
-def _hot_windows():
-    """(_id, _key, start, digest) of every window that the rows of hot anchors carry."""
-
-    def run(key, table):
-        rows: list[tuple] = []
-        table = table.filter(pc.equal(table.column("kind"), 2))
-        for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
-            at = 0
-            for doc, k, start, n in zip(*_places(row), row["lengths"], strict=True):
-                text = row["rests"][at : at + n]
-                at += n
-                rows += [(doc, k, start + i, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest()) for i in range(n - LENGTH + 1)]
-        return pa.Table.from_batches([_arrow(rows, _WINDOW)])
-
-    return run
-
-
 # ---------------------------------------------------------------- the operator
 
 
@@ -524,29 +525,30 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000) -> DataFrame:
+def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """(_id, _key, start, stop): byte spans to remove, which may overlap.
 
     A bucket has the strips of about ``bucket_bytes`` of text; an anchor that occurs more than ``most`` times is spread by
-    its windows, and there are at most (strips / ``most``) of those.
+    its windows. Which anchors these are (at most strips / ``most``) is sent to every task while they are few, and
+    joined by a shuffle beyond ``most_broadcast``.
     """
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, math.ceil(size / bucket_bytes))
     # Counting takes less memory a strip than merging does, and fewer buckets leave fewer rows a text.
     counted = max(8, buckets // 4)
     answers = written(keyed.mapInArrow(_ask(counted), _ddl(_ASK)).groupBy("bucket").applyInArrow(_answer(most), _ddl(_ANSWER)))
-    hot = frozenset(h for r in answers.where("hot").select("anchors").collect() for h in r["anchors"])
-    anchors = answers.where("not hot").groupBy("_id", "_key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    runs = keyed.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets, hot), _ddl(_RUN))
-    found = runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND))
-    if not hot:
-        return found
-    # The exchange of the runs is read a second time; spans stay out of the shuffle by digests. Equal strips of
-    # a run are one by now, which keeps a digest's rows few.
-    windows = runs.groupBy("bucket").applyInArrow(_hot_windows(), _ddl(_WINDOW))
-    place = F.struct("_id", "_key", "start")
-    later = windows.withColumn("first", F.min(place).over(Window.partitionBy("digest"))).where(place > F.col("first"))
-    return found.unionByName(later.select("_id", "_key", "start", (F.col("start") + LENGTH).alias("stop")))
+    texts = answers.where("not hot")
+    anchors = texts.groupBy("_id", "_key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    hot = answers.where("hot").select(F.explode("anchors").alias("anchor"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= most_broadcast else hot
+        tagged = texts.select("_id", "_key", F.explode("anchors").alias("anchor")).join(hot, "anchor").groupBy("_id", "_key").agg(F.collect_set("anchor").alias("hot"))
+        anchors = anchors.join(tagged, ["_id", "_key"], "left")
+    else:
+        anchors = anchors.withColumn("hot", F.lit(None).cast("array<long>"))
+    runs = keyed.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets), _ddl(_RUN))
+    return runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND))
 
 
 def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, with_bytes: bool = False) -> DataFrame:
