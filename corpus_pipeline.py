@@ -1,20 +1,19 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the
-shared checkpoint folder and read again as the next stage's input.
+shared checkpoint folder and read again as the next stage's input. Intermediate tables are deleted when the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardlight.llm import queries as q
-from wardlight.llm._shared import cut_lineage, shared_checkpoint_dir
+from wardlight.llm._shared import cut_lineage, shared_path
 from wardlight.llm.line_dedup import line_dedup
-from wardlight.llm.mixing import mix
+from wardlight.llm.mixing import first_words, mix
 from wardlight.llm.near_dedup import near_duplicates
 from wardlight.llm.packing import pack
 from wardlight.llm.quality_rules import quality_rules
@@ -45,14 +44,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights ask for: a row for each epoch that takes one."""
-    taken = mix(docs, q.domain_of(), percent=q.MIX_PERCENT, max_epochs=q.MIX_EPOCHS, weights=q.MIX_WEIGHTS, seed=q.MIX_SEED)
-    return docs.join(taken.select("doc_id"), "doc_id").select(*COLUMNS)
+    """Documents as often as the target weights ask for: a row for each epoch that takes one.
+
+    Where a leaf's target ends inside a document, its text is cut after the words that are taken. A text without words
+    and a row without doc_id are never taken; repeated rows are taken each.
+    """
+    key = F.xxhash64("text", "lang", "source", "n_chars")
+    taken = mix(docs, q.domain_of(), percent=q.MIX_PERCENT, max_epochs=q.MIX_EPOCHS, weights=q.MIX_WEIGHTS, seed=q.MIX_SEED, key=key)
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars", key.alias("key"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("n_chars"))
+    one = one.withColumn("copy", copy).where("copy = 1").drop("copy")
+    cut = F.col("n_taken") < F.col("n_tokens")
+    text = F.when(cut, first_words(F.col("text"), F.col("n_taken"))).otherwise(F.col("text"))
+    n_chars = F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return one.join(taken.select("doc_id", "key", "n_tokens", "n_taken"), ["doc_id", "key"]).select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
-    return pack(docs, q.tokenizer_file("byte_bpe_50k.json"), length=1024)
+    return pack(docs, q.tokenizer_file("byte_bpe_50k.json"), length=1024, ranks=q.tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
@@ -71,7 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = q.documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        path = f"{shared_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+        path = shared_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return cut_lineage(STAGES[-1][1](spark, docs, sf_dir))
