@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight import schema
 from wardlight.functions import redaction, scalars
 from wardlight.operators import access, mutations, reads, uploads
+from wardlight.plans import analytics
 from wardlight.sources import files
 from wardlight.streaming import events as ev
 from wardlight.streaming import limits
@@ -123,32 +124,67 @@ def test_redaction(spark):
     assert one(spark, redaction.mask_text(F.col("t")), t="Password: abc&x=1 card 1234-5678-9012-3456") == "Password: ***&x=1 card ****-****-****-****"
 
 
+EVENT = "seq long, document_id long, document_version_id string, type string, succeeded boolean, checksum string, confidence double, size_bytes long, storage_key string, mime_type string, occurred_at timestamp, error_code string, extraction_id long"
+VERSION = "document_id long, document_version_id string, checksum string"
+
+
 def _events(spark, *rows):
-    return spark.createDataFrame([(i, 1, t, ok, f"c{i}", 0.5, 10) for i, (t, ok) in enumerate(rows)], "seq long, document_id long, type string, succeeded boolean, checksum string, confidence double, size_bytes long")
+    """(version, type, succeeded) of document 1, in order."""
+    at = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, 1, v, t, ok, f"c{i}", 0.5, 10 + i, f"k{i}", "m", at + dt.timedelta(seconds=i), f"E{i}", 5) for i, (v, t, ok) in enumerate(rows)], EVENT)
 
 
 def test_fold_last_event_wins(spark):
-    late = _events(spark, ("DocumentStored", True), ("DocumentAnalysisCompleted", True), ("DocumentStored", True))
-    got = ev.folded(late).first()
-    assert (got["status"], got["checksum"], got["extraction_status"], got["job_status"]) == ("processing", "c2", "succeeded", "queued")
-    failed = ev.folded(_events(spark, ("DocumentConverted", True), ("DocumentProcessingFailed", True))).first()
-    assert (failed["status"], failed["job_status"]) == ("failed", "failed")
-    assert [tuple(r) for r in ev.to_publish(late).collect()] == [(1, 0)]
-    known = spark.createDataFrame([(1, "c")], "document_id long, checksum string")
-    assert ev.to_publish(late, known).count() == 0 and ev.unknown(late, known).count() == 0
-
-
-def test_stream_fold_equals_batch(spark, tmp_path):
-    kinds = list(schema.EVENT_FIELDS)
-    events = spark.createDataFrame([(i, i % 5, kinds[(i * 7) % 6], i % 3 == 0, f"c{i}", i / 10, i) for i in range(60)], "seq long, document_id long, type string, succeeded boolean, checksum string, confidence double, size_bytes long")
-    for k in range(3):
-        events.where(f"seq % 3 = {k}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    versions = spark.createDataFrame([(1, "a", None), (1, "b", None)], VERSION)
+    events = _events(spark, ("a", "DocumentStored", True), ("a", "DocumentAnalysisCompleted", True), ("b", "DocumentStored", True), ("x", "DocumentStored", True), ("a", "DocumentConverted", True), ("a", "DocumentStored", True))
+    known = ev.with_known(events, versions)
+    got = {r["document_version_id"]: r for r in ev.folded(known.where("known"), ev.VERSIONS).collect()}
+    assert {k: (r["checksum"], r["job_status"], r["first_stored_seq"]) for k, r in got.items()} == {"a": ("c5", "succeeded", 0), "b": ("c2", "queued", 2)}
+    assert ev.folded(known, ev.DOCUMENTS).first()["status"] == "processing"
+    assert ev.folded(events, ev.EXTRACTIONS).select("extraction_status", "confidence").first() == ("succeeded", 0.5)
+    assert sorted(map(tuple, ev.to_publish(events, versions).collect())) == [(1, "a", 0), (1, "b", 2)]
+    assert [r["document_version_id"] for r in ev.unknown(events, versions).collect()] == ["x"]
+    told = spark.createDataFrame([(1, "a", "c"), (1, "b", None)], VERSION)
+    assert [tuple(r) for r in ev.to_publish(events, told).collect()] == [(1, "b", 2)]
+
+
+def test_failure_of_an_unknown_version_counts_for_its_document_only(spark):
+    versions = spark.createDataFrame([(1, "a", None)], VERSION)
+    events = ev.with_known(_events(spark, ("a", "DocumentConverted", True), ("x", "DocumentProcessingFailed", True)), versions)
+    assert ev.folded(events, ev.DOCUMENTS).first()["status"] == "failed"
+    assert [(r["job_status"], r["error_code"]) for r in ev.folded(events.where("known"), ev.VERSIONS).collect()] == [("succeeded", None)]
+
+
+@pytest.mark.parametrize("fold", [ev.VERSIONS, ev.DOCUMENTS, ev.EXTRACTIONS])
+def test_stream_fold_equals_batch(spark, tmp_path, fold):
+    kinds, at = list(schema.EVENT_FIELDS), dt.datetime(2024, 1, 1)
+    rows = [(i, i % 5, f"{i % 5}-{i % 3}", kinds[(i * 7) % 6], i % 3 == 0, f"c{i}", i / 10, i, f"k{i}", "m", at, f"E{i}", i % 4) for i in range(80)]
+    events = spark.createDataFrame(rows, EVENT)
+    versions = spark.createDataFrame([(i, f"{i}-{v}", None) for i in range(5) for v in (0, 1)], VERSION)
+    for k in range(4):
+        events.where(f"seq % 4 = {k}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = ev.start_fold(stream, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.is_dir())
-    got = spark.read.schema(ev.STATE).parquet(str(tmp_path / "state" / f"batch={last}"))
-    assert sorted(map(str, got.collect())) == sorted(map(str, ev.folded(events).select(*got.columns).collect()))
+    q = ev.start_fold(stream, fold, str(tmp_path / "state"), str(tmp_path / "cp"), buckets=4, prepare=lambda b: ev.with_known(b, versions)).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = ev.current_states(spark, str(tmp_path / "state"), 3)
+    want = ev.folded(ev.with_known(events, versions), fold).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    folders = [p for p in (tmp_path / "state").glob("batch=*/bucket=*")]
+    assert len(folders) <= 8  # no more than the last two batches need
+
+
+def test_topk_in_blocks_is_the_same(spark):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 6)]) for i in range(60)] + [(99, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, many = (analytics.cosine_topk(vectors, vectors.where("vec_id % 3 = 0"), 3, most_bytes=b) for b in (1 << 20, 300))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 0
+
+
+def test_numbers_follow_strings_and_ties(spark):
+    rows = spark.createDataFrame([("same", i) for i in range(50)] + [(f"k{i:03}", i) for i in range(50)] + [(None, 1)], "a string, b long").repartition(7)
+    got = mutations.numbered(rows, "a", "b").collect()
+    order = sorted(got, key=lambda r: (r["a"] is not None, r["a"] or "", r["b"]))
+    assert [r["rn"] for r in order] == list(range(1, 102))
 
 
 def test_messages(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ROLE_PERMISSIONS
+from ..schema import ENUMS, ROLE_PERMISSIONS
 from .reads import active_grants
 
 
@@ -20,6 +20,30 @@ def role_permissions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "role_code string, permission_code string")
 
 
+def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables role (role_id, role_code), permission (permission_id, permission_code) and their links, numbered in order."""
+    roles = {c: i for i, c in enumerate(ENUMS["role"], 1)}
+    permissions = {c: i for i, c in enumerate(ENUMS["permission"], 1)}
+    links = [(roles[r], permissions[p]) for r, held in ROLE_PERMISSIONS.items() for p in held]
+    return (
+        spark.createDataFrame([(i, c) for c, i in roles.items()], "role_id int, role_code string"),
+        spark.createDataFrame([(i, c) for c, i in permissions.items()], "permission_id int, permission_code string"),
+        spark.createDataFrame(links, "role_id int, permission_id int"),
+    )
+
+
+def permissions_of(account_roles: DataFrame, roles: DataFrame, links: DataFrame, permissions: DataFrame) -> DataFrame:
+    """Distinct (account_id, permission_code) from (account_id, role_id) by way of roles, their links and permissions."""
+    return account_roles.join(roles.select("role_id"), "role_id").join(links, "role_id").join(permissions, "permission_id").select("account_id", "permission_code").distinct()
+
+
+def newest_by_flag(grants: DataFrame, flags: list[str]) -> DataFrame:
+    """Of each patient, account and flag that is set, the newest grant; of equally new ones the one with the largest id."""
+    each = F.explode(F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in flags]), lambda x: x.isNotNull()))
+    rows = grants.select("patient_id", "account_id", "id", "created_at", each.alias("flag"))
+    return rows.groupBy("patient_id", "account_id", "flag").agg(F.max(F.struct("created_at", "id")).alias("g")).select("patient_id", "account_id", "flag", "g.created_at", "g.id")
+
+
 def account_permissions(account_roles: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct (account_id, permission_code)."""
     return account_roles.join(links, "role_code").select("account_id", "permission_code").distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
+
 
 def insert_missing(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The table and those rows whose key it has not; ``created`` tells which. A key that is given twice is added once."""
@@ -50,16 +52,11 @@ def fill_when_null(table: DataFrame, column: str, value: Column) -> DataFrame:
 def numbered(table: DataFrame, *order: str, name: str = "rn") -> DataFrame:
     """Consecutive numbers from 1 over all rows in the order of the columns, without one task for all.
 
-    Rows are split by ranges of the order's first column, each range is numbered by itself, and the sizes of the ranges
-    before are added. Equal values of the first column stay in one range.
+    Rows are dealt by ranges of all the order's columns, so that equal values of the first are split too, and written once, since
+    ranges are found by a sample. Each range is numbered by itself, and the sizes of the ranges before are added.
     """
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    column = F.col(order[0])
-    kind = dict(table.dtypes)[order[0]]
-    position = F.unix_micros(column.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else column.cast("double")
-    probe = table.select(F.percentile_approx(position, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    ranged = table.withColumn("_range", sum((F.coalesce(position > b, F.lit(False)).cast("int") for b in sorted(set(probe))), F.lit(0)))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = checkpointed(table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_in", inside).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")

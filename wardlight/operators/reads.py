@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
+from ..schema import ENUMS
 
 
 def by_key(table: DataFrame, **key) -> DataFrame:
@@ -75,3 +76,29 @@ def checked(table: DataFrame, **rules: Column) -> DataFrame:
     for name, rule in reversed(rules.items()):
         reason = F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)).otherwise(reason)
     return table.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+
+
+def patient_context(patients: DataFrame, persons: DataFrame, records: DataFrame) -> DataFrame:
+    """Each patient with structs ``person`` and ``medical_record`` and, where one is missing, the ``problem``.
+
+    ``persons`` and ``records`` have an id each, and records a patient_id; of several records of a patient the first is taken.
+    """
+    person = persons.select(F.col("id").alias("person_id"), F.struct(*persons.columns).alias("person"))
+    record = records.groupBy("patient_id").agg(F.min(F.struct(*records.columns)).alias("medical_record"))
+    out = patients.withColumnRenamed("id", "patient_id").join(person, "person_id", "left").join(record, "patient_id", "left")
+    return out.withColumn("problem", F.when(F.col("person").isNull(), "no person").when(F.col("medical_record").isNull(), "no medical record"))
+
+
+def owners(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """(document_id, patient_id) by way of the medical record; a document without one is left out."""
+    return documents.select(F.col("id").alias("document_id"), "medical_record_id").join(records.select(F.col("id").alias("medical_record_id"), "patient_id"), "medical_record_id").select("document_id", "patient_id")
+
+
+def patch_reason(fields: list[str], today: Column) -> Column:
+    """Why a profile's patch is refused: no field is set, a name is empty, a birth is in the future, or a sex is none of the domain; null if it is not."""
+    return (
+        F.when(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNull(), "empty")
+        .when(F.col("first_name") == "", "first_name")
+        .when(F.col("date_of_birth") > today.cast("date"), "date_of_birth")
+        .when(~F.col("sex").isin(*ENUMS["sex"]), "sex")
+    )

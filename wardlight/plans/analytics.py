@@ -47,21 +47,27 @@ def chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int = 0) ->
     return docs.select(key, text, F.posexplode(starts).alias("chunk_no", "start")).select(key, "chunk_no", "start", F.substring(text, F.col("start"), F.lit(size)).alias("chunk"))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", most_queries: int = 1000) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", most_bytes: int = 256 << 20) -> DataFrame:
     """(query_id, vec_id, similarity, place): the k most similar vectors to each of a stated set of queries.
 
-    The queries are sent to every task, at most ``most_queries`` of them; each task keeps k rows a query before the shuffle.
+    The queries are taken in blocks of about ``most_bytes`` by a hash of their key; a block is sent to every task, and each task
+    keeps k rows a query before the shuffle. A null vector is similar to nothing.
     """
-    if (n := queries.limit(most_queries + 1).count()) > most_queries:
-        raise ValueError(f"{n} queries or more; send them in blocks of {most_queries}")
+    size = queries.agg(F.coalesce(F.sum(F.size(value) * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most_bytes))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     # The norms are made before the join, once a vector.
     a = queries.select(F.col(key).alias("query_id"), F.col(value).alias("_q"), F.sqrt(dot(F.col(value), F.col(value))).alias("_nq"))
     b = vectors.select(F.col(key), F.col(value).alias("_v"), F.sqrt(dot(F.col(value), F.col(value))).alias("_nv"))
-    near = b.crossJoin(F.broadcast(a)).where(F.col(key) != F.col("query_id"))
-    scored = near.select("query_id", key, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_nq") * F.col("_nv")), 6).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    out = None
+    for i in range(blocks):
+        block = a.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else a
+        near = b.crossJoin(F.broadcast(block)).where(F.col(key) != F.col("query_id"))
+        scored = near.select("query_id", key, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_nq") * F.col("_nv")), 6).alias("similarity"))
+        best = scored.where("similarity is not null").withColumn("place", place).where(F.col("place") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def needs_review(extractions: DataFrame, threshold: float) -> DataFrame:
@@ -77,7 +83,7 @@ def queue_depth(events: DataFrame, arrives: Column, leaves: Column, order: list[
 
 
 def pipeline_metrics(events: DataFrame) -> DataFrame:
-    """Counts and mean values by event type."""
+    """Counts by event type."""
     return events.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_documents"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -89,3 +95,12 @@ def estimated_work(queued: DataFrame, finished: DataFrame, pool: str, seconds: s
     waiting = queued.groupBy(pool).agg(F.count("*").alias("queued"))
     mean = finished.groupBy(pool).agg(F.round(F.avg(seconds), 6).alias("mean_seconds"))
     return waiting.join(mean, pool, "left").withColumn("work_seconds", F.round(F.col("queued") * F.col("mean_seconds"), 3))
+
+
+def latencies(events: DataFrame, arrives: Column, leaves: Column, at: str, key: str) -> DataFrame:
+    """(n, mean_seconds, p50_seconds, p95_seconds) from each key's first arrival to its first leaving after it."""
+    came = events.where(arrives).groupBy(key).agg(F.min(at).alias("_came"))
+    went = events.where(leaves).select(key, F.col(at).alias("_went"))
+    took = came.join(went, key).where("_went >= _came").groupBy(key, "_came").agg(F.min("_went").alias("_went"))
+    seconds = took.select(((F.unix_micros(F.col("_went").cast("timestamp")) - F.unix_micros(F.col("_came").cast("timestamp"))) / 1e6).alias("s"))
+    return seconds.agg(F.count("*").alias("n"), F.round(F.avg("s"), 3).alias("mean_seconds"), *[F.round(F.percentile("s", q), 3).alias(f"p{round(q * 100)}_seconds") for q in (0.5, 0.95)])

@@ -11,6 +11,7 @@ from . import schema
 from .functions import redaction, scalars
 from .operators import access, mutations, reads, uploads
 from .plans import analytics
+from .sources import files
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
 from .streaming import limits
@@ -109,14 +110,19 @@ def latest_version(get, spark, sf_dir):
     return reads.newest_of_each(get("document_version"), ["document_id"], F.desc("version")).select("document_id", "version", "s3_key")
 
 
+_FLAGS = ["can_view_documents", "can_upload_documents"]
+
+
 @_query(
-    f"""select patient_id, account_id, created_at from (select *, row_number() over (partition by patient_id order by created_at desc, account_id desc) as k from access_grant
-    where status = 'active' and (expires_at is null or expires_at > {_NOW_SQL})) where k = 1""",
+    f""", g as (select patient_id, account_id % 3 as account_id, account_id as id, created_at, can_view_documents, can_upload_documents from access_grant where status = 'active' and (expires_at is null or expires_at > {_NOW_SQL})),
+    f as (select patient_id, account_id, id, created_at, 'can_view_documents' as flag from g where can_view_documents union all select patient_id, account_id, id, created_at, 'can_upload_documents' from g where can_upload_documents)
+    select patient_id, account_id, flag, id, created_at from (select *, row_number() over (partition by patient_id, account_id, flag order by created_at desc, id desc) as k from f) where k = 1""",
     "access_grant",
 )
 def newest_grant(get, spark, sf_dir):
+    """Of each patient, account and flag the newest active grant."""
     grants = reads.active_grants(get("access_grant"), _now())
-    return reads.newest_of_each(grants, ["patient_id"], F.desc("created_at"), F.desc("account_id")).select("patient_id", "account_id", "created_at")
+    return access.newest_by_flag(grants.withColumn("id", F.col("account_id")).withColumn("account_id", F.col("account_id") % 3), _FLAGS)
 
 
 @_query("select account_id, organization_id from (select *, row_number() over (partition by account_id order by joined_no desc) as k from membership where status = 'active') where k = 1", "membership")
@@ -141,6 +147,25 @@ def patient_profile(get, spark, sf_dir):
     return get("patient").join(person, "person_id").select(F.col("id").alias("patient_id"), "full_name", "sex")
 
 
+@_query(
+    f"""select id, case when first_name is null and date_of_birth is null and sex is null then 'empty' when first_name = '' then 'first_name' when date_of_birth > {_NOW_SQL} then 'date_of_birth'
+    when sex = 'unknown' then 'sex' end as reason from profile_patch""",
+    "profile_patch",
+)
+def patch_checks(get, spark, sf_dir):
+    return get("profile_patch").select("id", reads.patch_reason(["first_name", "date_of_birth", "sex"], _now()).alias("reason"))
+
+
+@_query("select doc_id as id, case when doc_id % 6 = 0 and doc_id % 2 = 0 or doc_id % 6 in (1, 4) and doc_id % 2 = 1 then null else 'unsupported_type' end as error_code from documents")
+def declared_types(get, spark, sf_dir):
+    """Whether a file's leading bytes are of its declared type: PDF, PNG, JPEG, TIFF, bytes of no type, none at all."""
+    heads = ["255044462D312E34", "89504E470D0A1A0A", "FFD8FFE000104A46", "49492A00", "0000000000", ""]
+    head = F.get(F.array(*map(F.lit, heads)), (F.col("doc_id") % 6).cast("int"))
+    declared = F.when(F.col("doc_id") % 2 == 0, "Application/PDF").otherwise("image/png")
+    staged = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.unhex(head).alias("content"), declared.alias("declared"))
+    return files.accepted(staged).select("id", "error_code")
+
+
 # ---------------------------------------------------------------------- joins
 
 
@@ -152,7 +177,10 @@ def account_roles(get, spark, sf_dir):
 
 @_query(f"select distinct account_id, permission_code from account_role join {_LINKS} using (role_code)", "account_role")
 def account_permissions(get, spark, sf_dir):
-    return access.account_permissions(get("account_role"), access.role_permissions(spark))
+    """From accounts with role ids by way of the tables of roles, their links and permissions."""
+    roles, permissions, links = access.catalogue(spark)
+    held = get("account_role").join(F.broadcast(roles), "role_code").select("account_id", "role_id")  # five roles
+    return access.permissions_of(held, roles, links, permissions)
 
 
 @_query("select a.id, a.status, p.full_name from account a left join person p on a.person_id = p.id", "account person")
@@ -160,9 +188,17 @@ def account_person_left(get, spark, sf_dir):
     return get("account").join(get("person").toDF("person_id", "full_name", "sex"), "person_id", "left").select("id", "status", "full_name")
 
 
-@_query("select d.id, p.id as patient_id from document d join patient p on d.medical_record_id = p.id", "document patient")
+@_query("select d.id as document_id, r.patient_id from document d join medical_record r on d.medical_record_id + 1000000 = r.id", "document medical_record")
 def document_owner_chain(get, spark, sf_dir):
-    return get("document").select("id", F.col("medical_record_id").alias("patient_id")).join(get("patient").select(F.col("id").alias("patient_id")), "patient_id")
+    """From document by its medical record to the patient."""
+    return reads.owners(get("document").withColumn("medical_record_id", F.col("medical_record_id") + 1000000), get("medical_record"))
+
+
+@_query("select j.id, j.job_status, d.id as document_id, r.patient_id from processing_job j join document d on j.job_document_id = d.id join medical_record r on d.medical_record_id + 1000000 = r.id", "processing_job document medical_record")
+def job_owner_chain(get, spark, sf_dir):
+    """From job by document and medical record to the patient; a job whose chain is broken is not found."""
+    owned = reads.owners(get("document").withColumn("medical_record_id", F.col("medical_record_id") + 1000000), get("medical_record"))
+    return get("processing_job").withColumnRenamed("job_document_id", "document_id").join(owned, "document_id").select("id", "job_status", "document_id", "patient_id")
 
 
 @_query("select a.id, s.id as specialist_id from account a left join specialist s on a.person_id = s.person_id", "account specialist")
@@ -416,34 +452,54 @@ def foreign_key_check(get, spark, sf_dir):
 
 # ------------------------------------------------------------------- pipeline
 
-_FOLD = """select document_id,
- max_by(checksum, seq) filter (type = 'DocumentStored') as checksum, max_by(size_bytes, seq) filter (type = 'DocumentStored') as size_bytes,
- coalesce(max_by(case type when 'DocumentStored' then 'processing' when 'DocumentProcessingFailed' then 'failed' else case when succeeded then 'completed' else 'failed' end end, seq)
-  filter (type in ('DocumentStored', 'DocumentProcessingFailed', 'DocumentAnalysisCompleted')), 'pending') as status,
+_KNOWN = ", k as (select e.*, v.document_id is not null as known from pipeline_event e left join (select distinct document_id, document_version_id from document_version) v using (document_id, document_version_id))"""
+_VERSION_SQL = _KNOWN + """ select document_id, document_version_id,
+ max_by(storage_key, seq) filter (type = 'DocumentStored') as storage_key, max_by(mime_type, seq) filter (type = 'DocumentStored') as mime_type, max_by(checksum, seq) filter (type = 'DocumentStored') as checksum,
  coalesce(max_by(case type when 'DocumentConverted' then 'succeeded' else 'failed' end, seq) filter (type in ('DocumentConverted', 'DocumentProcessingFailed')), 'queued') as job_status,
- max_by(case when succeeded then 'succeeded' else 'failed' end, seq) filter (type = 'DocumentAnalysisCompleted') as extraction_status
- from pipeline_event group by document_id"""
+ max_by(occurred_at, seq) filter (type in ('DocumentConverted', 'DocumentProcessingFailed')) as finished_at, max_by(error_code, seq) filter (type = 'DocumentProcessingFailed') as error_code
+ from k where known group by document_id, document_version_id"""
+_DOCUMENT_SQL = _KNOWN + """, d as (select document_id, max_by(case when type = 'DocumentStored' then 'processing' when type = 'DocumentAnalysisCompleted' and succeeded then 'completed' else 'failed' end, seq)
+  filter (known and type = 'DocumentStored' or type in ('DocumentProcessingFailed', 'DocumentAnalysisCompleted')) as status,
+ max_by(size_bytes, seq) filter (known and type = 'DocumentStored') as size_bytes from k group by document_id)
+ select document_id, coalesce(status, 'pending') as status, size_bytes from d"""
+_STATE = ["document_id", "document_version_id", "storage_key", "mime_type", "checksum", "job_status", "finished_at", "error_code"]
+
+
+def _known_events(get) -> DataFrame:
+    return ev.with_known(get("pipeline_event"), get("document_version"))
 
 
-@_query(_FOLD, "pipeline_event")
+@_query(_VERSION_SQL, "pipeline_event document_version")
 def fold_events(get, spark, sf_dir):
-    return ev.folded(get("pipeline_event")).select("document_id", "checksum", "size_bytes", "status", "job_status", "extraction_status")
+    """The state of each version; events of versions that are not there are skipped."""
+    return ev.folded(_known_events(get).where("known"), ev.VERSIONS).select(*_STATE)
 
 
-@_query(_FOLD, "pipeline_event")
+@_query(_DOCUMENT_SQL, "pipeline_event document_version")
+def fold_documents(get, spark, sf_dir):
+    """The state of each document over all its versions."""
+    return ev.folded(_known_events(get), ev.DOCUMENTS).select("document_id", "status", "size_bytes")
+
+
+@_query("select extraction_id, max_by(case when succeeded then 'succeeded' else 'failed' end, seq) as extraction_status, max_by(confidence, seq) as confidence from pipeline_event where type = 'DocumentAnalysisCompleted' group by extraction_id", "pipeline_event")
+def fold_extractions(get, spark, sf_dir):
+    return ev.folded(get("pipeline_event").where("type = 'DocumentAnalysisCompleted'"), ev.EXTRACTIONS).select("extraction_id", "extraction_status", "confidence")
+
+
+@_query(_VERSION_SQL, "pipeline_event document_version")
 def fold_in_batches(get, spark, sf_dir):
     """The same states from two halves of the events, merged."""
-    events = get("pipeline_event")
-    states = ev.merged(ev.folded(events.where("seq % 2 = 0")), ev.folded(events.where("seq % 2 = 1")))
-    return states.select("document_id", "checksum", "size_bytes", "status", "job_status", "extraction_status")
+    events = _known_events(get).where("known")
+    halves = [ev.folded(events.where(f"seq % 2 = {i}"), ev.VERSIONS) for i in (0, 1)]
+    return ev.merged(*halves, ev.VERSIONS).select(*_STATE)
 
 
-@_query("select document_id, min(seq) as seq from pipeline_event where type = 'DocumentStored' and document_id not in (select document_id from document_version where checksum is not null) group by document_id", "pipeline_event document_version")
+@_query("select document_id, document_version_id, min(seq) as seq from pipeline_event where type = 'DocumentStored' and (document_id, document_version_id) in (select (document_id, document_version_id) from document_version where checksum is null) group by all", "pipeline_event document_version")
 def publish_once(get, spark, sf_dir):
     return ev.to_publish(get("pipeline_event"), get("document_version"))
 
 
-@_query("select seq, document_id from pipeline_event where document_id not in (select document_id from document_version)", "pipeline_event document_version")
+@_query("select seq, document_id from pipeline_event where (document_id, document_version_id) not in (select (document_id, document_version_id) from document_version)", "pipeline_event document_version")
 def unknown_versions(get, spark, sf_dir):
     return ev.unknown(get("pipeline_event"), get("document_version")).select("seq", "document_id")
 
@@ -524,7 +580,7 @@ def text_chunks(get, spark, sf_dir):
 def cosine_topk(get, spark, sf_dir):
     """The five nearest vectors of every fiftieth, in blocks of queries."""
     vectors = table(spark, sf_dir, "embeddings")
-    return analytics.cosine_topk(vectors, vectors.where("vec_id % 50 = 0"), 5, most_queries=100_000).select("query_id", "vec_id", "place")
+    return analytics.cosine_topk(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "place")
 
 
 @_query("select id, case when confidence < 0.8 then 'review_required' else 'accepted' end as review from extraction", "extraction")
@@ -563,10 +619,27 @@ def events_by_day(get, spark, sf_dir):
     return _windowed(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@_query("select id, 'completed' as status, document_type from document where status = 'completed' and size_bytes > 0", "document")
+@_query(
+    """select p.id as patient_id, n.full_name, r.id as record_id, case when n.id is null then 'no person' when r.id is null then 'no medical record' end as problem
+    from patient p left join (select * from person where id % 11 <> 0) n on p.person_id = n.id left join medical_record r on r.patient_id = p.id""",
+    "patient person medical_record",
+)
 def entity_composition(get, spark, sf_dir):
-    body = F.struct("id", "status", "document_type").alias("body")
-    return get("document").where("status = 'completed' and size_bytes > 0").select(body).select("body.*")
+    """Patient, person and medical record as one, or what is missing."""
+    out = reads.patient_context(get("patient"), get("person").where("id % 11 <> 0"), get("medical_record"))
+    return out.select("patient_id", F.col("person.full_name").alias("full_name"), F.col("medical_record.id").alias("record_id"), "problem")
+
+
+@_query(
+    """, c as (select document_id, min(occurred_at) as came from pipeline_event where type = 'DocumentUploadRequested' group by 1),
+    w as (select document_id, came, min(occurred_at) as went from pipeline_event join c using (document_id) where type = 'DocumentConverted' and occurred_at >= came group by all),
+    s as (select (epoch_us(went) - epoch_us(came)) / 1e6 as s from w)
+    select count(*) as n, round(avg(s), 3) as mean_seconds, round(quantile_cont(s, 0.5), 3) as p50_seconds, round(quantile_cont(s, 0.95), 3) as p95_seconds from s""",
+    "pipeline_event",
+)
+def pipeline_latency(get, spark, sf_dir):
+    kind = F.col("type")
+    return analytics.latencies(get("pipeline_event"), kind == "DocumentUploadRequested", kind == "DocumentConverted", "occurred_at", "document_id")
 
 
 @_query("select actor_account_id, count(*) as n, count(*) filter (action = 'error') as n_errors from audit_log group by actor_account_id", "audit_log")

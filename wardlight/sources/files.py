@@ -24,6 +24,12 @@ def inspected(files: DataFrame) -> DataFrame:
     )
 
 
+def accepted(files: DataFrame, declared: str = "declared") -> DataFrame:
+    """Files (declared, content) with ``error_code``: unsupported_type if the leading bytes are not of the declared type, known or not."""
+    same = F.coalesce(scalars.sniff_mime(F.col("content")) == F.lower(declared), F.lit(False))
+    return files.withColumn("error_code", F.when(~same, "unsupported_type"))
+
+
 def event_files(spark: SparkSession, path: str, schema: str = "type string, body string, seq long", per_trigger: int = 100) -> DataFrame:
     """A stream of JSON event files, at most ``per_trigger`` new files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
@@ -44,3 +50,8 @@ def as_messages(events: DataFrame, routing_key: str) -> DataFrame:
 def missing_objects(wanted: DataFrame, listing: DataFrame, key: str = "storage_key") -> DataFrame:
     """Objects that are still to be written: those whose key is not listed. Repeated keys are written once."""
     return wanted.dropDuplicates([key]).join(listing.select(key).distinct(), key, "left_anti")
+
+
+def start_sink(messages: DataFrame, path: str, checkpoint: str):
+    """Write a stream of (routing_key, type, body) as JSON files, a folder for each routing key, each message once."""
+    return messages.writeStream.format("json").partitionBy("routing_key").option("path", path).option("checkpointLocation", checkpoint)

@@ -66,7 +66,18 @@ ENTITIES: dict[str, Entity] = {
             "title": "case when doc_id % 3 = 0 then '' else concat('Title ', cast(doc_id as varchar(20))) end",
         },
     ),
-    "document_version": Entity("conversations", {"document_id": "conv_id", "version": "turn", "s3_key": "concat('k/', cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))", "checksum": "case when turn = 0 then null else role end"}),
+    "medical_record": Entity("customer", {"id": "c_custkey + 1000000", "patient_id": "c_custkey"}, "c_custkey % 9 <> 0"),
+    "processing_job": Entity("labels", {"id": "doc_id + 5000000", "job_document_id": "doc_id * 2", "job_status": "case when toxic = 1 then 'failed' else 'succeeded' end"}),
+    "profile_patch": Entity(
+        "orders",
+        {
+            "id": "o_orderkey",
+            "first_name": "case when o_orderkey % 3 = 0 then null when o_orderkey % 31 = 1 then '' else o_orderpriority end",
+            "date_of_birth": "case when o_orderkey % 4 = 0 then null else cast(o_orderdate as date) end",
+            "sex": "case o_orderkey % 5 when 0 then 'male' when 1 then 'unknown' end",
+        },
+    ),
+    "document_version": Entity("conversations", {"document_id": "conv_id", "document_version_id": "concat(cast(conv_id as varchar(20)), '-', cast(turn as varchar(20)))", "version": "turn", "s3_key": "concat('k/', cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))", "checksum": "case when turn = 0 then null else role end"}),
     "extraction": Entity("labels", {"id": "doc_id", "document_id": "doc_id", "status": "case when toxic = 1 then 'failed' else 'succeeded' end", "confidence": "case when quality = 1 then 0.97 else 0.42 end"}),
     "audit_log": Entity("events", {"id": "event_id", "actor_account_id": "user_id", "action": "event_type", "patient_id": "user_id % 40", "metadata": "props", "created_at": "ts"}),
     "session_row": Entity("events", {"id": "event_id", "account_id": "user_id", "revoked_at": "case when event_type = 'error' then ts else null end", "expires_at": "ts"}, "event_type <> 'view'"),
@@ -75,6 +86,11 @@ ENTITIES: dict[str, Entity] = {
         {
             "seq": "event_id",
             "document_id": "user_id",
+            "document_version_id": "concat(cast(user_id as varchar(20)), '-', cast(event_id % 5 as varchar(20)))",
+            "extraction_id": "user_id * 10 + event_id % 3",
+            "storage_key": "concat('s/', cast(event_id as varchar(20)))",
+            "mime_type": "case when event_id % 2 = 0 then 'application/pdf' else 'image/png' end",
+            "error_code": "concat('E', cast(event_id % 7 as varchar(20)))",
             "type": "case event_type when 'signup' then 'DocumentUploadRequested' when 'click' then 'DocumentStored' when 'view' then 'DocumentConverted' when 'purchase' then 'DocumentAnalysisCompleted' else 'DocumentProcessingFailed' end",
             "occurred_at": "ts",
             "succeeded": "value >= 50",

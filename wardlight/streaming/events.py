@@ -1,20 +1,68 @@
 """Document events: parsing, routing to models, and the fold into states, in batch and as a stream.
 
-Handlers apply events in order of arrival and the last one wins, so every state is the value of the
-event with the largest sequence number among those that set it: an aggregate per version, with a map-side part,
-instead of a loop. The stream folds each micro-batch and merges it with the states so far by the same rule.
+Handlers apply events in order of arrival and the last one wins, so every part of a state is the value of the
+event with the largest sequence number among those that set it: an aggregate per key, with a map-side part,
+instead of a loop. What is stored and converted belongs to the version of a document, a document's status to the
+document, an analysis to the extraction; each is a ``Fold`` of its own. The stream folds each micro-batch and merges it
+with the states so far by the same rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_BASE, EVENT_FIELDS
 
-#: Status of the document after an event of a type (fixed values); an analysis depends on its own outcome.
-DOCUMENT_STATUS = {"DocumentStored": "processing", "DocumentProcessingFailed": "failed"}
-STATE = "document_id long, stored_seq long, checksum string, size_bytes long, first_stored_seq long, status_seq long, status string, job_seq long, job_status string, extraction_seq long, extraction_status string, confidence double"
+VERSION_KEY = ("document_id", "document_version_id")
+
+
+@dataclass(frozen=True)
+class Fold:
+    """A state by ``key``: ``parts`` name a condition and the values that the last event with it sets, all SQL expressions."""
+
+    key: tuple[str, ...]
+    parts: dict[str, tuple[str, dict[str, str]]]
+    #: Columns with the first sequence number of the events that meet a condition.
+    firsts: dict[str, str] = field(default_factory=dict)
+    #: Values where no event has set them.
+    defaults: dict[str, str] = field(default_factory=dict)
+
+    def values(self) -> list[str]:
+        return [c for _, named in self.parts.values() for c in named]
+
+
+#: The versions' states (conditions and statuses are fixed values).
+VERSIONS = Fold(
+    VERSION_KEY,
+    {
+        "stored": ("known and type = 'DocumentStored'", {c: c for c in ("storage_key", "mime_type", "size_bytes", "checksum")}),
+        "job": ("known and type in ('DocumentConverted', 'DocumentProcessingFailed')", {"job_status": "if(type = 'DocumentConverted', 'succeeded', 'failed')", "finished_at": "occurred_at"}),
+        "error": ("known and type = 'DocumentProcessingFailed'", {"error_code": "error_code"}),
+    },
+    {"first_stored_seq": "known and type = 'DocumentStored'"},
+    {"job_status": "queued"},
+)
+#: The documents' states; a failure counts whether its version is known or not.
+DOCUMENTS = Fold(
+    ("document_id",),
+    {
+        "status": (
+            "(known and type = 'DocumentStored') or type in ('DocumentProcessingFailed', 'DocumentAnalysisCompleted')",
+            {"status": "case when type = 'DocumentStored' then 'processing' when type = 'DocumentAnalysisCompleted' and succeeded then 'completed' else 'failed' end"},
+        ),
+        "file": ("known and type = 'DocumentStored'", {c: c for c in ("storage_key", "mime_type", "size_bytes")}),
+    },
+    {},
+    {"status": "pending"},
+)
+EXTRACTIONS = Fold(
+    ("extraction_id",),
+    {"analysis": ("type = 'DocumentAnalysisCompleted'", {"extraction_status": "if(succeeded, 'succeeded', 'failed')", "confidence": "confidence"})},
+)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -28,78 +76,105 @@ def parsed(messages: DataFrame) -> DataFrame:
     return known.select("seq", "type", event.alias("event")).withColumn("valid", F.col("event.document_id").isNotNull())
 
 
-def folded(events: DataFrame) -> DataFrame:
-    """The state (see ``STATE``) of every document that has events (seq, document_id, type, succeeded, checksum, confidence, size_bytes)."""
-    kind = lambda *names: F.col("type").isin(*names)
-    analysed = F.when(F.col("succeeded"), "completed").otherwise("failed")
-    status = F.when(kind("DocumentStored"), "processing").when(kind("DocumentProcessingFailed"), "failed").when(kind("DocumentAnalysisCompleted"), analysed)
-    job = F.when(kind("DocumentConverted"), "succeeded").when(kind("DocumentProcessingFailed"), "failed")
-    stored, found = kind("DocumentStored"), kind("DocumentAnalysisCompleted")
-    last = lambda value, when: F.max(F.when(when, F.struct("seq", value.alias("value"))))
-    out = events.groupBy("document_id").agg(
-        last(F.struct("checksum", "size_bytes"), stored).alias("stored"),
-        F.min(F.when(stored, F.col("seq"))).alias("first_stored_seq"),
-        last(status, status.isNotNull()).alias("status"),
-        last(job, job.isNotNull()).alias("job"),
-        last(F.struct(F.when(F.col("succeeded"), "succeeded").otherwise("failed").alias("status"), F.col("confidence").alias("confidence")), found).alias("extraction"),
-    )
-    return out.select(
-        "document_id",
-        F.col("stored.seq").alias("stored_seq"),
-        F.col("stored.value.checksum").alias("checksum"),
-        F.col("stored.value.size_bytes").alias("size_bytes"),
-        "first_stored_seq",
-        F.col("status.seq").alias("status_seq"),
-        F.coalesce("status.value", F.lit("pending")).alias("status"),
-        F.col("job.seq").alias("job_seq"),
-        F.coalesce("job.value", F.lit("queued")).alias("job_status"),
-        F.col("extraction.seq").alias("extraction_seq"),
-        F.col("extraction.value.status").alias("extraction_status"),
-        F.col("extraction.value.confidence").alias("confidence"),
-    )
-
-
-def merged(before: DataFrame, after: DataFrame) -> DataFrame:
+def with_known(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """Events with ``known``: whether their version is there. What belongs to a version is skipped where it is not."""
+    there = versions.select(*VERSION_KEY).distinct().withColumn("known", F.lit(True))
+    return events.drop("known").join(there, list(VERSION_KEY), "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def _last(seq: Column, values: list[Column], when: Column) -> Column:
+    return F.max(F.when(when, F.struct(seq.alias("seq"), F.struct(*values).alias("value"))))
+
+
+def _opened(grouped: DataFrame, fold: Fold) -> DataFrame:
+    columns = []
+    for name, (_, named) in fold.parts.items():
+        columns.append(F.col(f"_{name}.seq").alias(f"{name}_seq"))
+        for c in named:
+            value = F.col(f"_{name}.value.{c}")
+            columns.append((F.coalesce(value, F.lit(fold.defaults[c])) if c in fold.defaults else value).alias(c))
+    return grouped.select(*fold.key, *columns, *fold.firsts)
+
+
+def folded(events: DataFrame, fold: Fold) -> DataFrame:
+    """The state of every key that has events. VERSIONS and DOCUMENTS need the column of ``with_known``."""
+    events = events.where(F.concat(*[F.col(c).cast("string") for c in fold.key]).isNotNull())
+    parts = [_last(F.col("seq"), [F.expr(x).alias(c) for c, x in named.items()], F.expr(when)).alias(f"_{name}") for name, (when, named) in fold.parts.items()]
+    firsts = [F.min(F.when(F.expr(when), F.col("seq"))).alias(c) for c, when in fold.firsts.items()]
+    return _opened(events.groupBy(*fold.key).agg(*parts, *firsts), fold)
+
+
+def merged(before: DataFrame, after: DataFrame, fold: Fold) -> DataFrame:
     """Two tables of states as one: for each part of a state the one with the larger sequence number."""
     both = before.unionByName(after)
-    part = lambda seq, *names: F.max(F.when(F.col(seq).isNotNull(), F.struct(seq, *names)))
-    out = both.groupBy("document_id").agg(
-        part("stored_seq", "checksum", "size_bytes").alias("a"),
-        F.min("first_stored_seq").alias("first_stored_seq"),
-        part("status_seq", "status").alias("b"),
-        part("job_seq", "job_status").alias("c"),
-        part("extraction_seq", "extraction_status", "confidence").alias("d"),
-    )
-    return out.select(
-        "document_id", "a.stored_seq", "a.checksum", "a.size_bytes", "first_stored_seq", "b.status_seq", F.coalesce("b.status", F.lit("pending")).alias("status"),
-        "c.job_seq", F.coalesce("c.job_status", F.lit("queued")).alias("job_status"), "d.extraction_seq", "d.extraction_status", "d.confidence",
-    )
-
-
-def to_publish(events: DataFrame, versions: DataFrame | None = None) -> DataFrame:
-    """(document_id, seq): the stored event of each document that is told to others, the first, unless its version has a checksum already."""
-    first = events.where(F.col("type") == "DocumentStored").groupBy("document_id").agg(F.min("seq").alias("seq"))
-    if versions is not None:
-        first = first.join(versions.where(F.col("checksum").isNotNull()).select("document_id").distinct(), "document_id", "left_anti")
-    return first
+    parts = [_last(F.col(f"{name}_seq"), [F.col(c) for c in named], F.col(f"{name}_seq").isNotNull()).alias(f"_{name}") for name, (_, named) in fold.parts.items()]
+    return _opened(both.groupBy(*fold.key).agg(*parts, *[F.min(c).alias(c) for c in fold.firsts]), fold)
+
+
+def to_publish(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """(document_id, document_version_id, seq): the stored event of each version that is told to others.
+
+    It is the first one, of a version that is there and has no checksum yet.
+    """
+    key = list(VERSION_KEY)
+    first = events.where(F.col("type") == "DocumentStored").groupBy(*key).agg(F.min("seq").alias("seq"))
+    blank = versions.groupBy(*key).agg(F.count("checksum").alias("n")).where("n = 0").select(*key)
+    return first.join(blank, key, "left_semi")
 
 
 def unknown(events: DataFrame, versions: DataFrame) -> DataFrame:
-    """Events whose document has no version: left out of the fold, kept for inspection."""
-    return events.join(versions.select("document_id").distinct(), "document_id", "left_anti")
+    """Events whose version is not there: left out of its fold, kept for inspection."""
+    return events.join(versions.select(*VERSION_KEY).distinct(), list(VERSION_KEY), "left_anti")
+
+
+# -------------------------------------------------------------------- stream
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _manifest(spark: SparkSession, state_path: str, number: int) -> dict[int, int]:
+    """Of each bucket the batch that wrote it last; a row a bucket."""
+    path = f"{state_path}/manifest/batch={number}"
+    fs, place = _files(spark, path)
+    return {r["bucket"]: r["at"] for r in spark.read.parquet(path).collect()} if fs.exists(place) else {}
+
+
+def _states(spark: SparkSession, state_path: str, places: dict[int, int], like: DataFrame) -> DataFrame:
+    paths = [f"{state_path}/batch={at}/bucket={bucket}" for bucket, at in sorted(places.items())]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
+
+def current_states(spark: SparkSession, state_path: str, number: int) -> DataFrame:
+    """All states as they are after a batch of ``start_fold``."""
+    places = _manifest(spark, state_path, number)
+    return spark.read.parquet(*[f"{state_path}/batch={at}/bucket={bucket}" for bucket, at in sorted(places.items())])
 
 
-def start_fold(events: DataFrame, state_path: str, checkpoint: str):
-    """Fold a stream of events into Parquet states, one folder a batch; the newest folder holds all states.
+def start_fold(events: DataFrame, fold: Fold, state_path: str, checkpoint: str, buckets: int = 64, prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """Fold a stream of events into Parquet states, in buckets of keys, of which a batch rewrites those that it touches.
 
-    A batch reads the folder before it and writes its own, so a batch that is repeated after a failure gives the same result.
+    A batch reads the manifest of the one before it and the buckets named there, and writes its own, so a batch that is
+    repeated after a failure gives the same result. Buckets that no later batch can need are deleted. ``prepare`` is applied to
+    each batch (``with_known``, for one).
     """
     spark = events.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        now = folded(batch)
-        if number:
-            now = merged(spark.read.schema(STATE).parquet(f"{state_path}/batch={number - 1}"), now)
-        now.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        place = F.pmod(F.hash(*fold.key), F.lit(buckets))
+        now = folded(prepare(batch) if prepare else batch, fold)
+        before = _manifest(spark, state_path, number - 1)
+        touched = {r[0] for r in now.select(place).distinct().collect()}  # at most ``buckets`` numbers
+        old = _states(spark, state_path, {b: at for b, at in before.items() if b in touched}, now)
+        merged(old, now, fold).withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/batch={number}")
+        after = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(after.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/manifest/batch={number}")
+        # This batch may be repeated from the manifest before it, but no earlier one can.
+        for b, at in _manifest(spark, state_path, number - 2).items():
+            if before.get(b) != at:
+                fs, path = _files(spark, f"{state_path}/batch={at}/bucket={b}")
+                fs.delete(path, True)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

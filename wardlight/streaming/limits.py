@@ -49,8 +49,12 @@ def rate_limited(requests: DataFrame, key: str, at: str, order: str, window: flo
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
 
 
-def stream_rate_limited(requests: DataFrame, key: str = "identity", at: str = "at", window: float = WINDOW_S, allowed: int = ALLOWED) -> DataFrame:
-    """A stream's requests (key string, at timestamp) with ``allowed``; a key's state goes when its window is over."""
+def stream_rate_limited(requests: DataFrame, key: str = "identity", at: str = "at", window: float = WINDOW_S, allowed: int = ALLOWED, late: str = "10 minutes") -> DataFrame:
+    """A stream's requests (key string, at timestamp) with ``allowed``, judged by the times of the requests alone.
+
+    All that a trigger brings for a key is put in order first. A key's state goes when the watermark, ``late`` behind the newest
+    request, has passed the window's end; requests behind the watermark are dropped, as no state could judge them.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,15 +62,15 @@ def stream_rate_limited(requests: DataFrame, key: str = "identity", at: str = "a
             state.remove()
             return
         began, count = state.get if state.exists else (None, 0)
-        for b in batches:
-            b = b.sort_values(at)
-            seconds = [t.timestamp() for t in b[at]]
-            verdicts, began, count = anchored(seconds, began, count, window, allowed)
-            yield pd.DataFrame({key: [k[0]] * len(b), at: b[at], "allowed": verdicts})
+        times = pd.concat([b[at] for b in batches]).sort_values()
+        verdicts, began, count = anchored([t.timestamp() for t in times], began, count, window, allowed)
         state.update((began, count))
-        state.setTimeoutDuration(int(window * 1000))
+        # Not before the watermark, which is where an expiry may be set at the earliest.
+        state.setTimeoutTimestamp(int(max((began + window) * 1000, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame({key: [k[0]] * len(times), at: times.to_numpy(), "allowed": verdicts})
 
-    return requests.groupBy(key).applyInPandasWithState(run, f"{key} string, {at} timestamp, allowed boolean", "began double, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = requests.withWatermark(at, late)
+    return marked.groupBy(key).applyInPandasWithState(run, f"{key} string, {at} timestamp, allowed boolean", "began double, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def code_attempts(attempts: DataFrame, most: int = ATTEMPTS, life: float = CODE_S) -> DataFrame:
