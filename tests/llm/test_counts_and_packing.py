@@ -135,6 +135,14 @@ def test_entropy_of_every_window():
     assert got.tolist() == [brute_entropy(data[i : i + 64]) for i in range(len(data) - 63)]
 
 
+def test_blocks_give_the_same_fingerprints():
+    texts = [t.encode() for t in (prose(3, 400), "", "x", "a" * 3000, prose(4, 5), "é" * 200 + prose(5, 90), "ab" * 700)]
+    ranks = fp.rarity_ranks(fp.entropy_counts(texts))
+    whole = fp.fingerprints(texts, ranks)
+    for block in (128, 500, 1000):
+        assert fp.fingerprints(texts, ranks, block) == whole
+
+
 def brute_features(data, ranks):
     n = len(data) - 63
     levels = [ranks[brute_entropy(data[i : i + 64])] for i in range(n)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import cut_lineage, mix64, power_table, prefix_hash
+from ._shared import BLOCK, cut_lineage, mix64, power_table, prefix_hash
 
 SIZE = 64
 POINTS = 16
@@ -94,6 +94,11 @@ def entropy_counts(texts: list[bytes]) -> np.ndarray:
     """How many windows of the texts have each level."""
     out = np.zeros(LEVELS, dtype=np.int64)
     for _, part in _chunks(texts):
+        if len(part) == 1:  # maybe a long one
+            data = np.frombuffer(part[0], dtype=np.uint8)
+            for a in range(0, len(data) - SIZE + 1, BLOCK):
+                out += np.bincount(entropies(data[a : a + BLOCK + SIZE - 1]), minlength=LEVELS)
+            continue
         data, starts = _joined(part)
         levels = entropies(data)
         for s, t in zip(starts, part, strict=True):
@@ -119,29 +124,44 @@ def _leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
-    """The chained Bloom filters of each text, 256 bytes each; none for an empty text."""
+def _scored(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, block: int):
+    """(position, hash) of every feature of joined texts, and the points of all windows, block after block."""
+    points = np.zeros(len(data), dtype=np.uint8)
+    chosen, hashes = [], []
+    for a in range(0, len(data), block):
+        b = min(a + block, len(data))
+        lo = max(0, a - SIZE + 1)  # a window's points come from the runs of windows that begin up to 63 before it
+        own = data[lo : b + 2 * SIZE - 2]
+        levels = entropies(own)
+        if len(levels) < SIZE:
+            continue
+        position = np.arange(lo, lo + len(levels), dtype=np.int64)
+        text = np.searchsorted(starts, position, side="right") - 1
+        valid = (text >= 0) & (position - starts[text] + SIZE <= lengths[text])
+        best = _leftmost_least((np.where(valid, ranks[levels], LEVELS) << 40) | position, SIZE)
+        got = np.bincount((best[best >> 40 < LEVELS] & ((1 << 40) - 1)) - lo, minlength=len(levels))[a - lo : b - lo]
+        points[a : a + len(got)] = got
+        at = np.flatnonzero(got >= POINTS) + (a - lo)
+        sums, down = prefix_hash(own), power_table(len(own) + 1, "down")
+        chosen.append(at + lo)
+        hashes.append(mix64((sums[at + SIZE] - sums[at]) * down[at]))
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *chosen]), np.concatenate([none.view(np.uint64), *hashes]), points
+
+
+def fingerprints(texts: list[bytes], ranks: np.ndarray, block: int = BLOCK) -> list[bytes]:
+    """The chained Bloom filters of each text, 256 bytes each; none for an empty text. Long texts are taken in blocks."""
     out: list[bytes] = []
     for _, part in _chunks(texts):
         data, starts = _joined(part)
-        levels = entropies(data)
-        position = np.arange(len(levels), dtype=np.int64)
-        valid = np.zeros(len(levels), dtype=bool)
-        for s, t in zip(starts, part, strict=True):
-            valid[s : max(s, s + len(t) - SIZE + 1)] = True
-        keys = (np.where(valid, ranks[levels], LEVELS) << 40) | position
-        best = _leftmost_least(keys, SIZE)
-        points = np.bincount(best[best >> 40 < LEVELS] & ((1 << 40) - 1), minlength=len(levels))
-        chosen = np.flatnonzero(points >= POINTS)
-        sums, down = prefix_hash(data), power_table(len(data) + 1, "down")
-        hashes = mix64((sums[chosen + SIZE] - sums[chosen]) * down[chosen])
+        chosen, hashes, points = _scored(data, starts, np.array([len(t) for t in part]), ranks, block)
         for s, t in zip(starts, part, strict=True):
             a, b = np.searchsorted(chosen, (s, s + len(t)))
             own = hashes[a:b]
             if a == b and t:  # no window has enough points, or the text is shorter than one
                 stop = s + len(t) - SIZE + 1
                 at = int(s + np.argmax(points[s:stop])) if stop > s else int(s)
-                own = mix64((sums[min(at + SIZE, s + len(t))] - sums[at : at + 1]) * down[at : at + 1])
+                own = mix64(prefix_hash(data[at : min(at + SIZE, s + len(t))])[-1:])
             out.append(_filters(own))
     return out
 

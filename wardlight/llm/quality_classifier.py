@@ -157,7 +157,7 @@ def telling(ratings: Ratings, buckets: int, least: int = 5, clear: float = 5.0)
     return out
 
 
-def fit(ratings: Ratings, buckets: int, steps: int = 800, l2: float = 1e-4, rate: float = 0.5) -> OrdinalModel:
+def fit(ratings: Ratings, buckets: int, steps: int = 300, l2: float = 1e-4, rate: float = 0.5) -> OrdinalModel:
     """Full-batch AdaGrad on the cumulative-link likelihood. A weight that would change its sign stops at 0 for a step.
 
     Marks of form take larger steps than the many words that come with them, and so most of the credit.
