@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, max_rows:
     return fit(ratings_of(rated_texts(docs, labels, max_rows), buckets), buckets)
 
 
-def score(docs: DataFrame, model: OrdinalModel, least_good: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, least_good: float = 0.25) -> DataFrame:
     """(doc_id, score, expected_grade, p_above_toxic, p_good, kept): a row for each row of ``docs``.
 
     ``kept`` if P(good) is at least ``least_good``. A null, empty or wordless text can't be judged: its score is
@@ -248,6 +248,6 @@ def score(docs: DataFrame, model: OrdinalModel, least_good: float = 0.3) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least_good: float = 0.3) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least_good: float = 0.25) -> DataFrame:
     """Train on the labels and score every document."""
     return score(docs, train(docs, labels, max_rows=max_rows), least_good)
