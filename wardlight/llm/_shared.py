@@ -62,7 +62,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller on disk than a checkpoint where rows are many and short."""
     path = shared_path(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups, which a writer holds whole beside what the task computes.
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
