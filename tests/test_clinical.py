@@ -221,3 +221,62 @@ def test_empty_and_domains(spark):
     assert reads.active_grants(grants, F.lit(NOW)).count() == 0
     rows = spark.createDataFrame([("active",), ("odd",), (None,)], "status string")
     assert [r[0] for r in schema.outside_domain(rows, "status", "grant_status").collect()] == ["odd"]
+
+
+def test_hmac_is_that_of_the_standard_library(spark):
+    import hashlib
+    import hmac
+
+    texts = ["", "abc", "Grüße \u4e2d\u6587 \U0001f600", "x" * 1000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for secret in ("k", "ключ", "s" * 64, "s" * 65):
+        got = [r[0] for r in rows.select(scalars.hmac_sha256(secret)(F.col("t"))).collect()]
+        assert got == [None if t is None else hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest() for t in texts]
+
+
+def test_times_and_codes(spark):
+    row = spark.createDataFrame([(dt.datetime(2024, 7, 1, 12), dt.datetime(2024, 7, 1, 12, 0, 1, 999_999))], "a timestamp_ntz, b timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            got = row.select(F.unix_seconds(scalars.as_utc(F.col("a"))), scalars.elapsed_ms(F.col("a"), F.col("b")), scalars.elapsed_ms(F.col("a"), F.lit(None).cast("timestamp"))).first()
+            assert tuple(got) == (1719835200, 1999, None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    codes = spark.range(2000).select(scalars.random_code(7).alias("c"))
+    assert codes.where(~scalars.is_otp(F.col("c"))).count() == 0 and codes.distinct().count() > 1900
+    assert codes.where("c like '0%'").count() > 100
+
+
+def test_records_are_ensured_once(spark):
+    have = spark.createDataFrame([("r1", 1, NOW)], "id string, patient_id int, created_at timestamp")
+    patients = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
+    out = mutations.ensure_records(have, patients, F.lit(LATER)).collect()
+    assert sorted((r["patient_id"], r["created_at"]) for r in out) == [(1, NOW), (2, LATER)]
+    assert mutations.ensure_records(have, patients.limit(0), F.lit(LATER)).collect() == have.collect()
+
+
+def test_evolved_and_inserted(spark):
+    table = spark.createDataFrame([(1, "a", True)], "id int, x string, gone boolean")
+    after = mutations.evolved(table, {"x": "y"}, {"n": "bigint"}, ("gone",))
+    assert after.dtypes == [("id", "int"), ("y", "string"), ("n", "bigint")]
+    more = spark.createDataFrame([("7", "extra")], "id string, other string")
+    assert [tuple(r) for r in mutations.insert_select(after, more, n=F.lit(5)).collect()] == [(1, "a", None), (7, None, 5)]
+
+
+def test_notification_providers(spark):
+    to = spark.createDataFrame([("a@b.c",), ("+100",), (None,)], "recipient string")
+    errors = lambda provider: [r["error_code"] for r in files.addressed(to, provider).collect()]
+    assert errors("console") == [None, None, "unsupported_channel"]
+    assert errors("smtp") == [None, "unsupported_channel", "unsupported_channel"]
+    with pytest.raises(ValueError):
+        files.addressed(to, "pigeon")
+
+
+def test_retries_end_with_a_dead_letter(spark):
+    kinds = ["DocumentProcessingFailed"] * 5 + ["DocumentConverted"] + ["DocumentProcessingFailed"] * 4
+    rows = [(i, "d", "v", k) for i, k in enumerate(kinds)] + [(99, "d", "w", "DocumentProcessingFailed"), (100, "d", "x", "DocumentConverted")]
+    events = spark.createDataFrame(rows, "seq int, document_id string, document_version_id string, type string")
+    got = {r["document_version_id"]: (r["n_failed"], r["outcome"]) for r in ev.retry_or_bury(events).collect()}
+    assert got == {"v": (4, "dead_letter"), "w": (1, "retry")}

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,10 +114,28 @@ def config_list(value: Column) -> Column:
 
 
 def hmac_sha256(secret: str):
-    """A function of a string column: its HMAC-SHA256 in hexadecimal (Spark has none built in); null stays null."""
+    """A function of a string column: its HMAC-SHA256 in hexadecimal, from two SHA-256 over padded keys; null stays null."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in key).hex())) for pad in (0x36, 0x5C))
 
-    @F.pandas_udf("string")
-    def digest(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(secret.encode(), v.encode(), hashlib.sha256).hexdigest())
+    def digest(value: Column) -> Column:
+        first = F.sha2(F.concat(inner, F.encode(value, "utf-8")), 256)
+        return F.sha2(F.concat(outer, F.unhex(first)), 256)
 
     return digest
+
+
+def as_utc(naive: Column) -> Column:
+    """The moment of a timestamp without zone that is meant in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds from one moment to another, the rest cut off; null if either is."""
+    return ((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000).cast("long")
+
+
+def random_code(seed: int | None = None) -> Column:
+    """Six random digits, with zeros in front. Spark's generator is not a cryptographic one: for test data only."""
+    return F.lpad(F.floor(F.rand(seed) * 1_000_000).cast("string"), 6, "0")

@@ -15,6 +15,29 @@ def insert_missing(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     return table.withColumn("created", F.lit(False)).unionByName(new.withColumn("created", F.lit(True)), allowMissingColumns=True)
 
 
+def insert_select(table: DataFrame, rows: DataFrame, **values: Column) -> DataFrame:
+    """The table with the rows appended; ``values`` give further columns, and what neither has is null."""
+    given = rows.withColumns(values) if values else rows
+    kinds = dict(table.dtypes)
+    new = given.select(*[(F.col(c) if c in given.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in table.columns])
+    return table.unionByName(new)
+
+
+def ensure_records(records: DataFrame, patients: DataFrame, now: Column) -> DataFrame:
+    """Medical records (id, patient_id, created_at) so that each patient has one: those there, and a new one with a random id for each patient without.
+
+    A patient that is given twice, or without an id, gets no second one and none. Random ids change when a lost part is made
+    again, so the result is to be written before it is read twice.
+    """
+    without = patients.select(F.col("id").alias("patient_id")).where("patient_id is not null").distinct().join(records.select("patient_id"), "patient_id", "left_anti")
+    return insert_select(records, without, id=F.uuid(), created_at=now)
+
+
+def evolved(table: DataFrame, renamed: dict[str, str], added: dict[str, str], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """The table with columns dropped, renamed, and added as nulls of a type, in this order."""
+    return table.drop(*dropped).withColumnsRenamed(renamed).select("*", *[F.lit(None).cast(t).alias(c) for c, t in added.items()])
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both; where a key is in both, the changes' columns win, nulls too. Other columns stay."""
     named = [c for c in changes.columns if c not in key]

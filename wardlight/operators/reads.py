@@ -44,6 +44,11 @@ def active_grants(grants: DataFrame, now: Column, flag: str | None = None) -> Da
     return found if flag is None else found.where(F.col(flag).eqNullSafe(True))
 
 
+def consented(consents: DataFrame, purpose: str, now: Column) -> DataFrame:
+    """Active, unexpired consents to a purpose."""
+    return unexpired(consents.where((F.col("status") == "active") & (F.col("purpose") == purpose)), now)
+
+
 def valid_sessions(sessions: DataFrame, now: Column) -> DataFrame:
     """Sessions neither revoked nor expired."""
     return sessions.where(F.col("revoked_at").isNull() & (F.col("expires_at") > now))

@@ -363,18 +363,44 @@ def mask_text(get, spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.mask_text(F.col("text"))).alias("masked_md5"))
 
 
-@_query("select event_id, '<redacted>' as token, event_type as kind from events")
+_HEADER_NAMES = ("Authorization", "COOKIE", "X-Api-Key", "x-auth-token", "X-Access-Token", "Accept", "X-Api-Keys", "Host")
+
+
+@_query(
+    f""", h as (select event_id, unnest([[{", ".join(f"'{h}'" for h in _HEADER_NAMES)}][event_id % 8 + 1], 'User-Agent']) as name, event_type as value from events)
+    select event_id, name, case when regexp_matches(name, '^(authorization|cookie|x-(api-key|auth-token|access-token))$', 'i') then '<redacted>' else value end as value from h""".replace(", h as", "with h as", 1)
+)
 def mask_headers(get, spark, sf_dir):
-    headers = F.create_map(F.lit("Authorization"), F.col("event_type"), F.lit("accept"), F.col("event_type"))
-    masked = redaction.mask_headers(headers)
-    return table(spark, sf_dir, "events").select("event_id", masked["Authorization"].alias("token"), masked["accept"].alias("kind"))
+    name = F.get(F.array(*map(F.lit, _HEADER_NAMES)), (F.col("event_id") % 8).cast("int"))
+    headers = F.create_map(name, F.col("event_type"), F.lit("User-Agent"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(redaction.mask_headers(headers)).alias("name", "value"))
 
 
-@_query("select event_id, '<redacted>' as code, cast(json_extract(props, '$.k') as bigint) as k from events")
+_JSON_FIELDS = ("pin_code", "Kind", "userEmail", "size", "sessionId", "k")
+
+
+@_query(
+    f"""with n as (select *, [{", ".join(f"'{f}'" for f in _JSON_FIELDS)}][event_id % 6 + 1] as field, event_id % 6 in (0, 2, 4) as telling from events where event_id % 10 <> 9)
+    select event_id, case when not telling then event_type when event_type <> 'view' then '<redacted>' end as first,
+     case when telling then '<redacted>' else cast(event_id as varchar) end as second, cast(json_extract(props, '$.k') as bigint) as k, event_type as plain from n
+    union all select event_id, null, null, null, null from events where event_id % 10 = 9"""
+)
 def mask_json(get, spark, sf_dir):
-    body = F.to_json(F.struct(F.struct(F.lit("x").alias("pin_code"), F.from_json("props", "k long").alias("inner")).alias("outer")))
-    masked = table(spark, sf_dir, "events").select("event_id", redaction.mask_json(body).alias("m"))
-    return masked.select("event_id", F.get_json_object("m", "$.outer.pin_code").alias("code"), F.get_json_object("m", "$.outer.inner.k").cast("long").alias("k"))
+    """Fields in lists and in objects of objects, telling names in any case, nulls that stay null ('view'), and every tenth body cut short."""
+    field = F.get(F.array(*map(F.lit, _JSON_FIELDS)), (F.col("event_id") % 6).cast("int"))
+    telling = F.col("event_id") % 6 % 2 == 0
+    value = F.when(telling & (F.col("event_type") == "view"), "null").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    body = F.format_string('{"a": [{"%s": %s}, [{"in": {"%s": %d}}]], "b": {"inner": %s, "plain": "%s"}}', field, value, field, "event_id", "props", "event_type")
+    body = F.when(F.col("event_id") % 10 == 9, F.substring(body, 1, 20)).otherwise(body)
+    masked = table(spark, sf_dir, "events").select("event_id", field.alias("f"), redaction.mask_json(body).alias("m"))
+    at = lambda path: F.expr(f"get_json_object(m, {path})")
+    return masked.select(
+        "event_id",
+        at("concat('$.a[0].', f)").alias("first"),
+        at("concat('$.a[1][0].in.', f)").alias("second"),
+        at("'$.b.inner.k'").cast("long").alias("k"),
+        at("'$.b.plain'").alias("plain"),
+    )
 
 
 @_query("select page_id, not (regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) in ('/health', '/metrics', '/docs', '/redoc', '/openapi.json', '/favicon.ico', '/')) as logged, case when length(html) > 3000 then '<' || length(html) || ' characters not logged>' else html end as body from pages")
@@ -389,9 +415,76 @@ def expiry_times(get, spark, sf_dir):
     return get("audit_log").select("id", (at + F.expr("interval 30 days")).alias("session_ends"), (at + F.expr("interval 15 minutes")).alias("token_ends"))
 
 
+@_query("select event_id, regexp_matches(code, '^[0-9]{6}$') as valid from (select event_id, case event_id % 4 when 0 then lpad(event_id::varchar, 6, '0') when 1 then event_id::varchar when 2 then lpad(event_id::varchar, 6, 'x') else lpad(event_id::varchar, 6, '0') || ' ' end as code from events)")
+def code_format(get, spark, sf_dir):
+    i = F.col("event_id")
+    text, rest = i.cast("string"), i % 4
+    code = F.when(rest == 0, F.lpad(text, 6, "0")).when(rest == 1, text).when(rest == 2, F.lpad(text, 6, "x")).otherwise(F.concat(F.lpad(text, 6, "0"), F.lit(" ")))
+    return table(spark, sf_dir, "events").select("event_id", scalars.is_otp(code).alias("valid"))
+
+
+_HMAC_KEY = "wardlight"
+_PADDED = [bytes(b ^ pad for b in _HMAC_KEY.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@_query(f"select doc_id, sha256(unhex('{_PADDED[1]}') || unhex(sha256(unhex('{_PADDED[0]}') || encode(text)))) as digest from documents")
+def hmac_text(get, spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.hmac_sha256(_HMAC_KEY)(F.col("text")).alias("digest"))
+
+
+_FAILURES = ("RateLimitError", "PersonNotFoundError", "FileTooLargeError", "StorageUnavailableError", "RefreshTokenError", "PatientAlreadyExistsError", "UnsupportedFileTypeError", "SomeOtherError")
+
+
+@_query("select event_id, [429, 404, 413, 503, 401, 409, 415, 400][event_id % 8 + 1] as status from events")
+def failure_answers(get, spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, _FAILURES)), (F.col("event_id") % 8).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.failure_status(name).alias("status"))
+
+
+_BODY_TYPES = ("application/json; charset=utf-8", "text/plain", "image/png", "application/xml", "application/octet-stream", " text/html", "")
+
+
+@_query("select page_id, page_id % 7 in (0, 1, 3) as logged from pages")
+def logged_types(get, spark, sf_dir):
+    kind = F.nullif(F.get(F.array(*map(F.lit, _BODY_TYPES)), (F.col("page_id") % 7).cast("int")), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", redaction.is_logged_type(kind).alias("logged"))
+
+
+@_query("select event_id, epoch_us(ts) as micros, datediff('microsecond', timestamp '1970-01-01', ts) // 1000 as ms, coalesce(nullif(case when event_id % 3 = 0 then '' when event_id % 3 = 1 then event_type end, ''), 'unknown') as device from events")
+def request_times(get, spark, sf_dir):
+    """Naive times as moments in UTC, milliseconds that passed, and the first filled of several values."""
+    given = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.col("event_type"))
+    at = scalars.as_utc(F.col("ts"))
+    start = scalars.as_utc(F.lit("1970-01-01").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(at).alias("micros"), scalars.elapsed_ms(start, at).alias("ms"), scalars.first_filled(given, F.lit("unknown")).alias("device"))
+
+
 # ------------------------------------------------------------------ mutations
 
 
+@_query(
+    "select p.id as patient_id, r.id is null as created, epoch_us(case when r.id is null then timestamp '1998-01-01' else timestamp '1990-01-01' end) as created_micros from patient p left join medical_record r on r.patient_id = p.id",
+    "patient medical_record",
+)
+def ensure_records(get, spark, sf_dir):
+    """A medical record for each patient; those there keep theirs."""
+    have = get("medical_record").select(F.col("id").cast("string").alias("id"), "patient_id", scalars.as_utc(F.lit("1990-01-01").cast("timestamp_ntz")).alias("created_at"))
+    patients = get("patient")
+    out = mutations.ensure_records(have, patients.unionByName(patients), scalars.as_utc(_now()))
+    return out.select("patient_id", (F.length("id") == 36).alias("created"), F.unix_micros("created_at").alias("created_micros"))
+
+
+@_query("select id as encounter_id, started_at, type as kind, cast(null as varchar) as note, cast(null as bigint) as seat from encounter union all select id + 10000000, created_at, action, null, actor_account_id from audit_log", "encounter audit_log")
+def evolve_and_insert(get, spark, sf_dir):
+    """A table with columns dropped, renamed and added, and rows of another table appended."""
+    rows = get("encounter").select("id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "type", "status")
+    after = mutations.evolved(rows, {"id": "encounter_id", "type": "kind"}, {"note": "string", "seat": "long"}, ("status",))
+    more = get("audit_log").selectExpr("id + 10000000 as encounter_id", "created_at as started_at", "action as kind", "actor_account_id as seat")
+    return mutations.insert_select(after, more)
+
+
+
+
 @_query(f"select role_code, permission_code, row_number() over (partition by role_code order by permission_code) > 2 as created from {_LINKS}")
 def seed_missing(get, spark, sf_dir):
     links = access.role_permissions(spark)
@@ -514,6 +607,68 @@ def upload_outcome(get, spark, sf_dir):
     return uploads.upload_outcome(requests, F.col("seq") % 9 != 0, 20_000_000).select("seq", "error_code", "storage_key")
 
 
+_KEY_SQL = "case type when 'DocumentStored' then 'document.stored' when 'DocumentConverted' then 'document.converted' else 'document.other' end"
+
+
+@_query(f"select seq, {_KEY_SQL} as routing_key from pipeline_event where type in ('DocumentStored', 'DocumentConverted')", "pipeline_event")
+def routed_events(get, spark, sf_dir):
+    events = get("pipeline_event").select("seq", F.expr(_KEY_SQL).alias("routing_key"))
+    return files.routed(events, " document.stored, ,document.converted,document.store")
+
+
+@_query("select distinct s3_key as storage_key from document_version where checksum is not null and s3_key not in (select s3_key from document_version where version % 2 = 0)", "document_version")
+def objects_to_write(get, spark, sf_dir):
+    """Objects that are still to be written, each once, though asked for twice."""
+    versions = get("document_version").withColumnRenamed("s3_key", "storage_key")
+    wanted = versions.where("checksum is not null").select("storage_key")
+    return files.missing_objects(wanted.unionByName(wanted), versions.where("version % 2 = 0"))
+
+
+@_query("select id, case when email is null then 'phone' else 'email' end as channel, case when email is null then 'unsupported_channel' end as error_code from account", "account")
+def notifications(get, spark, sf_dir):
+    """What a provider of e-mail takes and refuses."""
+    out = files.addressed(get("account").select("id", F.trim(F.coalesce("email", "phone")).alias("recipient")), "smtp")
+    return out.select("id", "channel", "error_code")
+
+
+@_query(
+    "select document_id, count(*) as n_events, "
+    + ", ".join(f"min(occurred_at) filter (type = '{kind}') as {c}" for kind, c in ev.STEPS.items())
+    + " from pipeline_event group by document_id",
+    "pipeline_event",
+)
+def correlated_events(get, spark, sf_dir):
+    return ev.correlated(get("pipeline_event"))
+
+
+@_query(
+    """, x as (select document_id, document_version_id, type, max(seq) filter (type in ('DocumentConverted', 'DocumentAnalysisCompleted')) over (partition by document_id, document_version_id) as done, seq from pipeline_event)
+    select document_id, document_version_id, count(*) as n_failed, case when count(*) > 2 then 'dead_letter' else 'retry' end as outcome
+    from x where type = 'DocumentProcessingFailed' and seq > coalesce(done, -1) group by all""",
+    "pipeline_event",
+)
+def retry_or_bury(get, spark, sf_dir):
+    return ev.retry_or_bury(get("pipeline_event"), 2)
+
+
+@_query("select patient_id, account_id, purpose from (select *, case when can_upload_documents then 'treatment' else 'research' end as purpose from access_grant) where status = 'active' and (expires_at is null or expires_at > timestamp '1998-01-01 00:00:00') and purpose = 'research'", "access_grant")
+def consents(get, spark, sf_dir):
+    given = get("access_grant").withColumn("purpose", F.when(F.col("can_upload_documents"), "treatment").otherwise("research"))
+    return reads.consented(given, "research", _now()).select("patient_id", "account_id", "purpose")
+
+
+@_query("select seq, type in ('DocumentStored', 'DocumentConverted') and document_id % 4 in (0, 1) as valid from pipeline_event where type <> 'DocumentUploadRequested'", "pipeline_event")
+def rejected_messages(get, spark, sf_dir):
+    """Whole messages, messages cut short, without an id, and of no body; those of types that nobody hears are not there."""
+    i = F.col("document_id") % 4
+    whole = F.to_json(F.struct(F.col("document_id").cast("string").alias("document_id"), "checksum"))
+    bad = F.when(F.col("seq") % 2 == 0, F.substring(whole, 1, 9)).otherwise(F.to_json(F.struct("checksum")))
+    good = F.col("type").isin("DocumentStored", "DocumentConverted") & i.isin(0, 1)
+    body = F.when(good, whole).when(i == 3, F.lit(None)).otherwise(bad)
+    kind = F.when(F.col("type") == "DocumentUploadRequested", "Unheard").otherwise(F.col("type"))
+    return ev.parsed(get("pipeline_event").select("seq", kind.alias("type"), body.alias("body"))).select("seq", "valid")
+
+
 @_query("select seq, type, document_id from pipeline_event where type in ('DocumentStored', 'DocumentConverted')", "pipeline_event")
 def parsed_messages(get, spark, sf_dir):
     e = get("pipeline_event")

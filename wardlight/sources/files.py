@@ -47,6 +47,16 @@ def as_messages(events: DataFrame, routing_key: str) -> DataFrame:
     return events.select(F.lit(routing_key).alias("routing_key"), "type", body.alias("body"))
 
 
+def addressed(notifications: DataFrame, provider: str) -> DataFrame:
+    """Notifications (recipient, ..) with ``channel`` and ``error_code``: 'console' takes both channels, 'smtp' e-mail only."""
+    if provider not in ("console", "smtp"):
+        raise ValueError(f"no such provider: {provider}")
+    to = scalars.channel(F.col("recipient"))
+    out = notifications.withColumn("channel", F.when(F.col("recipient").isNotNull(), to))
+    refused = F.col("channel").isNull() | (F.lit(provider == "smtp") & (F.col("channel") != "email"))
+    return out.withColumn("error_code", F.when(refused, "unsupported_channel"))
+
+
 def missing_objects(wanted: DataFrame, listing: DataFrame, key: str = "storage_key") -> DataFrame:
     """Objects that are still to be written: those whose key is not listed. Repeated keys are written once."""
     return wanted.dropDuplicates([key]).join(listing.select(key).distinct(), key, "left_anti")

@@ -127,6 +127,25 @@ def unknown(events: DataFrame, versions: DataFrame) -> DataFrame:
     return events.join(versions.select(*VERSION_KEY).distinct(), list(VERSION_KEY), "left_anti")
 
 
+#: Columns of ``correlated`` by event type.
+STEPS = {"DocumentUploadRequested": "requested_at", "DocumentStored": "stored_at", "DocumentConverted": "converted_at", "DocumentAnalysisCompleted": "analysed_at", "DocumentProcessingFailed": "failed_at"}
+
+
+def correlated(events: DataFrame) -> DataFrame:
+    """(document_id, n_events, requested_at, ..): a document's way by the first time of each type; a row a document, added up before the shuffle."""
+    firsts = [F.min(F.when(F.col("type") == kind, F.col("occurred_at"))).alias(c) for kind, c in STEPS.items()]
+    return events.where("document_id is not null").groupBy("document_id").agg(F.count("*").alias("n_events"), *firsts)
+
+
+def retry_or_bury(events: DataFrame, most: int = 3) -> DataFrame:
+    """(document_id, document_version_id, n_failed, outcome): a version that failed since it last succeeded is tried again up to ``most`` times, then it is a dead letter."""
+    key = list(VERSION_KEY)
+    failed, ok = F.col("type") == "DocumentProcessingFailed", F.col("type").isin("DocumentConverted", "DocumentAnalysisCompleted")
+    done = events.where(ok).groupBy(*key).agg(F.max("seq").alias("done"))
+    since = events.where(failed).join(done, key, "left").where("done is null or seq > done").groupBy(*key).agg(F.count("*").alias("n_failed"))
+    return since.withColumn("outcome", F.when(F.col("n_failed") <= most, "retry").otherwise("dead_letter"))
+
+
 # -------------------------------------------------------------------- stream
 
 
