@@ -242,3 +242,14 @@ def test_text_without_spaces_in_bounded_memory():
         assert len(model.encode(text[: got[1]])) <= want // 2 < len(model.encode(text[: got[1] + 1]))
         assert peak < 20 << 20
     assert max(map(len, own.steps), default=0) <= tc.SHORT
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, " " * 1_000_000, " " * 1_000_000 + "x", "x" * 1_000_000, "ab \n" * 250_000], ids=["spaces", "breaks", "tabs", "nbsp", "before a letter", "letters", "mixed"])
+def test_long_runs_have_the_tokenizer_s_ids(text):
+    assert np.array_equal(encoder(BYTES)(text), encoder(BYTES, RANKS)(text))
+
+
+def test_long_white_space_is_packed(make_docs):
+    text = "a" + " " * 1_000_000
+    got = pack(make_docs([(1, text), (2, "b")]), BYTES, ranks=RANKS).collect()
+    assert sum(g["length"] for g in got if g["doc_id"] == 1) == len(encoder(BYTES)(text)) + 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "slot", "ids"]
 _TYPES = [pa.int64()] * 9 + [pa.binary()]
 END_ID = 0
+#: White space at a stretch from which tiktoken's pattern may run out of stack; such texts go to ``tokenizers``.
+_LONG_SPACE = re.compile(r"\s{20000}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -43,13 +46,21 @@ def encoder(path: str, ranks: str | None = None):
     """A function text -> uint32 ids for the byte-level BPE file of the library ``tokenizers`` at ``path``.
 
     ``ranks`` is a file of the same vocabulary for tiktoken, which gives the same ids several times as fast.
-    Special strings in a text become their ids, as ``tokenizers`` does by default.
+    Special strings in a text become their ids, as ``tokenizers`` does by default. A text with very much white space at a
+    stretch always goes to ``tokenizers``, since tiktoken's pattern runs out of stack there.
     """
-    if ranks is None:
+
+    @lru_cache(maxsize=1)
+    def whole():
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return Tokenizer.from_file(path)
+
+    def encode_whole(text: str) -> np.ndarray:
+        return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    if ranks is None:
+        return encode_whole
     import json
 
     import public_tokenizers
@@ -67,6 +78,8 @@ def encoder(path: str, ranks: str | None = None):
     names = set(special)
 
     def encode(text: str) -> np.ndarray:
+        if len(text) >= 20_000 and _LONG_SPACE.search(text):
+            return encode_whole(text)
         if any(x in text for x in names):
             return np.array(own.encode(text, allowed_special=names), dtype=np.uint32)
         return np.array(own.encode_ordinary(text), dtype=np.uint32)
