@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import RULES, quality_rules
+from .resampling import BUCKETS, LEAST_WORDS, resample
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -101,6 +102,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents with at least 20 words, drawn towards the texts of ``benchmark``."""
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 # ------------------------------------------------------------------------ SQL
 
 _WS = r"[\x20\x09-\x0D]"
@@ -216,6 +222,26 @@ select w.doc_id, case when w.text is not null then sha256(coalesce(c.words, ''))
 from raw w left join clean c on c.r = w.r and c.kind = 'text' left join known k on k.digest = sha256(c.words) left join found f on f.doc_id = w.doc_id where w.r > 0"""
 
 
+_RESAMPLING_SQL = f"""
+with letters(n, m) as (values ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+texts as (select 1 as own, row_number() over () as r, doc_id, coalesce(text, '') as text from documents union all select 0, row_number() over (), null, coalesce(text, '') from benchmark),
+w as (select own, r, doc_id, regexp_extract_all(translate(text, n, m), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from texts, letters),
+runs as (select own, r, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as feature from w),
+counted as (select own, r, feature, count(*) as n from runs group by all),
+steps as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as step),
+bytes as (select feature, list_transform(range(0, strlen(feature)), lambda i: ('0x' || substr(hex(feature), 2 * i + 1, 2))::bigint) as b from (select distinct feature from counted)),
+hashed as (select feature, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} as bucket from bytes, steps),
+placed as (select own, r, bucket, n from counted join hashed using (feature)),
+totals as (select sum(n) filter (own = 1) as s_all, coalesce(sum(n) filter (own = 0), 0) as t_all from placed),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + {BUCKETS}) / ((s + 1)::double * (t_all + {BUCKETS}))))::bigint as gain
+  from (select bucket, coalesce(sum(n) filter (own = 1), 0) as s, coalesce(sum(n) filter (own = 0), 0) as t from placed group by bucket), totals),
+weights as (select r, floor(sum(n * gain)::double / sum(n))::bigint as weight from placed join gains using (bucket) where own = 1 group by r),
+scores as (select doc_id, greatest(2 * len(words) - 1, 0)::bigint as n_features, len(words) as n_words, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from w left join weights using (r) where own = 1),
+ranked as (select *, n_words >= {LEAST_WORDS} and doc_id is not null as able, row_number() over (partition by n_words >= {LEAST_WORDS} and doc_id is not null order by score desc, doc_id) as place from scores)
+select doc_id, n_features, weight, score, case when able and place <= (select 25 * count(*) // 100 from ranked where able) then place end as rank from ranked"""
+
+
 def _license_sql() -> str:
     """The texts and digests are those that the query is given; the rest is the SQL's own."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -237,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_line_dedup,
         op10_fingerprints,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in own}
 
@@ -248,4 +275,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": _license_sql(),
         "op7_quality_rules": _quality_sql(),
         "op9_line_dedup": _LINES_SQL,
+        "op13_importance_resampling": _RESAMPLING_SQL,
     }
