@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan as _license
 from .fingerprints import document_fingerprints
+from .hard_negatives import hard_negatives
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -102,6 +103,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, with the label of every seventh made wrong."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", wrong)
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of all documents with at least 20 words, drawn towards the texts of ``benchmark``."""
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -222,6 +230,16 @@ select w.doc_id, case when w.text is not null then sha256(coalesce(c.words, ''))
 from raw w left join clean c on c.r = w.r and c.kind = 'text' left join known k on k.digest = sha256(c.words) left join found f on f.doc_id = w.doc_id where w.r > 0"""
 
 
+_NEGATIVES_SQL = """
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, a.label, b.vec_id, b.label as other, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where label = other qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id) where label <> other and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3"""
+
+
 _RESAMPLING_SQL = f"""
 with letters(n, m) as (values ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
 texts as (select 1 as own, row_number() over () as r, doc_id, coalesce(text, '') as text from documents union all select 0, row_number() over (), null, coalesce(text, '') from benchmark),
@@ -263,6 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_line_dedup,
         op10_fingerprints,
+        op11_hard_negatives,
         op13_importance_resampling,
     )
     return {f.__name__: f for f in own}
@@ -275,5 +294,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": _license_sql(),
         "op7_quality_rules": _quality_sql(),
         "op9_line_dedup": _LINES_SQL,
+        "op11_hard_negatives": _NEGATIVES_SQL,
         "op13_importance_resampling": _RESAMPLING_SQL,
     }
