@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import RULES, quality_rules
 from .resampling import BUCKETS, LEAST_WORDS, resample
@@ -110,6 +111,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of all documents with at least 20 words, drawn towards the texts of ``benchmark``."""
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -282,6 +289,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_dedup,
         op10_fingerprints,
         op11_hard_negatives,
+        op12_pii,
         op13_importance_resampling,
     )
     return {f.__name__: f for f in own}
