@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,31 +45,60 @@ def mask_text(text: Column) -> Column:
 _SHORTEST = tuple(t for t in FIELD_TERMS if not any(o != t and o in t for o in FIELD_TERMS))
 
 
-def _masked(value):
-    if isinstance(value, list):
-        return [_masked(v) for v in value]
-    if not isinstance(value, dict):
-        return value
-    out = {}
-    for k, v in value.items():
-        telling = any(t in k.lower() for t in _SHORTEST)
-        out[k] = (None if v is None else REDACTED) if telling else _masked(v)
-    return out
+#: A name with its colon, any other string, a sign, white space, or a bare word or number. In JSON a string before a colon is always a name.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+|[{}\[\],]|\s++|[^\s{}\[\],:"]++'
+#: Tokens that are folded at a time, so that a long body's result is not copied for each token.
+_BLOCK = 64
+
+
+def _telling(token: Column) -> Column:
+    """Whether a token is a name with one of the terms in it; escapes are read first."""
+    name = F.regexp_replace(token, r"\s*+:$", "")
+    name = F.when(F.instr(name, "\\") > 0, F.get_json_object(F.concat(F.lit('{"k":'), name, F.lit("}")), "$.k")).otherwise(name)
+    return token.endswith(":") & F.lower(name).rlike("|".join(_SHORTEST))
+
+
+def _step(state: Column, token: Column) -> Column:
+    """One token: ``skip`` counts open brackets of a value that is left out, ``pending`` says that such a value is next."""
+    opens, closes, white = token.isin("{", "["), token.isin("}", "]"), token.rlike(r"^\s")
+    skipping = state["skip"] > 0
+    hides = state["pending"] & ~white & ~skipping
+    kept = F.when(token == "null", token).otherwise(F.lit(f'"{REDACTED}"'))
+    return F.struct(
+        F.when(skipping, state["skip"] + opens.cast("int") - closes.cast("int")).when(hides & opens, 1).otherwise(0).alias("skip"),
+        F.when(skipping, False).when(state["pending"], white).otherwise(_telling(token)).alias("pending"),
+        F.concat(state["out"], F.when(skipping, "").when(hides, kept).otherwise(token)).alias("out"),
+    )
 
 
-def _mask_series(bodies: pd.Series) -> pd.Series:
-    def one(body):
-        try:
-            return json.dumps(_masked(json.loads(body)), ensure_ascii=False)
-        except (TypeError, ValueError):
-            return None
+def _fold(tokens: Column) -> Column:
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.array_size(tokens) - 1, F.lit(0)), F.lit(_BLOCK)), lambda i: F.slice(tokens, i + 1, _BLOCK))
+    empty = F.struct(F.lit(0).alias("skip"), F.lit(False).alias("pending"), F.lit("").alias("out"))
 
-    return bodies.map(one)
+    def block(state: Column, own: Column) -> Column:
+        begun = F.struct(state["skip"].alias("skip"), state["pending"].alias("pending"), F.lit("").alias("out"))
+        return F.aggregate(own, begun, _step, lambda done: F.struct(done["skip"].alias("skip"), done["pending"].alias("pending"), F.concat(state["out"], done["out"]).alias("out")))
+
+    return F.aggregate(blocks, empty, block, lambda done: done["out"])
 
 
 def mask_json(body: Column) -> Column:
-    """JSON of any depth with telling fields masked; null values stay null, and what is no JSON becomes null."""
-    return F.pandas_udf(_mask_series, "string")(body)
+    """JSON of any depth with the values of telling fields masked; what is no JSON is masked as text.
+
+    Null values stay null; the rest keeps its spelling. Objects that repeat a name, NaN and Infinity are no JSON here.
+    """
+    tokens = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0))
+    # Most bodies have no telling name, and need no fold.
+    some = body.rlike(rf"(?i)(?:{'|'.join(_SHORTEST)})|\\u")
+    folded = F.transform(F.array(tokens), _fold)[0]
+    return F.when(F.try_parse_json(body).isNotNull(), F.when(some, folded).otherwise(body)).otherwise(mask_text(body))
+
+
+def logged_body(body: Column, most: int = 10_000) -> Column:
+    """What is logged of a binary body: masked JSON or text, or a note in its place if it is longer than ``most`` bytes or no UTF-8; null for an empty one."""
+    n, text = F.octet_length(body), body.cast("string")
+    masked = F.when(F.is_valid_utf8(text), mask_json(text)).otherwise(F.format_string("<binary data: %d bytes>", n))
+    return F.when(n > most, F.format_string("<body too large: %d bytes>", n)).when(n > 0, masked)
 
 
 def is_logged_path(path: Column) -> Column:
@@ -87,5 +113,6 @@ def is_logged_type(content_type: Column) -> Column:
 
 
 def capped_body(body: Column, most: int = 10_000) -> Column:
-    """The body, or a note in its place if it is longer than ``most`` characters."""
-    return F.when(F.length(body) > most, F.format_string("<%d characters not logged>", F.length(body))).otherwise(body)
+    """The body, or a note in its place if it is longer than ``most`` bytes in UTF-8."""
+    n = F.octet_length(body)
+    return F.when(n > most, F.format_string("<body too large: %d bytes>", n)).otherwise(body)

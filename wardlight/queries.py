@@ -11,11 +11,11 @@ from . import schema
 from .functions import redaction, scalars
 from .operators import access, mutations, reads, uploads
 from .plans import analytics
-from .sources import files
+from .session import shared_path
+from .sources import files, messages
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
-from .streaming import limits
-from .streaming.scaling import scaling_decisions as _scaling
+from .streaming import keyed
 from .streaming.scaling import windowed_counts as _windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,9 +100,10 @@ def versions_ascending(get, spark, sf_dir):
     return reads.by_key(get("document_version"), document_id=5).select("version", "s3_key").orderBy("version")
 
 
-@_query(f"select distinct role_code from {_LINKS}")
+@_query("select distinct role_code from account_role", "account_role")
 def roles_sorted(get, spark, sf_dir):
-    return access.role_permissions(spark).select("role_code").distinct().orderBy("role_code")
+    """The roles that accounts hold, in order."""
+    return get("account_role").select("role_code").distinct().orderBy("role_code")
 
 
 @_query("select document_id, max(version) as version, max_by(s3_key, version) as s3_key from document_version group by document_id", "document_version")
@@ -380,30 +381,32 @@ _JSON_FIELDS = ("pin_code", "Kind", "userEmail", "size", "sessionId", "k")
 
 
 @_query(
-    f"""with n as (select *, [{", ".join(f"'{f}'" for f in _JSON_FIELDS)}][event_id % 6 + 1] as field, event_id % 6 in (0, 2, 4) as telling from events where event_id % 10 <> 9)
+    f"""with n as (select *, [{", ".join(f"'{f}'" for f in _JSON_FIELDS)}][event_id % 6 + 1] as field, event_id % 6 in (0, 2, 4) as telling from events)
     select event_id, case when not telling then event_type when event_type <> 'view' then '<redacted>' end as first,
-     case when telling then '<redacted>' else cast(event_id as varchar) end as second, cast(json_extract(props, '$.k') as bigint) as k, event_type as plain from n
-    union all select event_id, null, null, null, null from events where event_id % 10 = 9"""
+     case when telling then '<redacted>' else cast(event_id as varchar) end as second, cast(json_extract(props, '$.k') as bigint) as k, event_type as plain, null as form from n where event_id % 10 <> 9
+    union all select event_id, null, null, null, null, 'k=' || event_id || '&userEmail=***&pin_code: *** ' || substr('{{"a": [{{"' || field || '": "' || event_type || '"}}, ', 1, 20) from n where event_id % 10 = 9"""
 )
 def mask_json(get, spark, sf_dir):
-    """Fields in lists and in objects of objects, telling names in any case, nulls that stay null ('view'), and every tenth body cut short."""
+    """Fields in lists and in objects of objects, telling names in any case, nulls that stay null ('view'); every tenth body is a form that ends in JSON cut short, and masked as text."""
     field = F.get(F.array(*map(F.lit, _JSON_FIELDS)), (F.col("event_id") % 6).cast("int"))
     telling = F.col("event_id") % 6 % 2 == 0
     value = F.when(telling & (F.col("event_type") == "view"), "null").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
     body = F.format_string('{"a": [{"%s": %s}, [{"in": {"%s": %d}}]], "b": {"inner": %s, "plain": "%s"}}', field, value, field, "event_id", "props", "event_type")
-    body = F.when(F.col("event_id") % 10 == 9, F.substring(body, 1, 20)).otherwise(body)
-    masked = table(spark, sf_dir, "events").select("event_id", field.alias("f"), redaction.mask_json(body).alias("m"))
-    at = lambda path: F.expr(f"get_json_object(m, {path})")
+    form = F.format_string("k=%d&userEmail=%s&pin_code: %d %s", "event_id", "event_type", "event_id", F.substring(body, 1, 20))
+    is_form = F.col("event_id") % 10 == 9
+    masked = table(spark, sf_dir, "events").select("event_id", field.alias("f"), redaction.mask_json(F.when(is_form, form).otherwise(body)).alias("m"))
+    at = lambda path: F.when(~is_form, F.expr(f"get_json_object(m, {path})"))
     return masked.select(
         "event_id",
         at("concat('$.a[0].', f)").alias("first"),
         at("concat('$.a[1][0].in.', f)").alias("second"),
         at("'$.b.inner.k'").cast("long").alias("k"),
         at("'$.b.plain'").alias("plain"),
+        F.when(is_form, F.col("m")).alias("form"),
     )
 
 
-@_query("select page_id, not (regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) in ('/health', '/metrics', '/docs', '/redoc', '/openapi.json', '/favicon.ico', '/')) as logged, case when length(html) > 3000 then '<' || length(html) || ' characters not logged>' else html end as body from pages")
+@_query("select page_id, not (regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) in ('/health', '/metrics', '/docs', '/redoc', '/openapi.json', '/favicon.ico', '/')) as logged, case when strlen(html) > 3000 then '<body too large: ' || strlen(html) || ' bytes>' else html end as body from pages")
 def request_log(get, spark, sf_dir):
     path = F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", redaction.is_logged_path(path).alias("logged"), redaction.capped_body(F.col("html"), 3000).alias("body"))
@@ -485,12 +488,16 @@ def evolve_and_insert(get, spark, sf_dir):
 
 
 
-@_query(f"select role_code, permission_code, row_number() over (partition by role_code order by permission_code) > 2 as created from {_LINKS}")
+@_query(
+    """, a as (select account_id, role_code from account_role), w as (select distinct account_id, role_code from a union select account_id, 'client' from a)
+    select account_id, role_code, account_id % 3 = 0 or role_code <> (select min(b.role_code) from a b where b.account_id = w.account_id) as created from w""",
+    "account_role",
+)
 def seed_missing(get, spark, sf_dir):
-    links = access.role_permissions(spark)
-    have = reads.newest_of_each(links.withColumn("k", F.col("role_code")), ["k"], F.col("permission_code")).drop("k")
-    second = reads.newest_of_each(links.join(have, ["role_code", "permission_code"], "left_anti").withColumn("k", F.col("role_code")), ["k"], F.col("permission_code")).drop("k")
-    return mutations.insert_missing(have.unionByName(second), links, ["role_code", "permission_code"])
+    """Roles of accounts seeded twice over: two thirds are there, every account is to have its own role and 'client', asked for twice each."""
+    held = get("account_role").select("account_id", "role_code")
+    wanted = held.unionByName(held.withColumn("role_code", F.lit("client")))
+    return mutations.insert_missing(held.where("account_id % 3 <> 0"), wanted.unionByName(wanted), ["account_id", "role_code"])
 
 
 @_query("select d.id as document_id, case when e.id is not null then e.status else 'pending' end as status, e.confidence from document d left join extraction e on e.document_id = d.id", "document extraction")
@@ -754,21 +761,6 @@ def pipeline_metrics(get, spark, sf_dir):
     return analytics.pipeline_metrics(get("pipeline_event"))
 
 
-@_query(
-    """, d as (select seq, document_id % 3 as pool, occurred_at, sum(case type when 'DocumentUploadRequested' then 3 when 'DocumentConverted' then -1 else 0 end) over w as depth,
-     lead(occurred_at) over w as following from pipeline_event window w as (partition by document_id % 3 order by seq)),
-    b as (select *, coalesce(lag(depth) over (partition by pool order by seq), 0) as earlier from d),
-    e as (select seq, pool, depth::bigint as depth, case when depth >= 20 and earlier < 20 then 'start' when epoch_us(following) - epoch_us(occurred_at) > 36000000000 then 'stop' end as decision from b)
-    select * from e where decision is not null""",
-    "pipeline_event",
-)
-def scaling_decisions(get, spark, sf_dir):
-    kind = F.col("type")
-    step = F.when(kind == "DocumentUploadRequested", 3).when(kind == "DocumentConverted", -1).otherwise(0)
-    events = get("pipeline_event").withColumn("pool", F.expr("document_id % 3"))
-    return _scaling(events, step, "occurred_at", ["seq"], "pool", idle_s=36_000).select("seq", "pool", "depth", "decision")
-
-
 @_query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all")
 def events_by_day(get, spark, sf_dir):
     return _windowed(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -802,10 +794,64 @@ def audit_summary(get, spark, sf_dir):
     return get("audit_log").groupBy("actor_account_id").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "error").alias("n_errors"))
 
 
-@_query("select code_id, seq, case when k > first_right then 'burned' when wrongs >= 5 then 'burned' when ok then 'accepted' else 'wrong' end as outcome from (select user_id as code_id, event_id as seq, event_type = 'purchase' as ok, row_number() over w as k, coalesce(sum(case when event_type <> 'purchase' then 1 end) over (w rows between unbounded preceding and 1 preceding), 0) as wrongs, coalesce(min(case when event_type = 'purchase' then r end) over (partition by user_id), 1000000) as first_right from (select *, row_number() over (partition by user_id order by event_id) as r from events) window w as (partition by user_id order by event_id)) x")
+_CODE_LIFE = 86_400
+
+
+@_query(
+    f"""with e as (select user_id, event_id, ts, event_type = 'signup' as issued, event_type = 'purchase' as ok, count(*) filter (event_type = 'signup') over (partition by user_id order by ts, event_id) as code_no from events),
+    t as (select e.*, coalesce(epoch_us(e.ts) - epoch_us(c.ts) <= {_CODE_LIFE} * 1000000::bigint, false) as there from e left join (select user_id, code_no, ts from e where issued) c using (user_id, code_no) where not e.issued),
+    w as (select *, coalesce(sum(case when there and not ok then 1 end) over before, 0) as wrong from t window before as (partition by user_id, code_no order by ts, event_id rows between unbounded preceding and 1 preceding)),
+    u as (select *, coalesce(bool_or(there and ok and wrong < 5) over (partition by user_id, code_no order by ts, event_id rows between unbounded preceding and 1 preceding), false) as used from w)
+    select user_id::varchar as identity, event_id as seq, case when not there then 'absent' when used or wrong >= 5 then 'burned' when ok then 'accepted' else 'wrong' end as outcome from u"""
+)
 def code_attempts(get, spark, sf_dir):
-    attempts = table(spark, sf_dir, "events").selectExpr("user_id as code_id", "event_id as seq", "1.0D as after", "event_type = 'purchase' as correct")
-    return limits.code_attempts(attempts).select("code_id", "seq", "outcome")
+    """Sign-ups issue a code for a day; all other events try one, purchases the right one."""
+    e = table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as identity", "ts as at", "event_id as seq", "event_type = 'signup' as issued", "if(event_type in ('signup', 'purchase'), 'right', 'wrong') as code")
+    return keyed.batch_code_attempts(e, life=_CODE_LIFE)
+
+
+@_query(
+    """with e as (select user_id, event_id, ts, event_type <> 'error' as ok, lead(ts) over w as following, count(*) filter (event_type <> 'error') over w as run from events
+     where event_type in ('error', 'view', 'purchase') window w as (partition by user_id order by ts, event_id)),
+    f as (select *, row_number() over (partition by user_id, run order by ts, event_id) - 1 as k from e where not ok),
+    n as (select *, (k % 4 + 1)::integer as attempts, ts + to_seconds(7200 * (1 << (k % 4)::integer)) as due, min(ts) over (partition by user_id, run, k // 4) as first_failed_at from f)
+    select user_id::varchar as message_id, event_id as seq, attempts, case when attempts > 3 then 'dead_letter' else 'retry' end as outcome, case when attempts > 3 then ts else due end as at, first_failed_at
+    from n where attempts > 3 or following is null or following >= due"""
+)
+def retries_and_dead_letters(get, spark, sf_dir):
+    """Errors of a user since its last success are tried again after 2, 4 and 8 hours; the fourth in a row is a dead letter."""
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'view', 'purchase')").selectExpr("user_id as message_id", "ts as at", "event_id as seq", "event_type <> 'error' as ok")
+    out = keyed.batch_retries(e, backoff_s=7200)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "first_failed_at")})
+
+
+_KEYS = {"DocumentStored": "document.stored", "DocumentConverted": "document.converted", "DocumentProcessingFailed": "document.failed.conversion", "DocumentUploadRequested": "document.requested"}
+
+
+@_query(
+    f"""select seq, document_id, type, case type {" ".join(f"when '{t}' then '{k}'" for t, k in _KEYS.items())} end as routing_key, 'application/json' as content_type
+    from pipeline_event where type in ('DocumentStored', 'DocumentProcessingFailed')""",
+    "pipeline_event",
+)
+def queue_messages(get, spark, sf_dir):
+    """All pipeline events published to a topic, and those of two binding keys consumed from it as a stream, in batches of at most 20,000."""
+    key = F.element_at(F.create_map(*[F.lit(x) for kv in _KEYS.items() for x in kv]), F.col("type"))
+    sent = get("pipeline_event").select(F.coalesce(key, F.lit("document.other")).alias("routing_key"), "type", F.to_json(F.struct("seq", "document_id")).alias("body"))
+    topic, out = shared_path(spark, "topic"), shared_path(spark, "consumed")
+    messages.publish(sent, topic)
+    stream = messages.consume(spark, topic, "document.stored, document.failed.#", "reader", 20_000)
+    got = stream.select("routing_key", "type", "content_type", F.from_json("body", "seq long, document_id long").alias("b"))
+    got = got.select("b.seq", "b.document_id", "type", "routing_key", "content_type")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = got.writeStream.foreachBatch(keep).option("checkpointLocation", shared_path(spark, "offsets")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(out).drop("batch")
 
 
 _ROTATED = "(id % 4 = 0 and revoked_at is null and expires_at > timestamp '1995-01-01 00:00:00')"

@@ -1,26 +1,9 @@
-"""When a worker pool starts and stops, and streams without redelivered events.
-
-Designs without code upstream: start at ``START_AT`` queued items, stop after ``IDLE_S`` seconds without an event.
-"""
+"""Streams without redelivered events, and counts by time window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-START_AT, IDLE_S = 20, 600
-
-
-def scaling_decisions(events: DataFrame, step: Column, at: str, order: list[str], group: str, start_at: int = START_AT, idle_s: int = IDLE_S) -> DataFrame:
-    """Events after which a group's pool starts (its depth reaches ``start_at``) or stops (nothing follows for ``idle_s`` seconds), as ``decision``."""
-    own = Window.partitionBy(group).orderBy(*order)
-    depth = events.withColumn("depth", F.sum(step).over(own))
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    gap = F.lead(seconds).over(own) - seconds
-    out = depth.withColumns({"before": F.coalesce(F.lag("depth").over(own), F.lit(0)), "gap": gap})
-    decision = F.when((F.col("depth") >= start_at) & (F.col("before") < start_at), "start").when(F.col("gap") > idle_s, "stop")
-    return out.withColumn("decision", decision).where("decision is not null").drop("before", "gap")
 
 
 def without_redelivery(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
