@@ -190,7 +190,7 @@ def test_fit_is_as_good_as_a_plain_search():
     own = qc.Ratings(own.rows, columns, own.shares, grades)
     size = qc._FORMS + 12
     use = qc.telling(own, size)
-    model = qc.fit(own, size, steps=3000)
+    model = qc.fit(own, size, flat=1e-4)
     assert set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(use))
     one = int(np.flatnonzero(use)[0])
 
@@ -209,6 +209,33 @@ def test_fit_is_as_good_as_a_plain_search():
     assert loss([float(model.weights[one]), cuts[0], math.log(cuts[1] - cuts[0])]) == pytest.approx(loss(best), abs=2e-3)
 
 
+def test_the_bar_is_chosen_on_held_out_texts():
+    own = _ratings(4, texts=103)
+    fit, held = qc.split(own)
+    assert (len(fit.grades), len(held.grades)) == (83, 20)
+    for part, texts in ((fit, [i for i in range(103) if i % 5 != 4]), (held, range(4, 103, 5))):
+        assert part.grades.tolist() == own.grades[list(texts)].tolist()
+        for n, i in enumerate(texts):
+            assert part.columns[part.rows == n].tolist() == own.columns[own.rows == i].tolist()
+    weights = np.random.default_rng(5).normal(size=12) * 3
+    model = qc.OrdinalModel(weights, np.array([-1.0, 1.0]))
+    good = model.tails(held.scores(weights))[:, 1]
+    share = lambda g, bar: np.mean(good[held.grades == g] >= bar)
+    gains = {bar: share(2, bar) - max(share(0, bar), share(1, bar)) for bar in (k / 20 for k in range(1, 20))}
+    assert qc.best_bar(model, held) == min(b for b, x in gains.items() if x >= max(gains.values()) - 1e-9)
+    assert qc.best_bar(model, qc.Ratings(held.rows, held.columns, held.shares, np.full(20, 2))) == 0.5
+
+
+def test_the_fit_ends_where_the_slope_is_flat():
+    own = _ratings(6, texts=200)
+    own = qc.Ratings(own.rows, own.columns, own.shares, own.grades)
+    rough, flat = (qc.fit(own, qc._FORMS, flat=f) for f in (0.3, 0.01))
+    loss = lambda m: own.loss(m.weights.astype(float), np.array([m.thresholds[0], math.log(m.thresholds[1] - m.thresholds[0])]))
+    assert loss(flat) <= loss(rough)
+    with pytest.warns(UserWarning, match="not flat after 2 steps"):
+        qc.fit(own, qc._FORMS, flat=1e-9, most_steps=2)
+
+
 def test_scores_are_those_of_single_texts(make_docs, spark):
     docs, labels = _labelled(make_docs, spark)
     model = train(docs, labels, buckets=1 << 14)

@@ -18,7 +18,8 @@ fixed by ``buckets``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +75,11 @@ def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Weights by bucket and ascending thresholds between the grades."""
+    """Weights by bucket, ascending thresholds between the grades, and the P(good) from which a text is kept."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    bar: float = 0.5
 
     def scores(self, n: np.ndarray, owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Score of each text from what ``features`` gives: marks and faults once, praise by its share."""
@@ -157,10 +159,11 @@ def telling(ratings: Ratings, buckets: int, least: int = 5, clear: float = 5.0)
     return out
 
 
-def fit(ratings: Ratings, buckets: int, steps: int = 300, l2: float = 1e-4, rate: float = 0.5) -> OrdinalModel:
-    """Full-batch AdaGrad on the cumulative-link likelihood. A weight that would change its sign stops at 0 for a step.
+def fit(ratings: Ratings, buckets: int, l2: float = 1e-4, rate: float = 0.5, flat: float = 0.003, most_steps: int = 3000) -> OrdinalModel:
+    """Full-batch AdaGrad on the cumulative-link likelihood, until the slope's length is ``flat`` of what it was at the start.
 
-    Marks of form take larger steps than the many words that come with them, and so most of the credit.
+    A weight that would change its sign stops at 0 for a step. Marks of form take larger steps than the many words that come with them, and so most of the credit.
+    A fit that is not flat after ``most_steps`` is used as it is, with a warning.
     """
     weights, gap = np.zeros(buckets), np.array([-2.0, np.log(2.0)])
     if not len(ratings.grades):
@@ -168,20 +171,48 @@ def fit(ratings: Ratings, buckets: int, steps: int = 300, l2: float = 1e-4, rate
     use = telling(ratings, buckets)[ratings.columns]
     own = Ratings(ratings.rows[use], ratings.columns[use], ratings.shares[use], ratings.grades)
     scale = np.where(np.arange(buckets) < _LENGTHS, 3.0, 1.0)
-    seen_w, seen_c = np.full(buckets, 1e-8), np.full(GRADES - 1, 1e-8)
-    for _ in range(steps):
+    seen_w, seen_c, first = np.full(buckets, 1e-8), np.full(GRADES - 1, 1e-8), None
+    for _ in range(most_steps):
         fault, praise, by_cut = own.slopes(weights * scale, gap)
         fault, praise = fault * scale, praise * scale
         at_zero = np.where(praise < 0, praise, np.maximum(fault, 0))
         by_weight = np.where(weights < 0, fault, np.where(weights > 0, praise, at_zero)) + l2 * weights
+        slope = float(np.sqrt((by_weight**2).sum() + (by_cut**2).sum()))
+        first = slope if first is None else first
+        if slope <= flat * first:
+            break
         seen_w += by_weight**2
         seen_c += by_cut**2
         moved = weights - rate * by_weight / np.sqrt(seen_w)
         weights = np.where(weights * moved < 0, 0.0, moved)
         gap = gap - rate * by_cut / np.sqrt(seen_c)
+    else:
+        warnings.warn(f"the fit is not flat after {most_steps} steps: {slope / first:.4f} of the first slope", stacklevel=2)
     return OrdinalModel((weights * scale).astype(np.float32), thresholds(gap))
 
 
+def split(ratings: Ratings, every: int = 5) -> tuple[Ratings, Ratings]:
+    """Ratings without every ``every``-th text, and those texts."""
+    held = np.arange(len(ratings.grades)) % every == every - 1
+
+    def part(texts: np.ndarray) -> Ratings:
+        own = texts[ratings.rows]
+        return Ratings((np.cumsum(texts) - 1)[ratings.rows[own]], ratings.columns[own], ratings.shares[own], ratings.grades[texts])
+
+    return part(~held), part(held)
+
+
+def best_bar(model: OrdinalModel, held: Ratings) -> float:
+    """The lowest P(good), in steps of 0.05, that keeps most of the good texts above what it keeps of either lower grade; 0.5 if a grade is missing."""
+    count = np.bincount(held.grades, minlength=GRADES)
+    if not count.all():
+        return 0.5
+    good = model.tails(held.scores(model.weights.astype(np.float64)))[:, 1]
+    bars = np.arange(1, 20) / 20
+    kept = np.array([np.bincount(held.grades[good >= bar], minlength=GRADES) / count for bar in bars])
+    return float(bars[np.argmax(np.round(kept[:, 2] - kept[:, :2].max(axis=1), 9))])
+
+
 def _feature_batches(buckets: int):
     def run(batches):
         for batch in batches:
@@ -221,17 +252,20 @@ def ratings_of(rated: DataFrame, buckets: int) -> Ratings:
 
 
 def train(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, max_rows: int = 8000) -> OrdinalModel:
-    """Fit on at most ``max_rows`` labelled documents."""
-    return fit(ratings_of(rated_texts(docs, labels, max_rows), buckets), buckets)
+    """Fit on four fifths of at most ``max_rows`` labelled documents; the rest choose the bar."""
+    own, held = split(ratings_of(rated_texts(docs, labels, max_rows), buckets))
+    model = fit(own, buckets)
+    return replace(model, bar=best_bar(model, held))
 
 
-def score(docs: DataFrame, model: OrdinalModel, least_good: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, least_good: float | None = None) -> DataFrame:
     """(doc_id, score, expected_grade, p_above_toxic, p_good, kept): a row for each row of ``docs``.
 
-    ``kept`` if P(good) is at least ``least_good``. A null, empty or wordless text can't be judged: its score is
+    ``kept`` if P(good) is at least ``least_good``, or the model's bar. A null, empty or wordless text can't be judged: its score is
     null, its grade and probabilities are 0 and it is not kept. Repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bar = model.bar if least_good is None else least_good
     names = ["doc_id", "score", "expected_grade", "p_above_toxic", "p_good", "kept"]
 
     def run(batches):
@@ -241,13 +275,13 @@ def score(docs: DataFrame, model: OrdinalModel, least_good: float = 0.25) -> Dat
                 n, owner, bucket = features(part, len(own.weights))
                 scores = own.scores(n, owner, bucket)
                 tails = own.tails(scores) * (n > 0)[:, None]
-                columns = [pa.array(scores, mask=n == 0), *map(pa.array, (tails.sum(axis=1), tails[:, 0], tails[:, 1], (tails[:, 1] >= least_good) & (n > 0)))]
+                columns = [pa.array(scores, mask=n == 0), *map(pa.array, (tails.sum(axis=1), tails[:, 0], tails[:, 1], (tails[:, 1] >= bar) & (n > 0)))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), *columns], names=names)
 
     schema = "doc_id long, score double, expected_grade double, p_above_toxic double, p_good double, kept boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least_good: float = 0.25) -> DataFrame:
-    """Train on the labels and score every document."""
+def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least_good: float | None = None) -> DataFrame:
+    """Train on the labels and score every document; ``least_good`` instead of the bar that the labels choose, if given."""
     return score(docs, train(docs, labels, max_rows=max_rows), least_good)
