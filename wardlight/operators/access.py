@@ -32,9 +32,23 @@ def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
-def permissions_of(account_roles: DataFrame, roles: DataFrame, links: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Distinct (account_id, permission_code) from (account_id, role_id) by way of roles, their links and permissions."""
-    return account_roles.join(roles.select("role_id"), "role_id").join(links, "role_id").join(permissions, "permission_id").select("account_id", "permission_code").distinct()
+#: Rows of a table of roles, permissions or their links up to which it is sent to every task.
+MOST_LINKS = 10_000
+
+
+def permissions_of(account_roles: DataFrame, links: DataFrame, permissions: DataFrame) -> DataFrame:
+    """Distinct (account_id, permission_code) from (account_id, role_id) by way of the roles' links and permissions.
+
+    Links and permissions are made one table first. While it is small, which is counted, accounts are not shuffled by their few roles
+    but see all of it; their rows meet again only to be made distinct.
+    """
+    held = _small(links.join(permissions, "permission_id").select("role_id", "permission_code").distinct())
+    return account_roles.select("account_id", "role_id").join(held, "role_id").select("account_id", "permission_code").distinct()
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table with the broadcast hint if it has at most ``MOST_LINKS`` rows."""
+    return F.broadcast(table) if table.limit(MOST_LINKS + 1).count() <= MOST_LINKS else table
 
 
 def newest_by_flag(grants: DataFrame, flags: list[str]) -> DataFrame:
@@ -46,7 +60,7 @@ def newest_by_flag(grants: DataFrame, flags: list[str]) -> DataFrame:
 
 def account_permissions(account_roles: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct (account_id, permission_code)."""
-    return account_roles.join(links, "role_code").select("account_id", "permission_code").distinct()
+    return account_roles.join(_small(links), "role_code").select("account_id", "permission_code").distinct()
 
 
 def holds_any(account_roles: DataFrame, wanted: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import redaction, scalars
-from .operators import access, mutations, reads, uploads
+from .operators import access, foreign_keys, mutations, reads, typed, uploads
 from .plans import analytics
 from .session import shared_path
-from .sources import files, messages
+from .sources import files, ledger, messages, objects
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
 from .streaming import keyed
@@ -181,7 +182,7 @@ def account_permissions(get, spark, sf_dir):
     """From accounts with role ids by way of the tables of roles, their links and permissions."""
     roles, permissions, links = access.catalogue(spark)
     held = get("account_role").join(F.broadcast(roles), "role_code").select("account_id", "role_id")  # five roles
-    return access.permissions_of(held, roles, links, permissions)
+    return access.permissions_of(held, links, permissions)
 
 
 @_query("select a.id, a.status, p.full_name from account a left join person p on a.person_id = p.id", "account person")
@@ -881,6 +882,90 @@ def estimated_work(get, spark, sf_dir):
     return analytics.estimated_work(events.where("type = 'DocumentUploadRequested'"), events.where("type = 'DocumentConverted'"), "pool", "seq")
 
 
+@_query("select 'documents/' || doc_id % 10 || '/' || doc_id || '.txt' as storage_key, case when doc_id % 5 = 0 then 'exists' else 'written' end as state, strlen(t) as size_bytes, sha256(t) as checksum, sha256(t) as there from (select doc_id, case when doc_id % 5 = 0 then 'old ' || text else text end as t from documents)")
+def object_writes(get, spark, sf_dir):
+    """All texts written as objects, of which every fifth is there in an older form; their checksums read back from the store."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.concat_ws("/", F.lit("documents"), F.col("doc_id") % 10, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    texts = docs.select(key.alias("storage_key"), F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("content_type"), "doc_id")
+    root = shared_path(spark, "store")
+    objects.put_objects(texts.where("doc_id % 5 = 0").withColumn("content", F.concat(F.lit("old ").cast("binary"), F.col("content"))), root, "before").count()
+    report = objects.put_objects(texts, root, "all")
+    return report.join(objects.stored(spark, root).select("storage_key", F.col("checksum").alias("there")), "storage_key", "left")
+
+
+@_query("select id, action, 'api' as application, (id % 3)::varchar as batch from audit_log", "audit_log")
+def audit_append(get, spark, sf_dir):
+    """The audit rows appended in three batches, each of which comes twice."""
+    rows, path = get("audit_log").select("id", "action"), shared_path(spark, "audit")
+    for n in (0, 1, 0, 2, 2, 1):
+        ledger.append(rows.where(F.col("id") % 3 == n), path, "api", n)
+    return ledger.read(spark, path)
+
+
+@_query(
+    """, p as (select id from patient where id % 4 = 1), e as (select id, medical_record_id from encounter),
+    d as (select id, medical_record_id, id % 400 as encounter_id from document), gone as (select id from d where medical_record_id in (select id from p))
+    select 'patient' as entity, id::varchar as id, null as ref from patient where id not in (select id from p)
+    union all select 'medical_record', id::varchar, id::varchar from patient where id not in (select id from p)
+    union all select 'encounter', id::varchar, medical_record_id::varchar from e where medical_record_id not in (select id from p)
+    union all select 'document', id::varchar, case when encounter_id not in (select id from e where medical_record_id in (select id from p)) then encounter_id::varchar end from d where id not in (select id from gone)
+    union all select 'document_version', document_version_id::varchar, document_id::varchar from document_version where document_id not in (select id from gone)
+    union all select 'processing_job', id::varchar, job_document_id::varchar from processing_job where job_document_id not in (select id from gone)
+    union all select 'extraction', id::varchar, document_id::varchar from extraction where document_id not in (select id from gone)
+    union all select 'audit_log', id::varchar, case when patient_id not in (select id from p) then patient_id::varchar end from audit_log""",
+    "patient encounter document document_version processing_job extraction audit_log",
+)
+def delete_patients(get, spark, sf_dir):
+    """Every fourth patient deleted, with all that refers to it: what is left of eight tables, and one reference of each row."""
+    patients = get("patient").select("id")
+    tables = {
+        "patient": patients,
+        "medical_record": patients.select("id", F.col("id").alias("patient_id")),
+        "encounter": get("encounter").select("id", "medical_record_id"),
+        "document": get("document").select("id", "medical_record_id", (F.col("id") % 400).alias("encounter_id")),
+        "document_version": get("document_version").select(F.col("document_version_id").alias("id"), "document_id"),
+        "processing_job": get("processing_job").select("id", F.col("job_document_id").alias("document_id")),
+        "extraction": get("extraction").select("id", "document_id"),
+        "audit_log": get("audit_log").select("id", "patient_id"),
+    }
+    left, _ = foreign_keys.deleted(tables, {"patient": patients.where("id % 4 = 1")})
+    refs = {"patient": None, "medical_record": "patient_id", "encounter": "medical_record_id", "document": "encounter_id", "audit_log": "patient_id"}
+    parts = [left[t].select(F.lit(t).alias("entity"), F.col("id").cast("string").alias("id"), (F.col(c) if (c := refs.get(t, "document_id")) else F.lit(None)).cast("string").alias("ref")) for t in tables]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_SCHEMAS: typed.Registry = {
+    ("lab_result", "1"): {"test": ("$.test", "string", True), "value": ("$.result.value", "double", True), "unit": ("$.result.unit", "string", False)},
+    ("lab_result", "2"): {"test": ("$.name", "string", True), "value": ("$.values[0]", "double", True)},
+    ("prescription", "1"): {"drug": ("$.drug", "string", True), "days": ("$.days", "int", True)},
+}
+
+
+@_query(
+    """select event_id as id, case event_id % 5 when 2 then case when event_id % 3 = 0 then '$.days' end when 1 then case when event_type = 'view' then '$.values[0]' end when 3 then '$' end as broken,
+    case when event_id % 5 = 0 then event_type when event_id % 5 = 1 and event_type <> 'view' then event_type end as test, case when event_id % 5 = 0 then value when event_id % 5 = 1 and event_type <> 'view' then value end as value,
+    case when event_id % 5 = 2 and event_id % 3 <> 0 then user_id % 30 end as days, case when event_id % 5 = 4 then json_extract(props, '$.k')::bigint end as k from events"""
+)
+def typed_extractions(get, spark, sf_dir):
+    """Extractions of three schemas, some broken, cut short or of a schema that nobody registered."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id") % 5
+    lab1 = F.to_json(F.struct(F.col("event_type").alias("test"), F.struct("value").alias("result")))
+    lab2 = F.when(F.col("event_type") == "view", F.to_json(F.struct(F.col("event_type").alias("name"), F.array(F.lit("high")).alias("values")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("name"), F.array("value").alias("values"))))
+    days = F.when(F.col("event_id") % 3 == 0, F.lit("soon")).otherwise((F.col("user_id") % 30).cast("string"))
+    drug = F.to_json(F.struct(F.col("event_type").alias("drug"), days.alias("days")))
+    rows = e.select(
+        F.col("event_id").alias("id"),
+        F.when(n == 2, "prescription").when(n == 4, "imaging").otherwise("lab_result").alias("schema_name"),
+        F.when(n == 1, "2").otherwise("1").alias("schema_version"),
+        F.when(n == 0, lab1).when(n == 1, lab2).when(n == 2, drug).when(n == 3, F.substring(lab1, 1, 12)).otherwise(F.col("props")).alias("data"),
+    )
+    out = typed.typed(rows, _SCHEMAS)
+    test, value = (F.coalesce(F.col(f"lab_result_v1.{c}"), F.col(f"lab_result_v2.{c}")) for c in ("test", "value"))
+    return out.select("id", "broken", test.alias("test"), value.alias("value"), F.col("prescription_v1.days").cast("long").alias("days"), F.try_variant_get("other", "$.k", "long").alias("k"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 

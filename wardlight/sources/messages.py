@@ -66,11 +66,12 @@ class Topic:
             f.write(json.dumps(content).encode())
         self.fs.move(passing, place)
 
-    def create(self, place: str, content: dict) -> bool:
-        """Write a small file whole unless it is there. Of two writers at once one wins on a mounted folder; elsewhere a topic needs one writer at a time."""
+    def create(self, place: str, content: dict | bytes) -> bool:
+        """Write a file whole unless it is there. Of two writers at once one wins on a mounted folder; elsewhere a topic needs one writer at a time."""
         self.fs.create_dir(os.path.dirname(place), recursive=True)
-        with self.fs.open_output_stream(passing := f"{place}.{uuid.uuid4().hex}") as f:
-            f.write(json.dumps(content).encode())
+        self.fs.create_dir(self.place("passing"), recursive=True)
+        with self.fs.open_output_stream(passing := self.place("passing", uuid.uuid4().hex)) as f:
+            f.write(content if isinstance(content, bytes) else json.dumps(content).encode())
         if isinstance(self.fs, _fs.LocalFileSystem):
             try:
                 os.link(passing, place)
