@@ -124,14 +124,14 @@ def test_redaction(spark):
     assert one(spark, redaction.mask_text(F.col("t")), t="Password: abc&x=1 card 1234-5678-9012-3456") == "Password: ***&x=1 card ****-****-****-****"
 
 
-EVENT = "seq long, document_id long, document_version_id string, type string, succeeded boolean, checksum string, confidence double, size_bytes long, storage_key string, mime_type string, occurred_at timestamp, error_code string, extraction_id long"
+EVENT = "seq long, document_id long, document_version_id string, type string, succeeded boolean, checksum string, confidence double, size_bytes long, storage_key string, mime_type string, occurred_at timestamp, error_code string, extraction_id long, error_message string"
 VERSION = "document_id long, document_version_id string, checksum string"
 
 
 def _events(spark, *rows):
     """(version, type, succeeded) of document 1, in order."""
     at = dt.datetime(2024, 1, 1)
-    return spark.createDataFrame([(i, 1, v, t, ok, f"c{i}", 0.5, 10 + i, f"k{i}", "m", at + dt.timedelta(seconds=i), f"E{i}", 5) for i, (v, t, ok) in enumerate(rows)], EVENT)
+    return spark.createDataFrame([(i, 1, v, t, ok, f"c{i}", 0.5, 10 + i, f"k{i}", "m", at + dt.timedelta(seconds=i), f"E{i}", 5, f"M{i}") for i, (v, t, ok) in enumerate(rows)], EVENT)
 
 
 def test_fold_last_event_wins(spark):
@@ -158,7 +158,7 @@ def test_failure_of_an_unknown_version_counts_for_its_document_only(spark):
 @pytest.mark.parametrize("fold", [ev.VERSIONS, ev.DOCUMENTS, ev.EXTRACTIONS])
 def test_stream_fold_equals_batch(spark, tmp_path, fold):
     kinds, at = list(schema.EVENT_FIELDS), dt.datetime(2024, 1, 1)
-    rows = [(i, i % 5, f"{i % 5}-{i % 3}", kinds[(i * 7) % 6], i % 3 == 0, f"c{i}", i / 10, i, f"k{i}", "m", at, f"E{i}", i % 4) for i in range(80)]
+    rows = [(i, i % 5, f"{i % 5}-{i % 3}", kinds[(i * 7) % 6], i % 3 == 0, f"c{i}", i / 10, i, f"k{i}", "m", at, f"E{i}", i % 4, f"M{i}") for i in range(80)]
     events = spark.createDataFrame(rows, EVENT)
     versions = spark.createDataFrame([(i, f"{i}-{v}", None) for i in range(5) for v in (0, 1)], VERSION)
     for k in range(4):
@@ -280,3 +280,20 @@ def test_retries_end_with_a_dead_letter(spark):
     events = spark.createDataFrame(rows, "seq int, document_id string, document_version_id string, type string")
     got = {r["document_version_id"]: (r["n_failed"], r["outcome"]) for r in ev.retry_or_bury(events).collect()}
     assert got == {"v": (4, "dead_letter"), "w": (1, "retry")}
+
+
+def test_failures_keep_their_message(spark):
+    versions = spark.createDataFrame([(1, "a", None)], VERSION)
+    events = ev.with_known(_events(spark, ("a", "DocumentProcessingFailed", True), ("a", "DocumentProcessingFailed", True), ("a", "DocumentStored", True)), versions)
+    assert [(r["error_code"], r["error_message"]) for r in ev.folded(events.where("known"), ev.VERSIONS).collect()] == [("E1", "M1")]
+
+
+def test_sketches_merge(spark):
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("part"), F.when(F.col("id") % 100 > 0, F.pow(F.col("id").cast("double"), 1.5)).alias("s"))
+    merged = analytics.merged_quantiles(analytics.sketched(rows, "s", "part"), {"p50": 0.5, "p95": 0.95}).first()
+    values = sorted(r["s"] for r in rows.where("s is not null").collect())
+    assert merged["n"] == len(values) and abs(merged["mean"] - sum(values) / len(values)) < 1e-3
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        rank = sum(v <= merged[name] for v in values) / len(values)
+        assert abs(rank - q) < 0.02
+    assert analytics.merged_quantiles(analytics.sketched(rows.limit(0), "s", "part"), {"p50": 0.5}, "part").collect() == []

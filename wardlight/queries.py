@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import redaction, scalars
 from .operators import access, foreign_keys, mutations, reads, typed, uploads
-from .plans import analytics
+from .plans import analytics, vector_index
 from .session import shared_path
 from .sources import files, ledger, messages, objects
 from .sources.projection import NOW, entity, oracle_views, table
@@ -557,13 +557,13 @@ _KNOWN = ", k as (select e.*, v.document_id is not null as known from pipeline_e
 _VERSION_SQL = _KNOWN + """ select document_id, document_version_id,
  max_by(storage_key, seq) filter (type = 'DocumentStored') as storage_key, max_by(mime_type, seq) filter (type = 'DocumentStored') as mime_type, max_by(checksum, seq) filter (type = 'DocumentStored') as checksum,
  coalesce(max_by(case type when 'DocumentConverted' then 'succeeded' else 'failed' end, seq) filter (type in ('DocumentConverted', 'DocumentProcessingFailed')), 'queued') as job_status,
- max_by(occurred_at, seq) filter (type in ('DocumentConverted', 'DocumentProcessingFailed')) as finished_at, max_by(error_code, seq) filter (type = 'DocumentProcessingFailed') as error_code
+ max_by(occurred_at, seq) filter (type in ('DocumentConverted', 'DocumentProcessingFailed')) as finished_at, max_by(error_code, seq) filter (type = 'DocumentProcessingFailed') as error_code, max_by(error_message, seq) filter (type = 'DocumentProcessingFailed') as error_message
  from k where known group by document_id, document_version_id"""
 _DOCUMENT_SQL = _KNOWN + """, d as (select document_id, max_by(case when type = 'DocumentStored' then 'processing' when type = 'DocumentAnalysisCompleted' and succeeded then 'completed' else 'failed' end, seq)
   filter (known and type = 'DocumentStored' or type in ('DocumentProcessingFailed', 'DocumentAnalysisCompleted')) as status,
  max_by(size_bytes, seq) filter (known and type = 'DocumentStored') as size_bytes from k group by document_id)
  select document_id, coalesce(status, 'pending') as status, size_bytes from d"""
-_STATE = ["document_id", "document_version_id", "storage_key", "mime_type", "checksum", "job_status", "finished_at", "error_code"]
+_STATE = ["document_id", "document_version_id", "storage_key", "mime_type", "checksum", "job_status", "finished_at", "error_code", "error_message"]
 
 
 def _known_events(get) -> DataFrame:
@@ -966,6 +966,40 @@ def typed_extractions(get, spark, sf_dir):
     return out.select("id", "broken", test.alias("test"), value.alias("value"), F.col("prescription_v1.days").cast("long").alias("days"), F.try_variant_get("other", "$.k", "long").alias("k"))
 
 
+@_query(
+    """, c as (select document_id, min(occurred_at) as came from pipeline_event where type = 'DocumentUploadRequested' group by 1),
+    w as (select document_id, came, min(occurred_at) as went from pipeline_event join c using (document_id) where type = 'DocumentConverted' and occurred_at >= came group by all)
+    select extract(hour from came)::integer % 4 as part, count(*) as n, round(avg((epoch_us(went) - epoch_us(came)) / 1e6), 3) as mean_seconds, true as p50_near, true as p95_near from w group by 1""",
+    "pipeline_event",
+)
+def latency_sketches(get, spark, sf_dir):
+    """Quantile sketches by hour of arrival, kept as a table and merged into four parts; whether the rank of each quantile is within two hundredths."""
+    kind = F.col("type")
+    took = analytics.times_taken(get("pipeline_event"), kind == "DocumentUploadRequested", kind == "DocumentConverted", "occurred_at", "document_id")
+    took = took.withColumn("hour", F.hour("came")).withColumn("part", F.col("hour") % 4)
+    path = shared_path(spark, "sketches")
+    analytics.sketched(took, "s", "hour", "part").write.parquet(path)
+    merged = analytics.merged_quantiles(spark.read.parquet(path), {"p50": 0.5, "p95": 0.95}, "part")
+    # A quantile's rank lies between the shares of rows below it and up to it.
+    share = {q: (F.avg((F.col("s") < F.col(q)).cast("int")).alias(f"{q}_low"), F.avg((F.col("s") <= F.col(q)).cast("int")).alias(f"{q}_high")) for q in ("p50", "p95")}
+    ranks = took.join(F.broadcast(merged), "part").groupBy("part", "n", "mean").agg(*share["p50"], *share["p95"])
+    near = lambda c, q: (F.col(f"{c}_low") <= q + 0.02) & (F.col(f"{c}_high") >= q - 0.02)
+    return ranks.select("part", "n", F.round("mean", 3).alias("mean_seconds"), near("p50", 0.5).alias("p50_near"), near("p95", 0.95).alias("p95_near"))
+
+
+@_query("select count(*) as n_queries, count(*) * 5 as n_found, true as recall_reached from embeddings where vec_id % 50 = 0")
+def similar_vectors_index(get, spark, sf_dir):
+    """The five nearest vectors of every fiftieth by an index over all, tuned on 200 queries at most; and whether nine tenths of the exact ones are among them."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0")
+    cells = max(1, round(vectors.count() ** 0.5))
+    index = vector_index.build(vectors, vector_index.fit_centroids(vectors, cells))
+    found = vector_index.search(index, asked, 5, vector_index.tuned(index, vectors, asked, 5))
+    exact = analytics.cosine_topk(vectors, asked, 5).select("query_id", "vec_id")
+    hits = found.select("query_id", "vec_id", F.lit(True).alias("found")).join(exact.withColumn("exact", F.lit(True)), ["query_id", "vec_id"], "full")
+    return hits.agg(F.count_distinct("query_id").alias("n_queries"), F.count("found").alias("n_found"), (F.count_if(F.col("found") & F.col("exact")) >= 0.9 * F.count("exact")).alias("recall_reached"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 

@@ -91,6 +91,7 @@ ENTITIES: dict[str, Entity] = {
             "storage_key": "concat('s/', cast(event_id as varchar(20)))",
             "mime_type": "case when event_id % 2 = 0 then 'application/pdf' else 'image/png' end",
             "error_code": "concat('E', cast(event_id % 7 as varchar(20)))",
+            "error_message": "concat('step ', cast(event_id % 11 as varchar(20)), ' failed')",
             "type": "case event_type when 'signup' then 'DocumentUploadRequested' when 'click' then 'DocumentStored' when 'view' then 'DocumentConverted' when 'purchase' then 'DocumentAnalysisCompleted' else 'DocumentProcessingFailed' end",
             "occurred_at": "ts",
             "succeeded": "value >= 50",

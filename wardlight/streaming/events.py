@@ -41,7 +41,7 @@ VERSIONS = Fold(
     {
         "stored": ("known and type = 'DocumentStored'", {c: c for c in ("storage_key", "mime_type", "size_bytes", "checksum")}),
         "job": ("known and type in ('DocumentConverted', 'DocumentProcessingFailed')", {"job_status": "if(type = 'DocumentConverted', 'succeeded', 'failed')", "finished_at": "occurred_at"}),
-        "error": ("known and type = 'DocumentProcessingFailed'", {"error_code": "error_code"}),
+        "error": ("known and type = 'DocumentProcessingFailed'", {"error_code": "error_code", "error_message": "error_message"}),
     },
     {"first_stored_seq": "known and type = 'DocumentStored'"},
     {"job_status": "queued"},
@@ -183,13 +183,14 @@ def start_fold(events: DataFrame, fold: Fold, state_path: str, checkpoint: str,
 
     def one(batch: DataFrame, number: int) -> None:
         place = F.pmod(F.hash(*fold.key), F.lit(buckets))
-        now = folded(prepare(batch) if prepare else batch, fold)
+        now = folded(prepare(batch) if prepare else batch, fold).persist()  # read twice below
         before = _manifest(spark, state_path, number - 1)
         touched = {r[0] for r in now.select(place).distinct().collect()}  # at most ``buckets`` numbers
         old = _states(spark, state_path, {b: at for b, at in before.items() if b in touched}, now)
         merged(old, now, fold).withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/batch={number}")
         after = before | dict.fromkeys(touched, number)
         spark.createDataFrame(sorted(after.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/manifest/batch={number}")
+        now.unpersist()
         # This batch may be repeated from the manifest before it, but no earlier one can.
         for b, at in _manifest(spark, state_path, number - 2).items():
             if before.get(b) != at:
