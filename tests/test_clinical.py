@@ -297,3 +297,24 @@ def test_sketches_merge(spark):
         rank = sum(v <= merged[name] for v in values) / len(values)
         assert abs(rank - q) < 0.02
     assert analytics.merged_quantiles(analytics.sketched(rows.limit(0), "s", "part"), {"p50": 0.5}, "part").collect() == []
+
+
+def test_timelines_are_newest_first(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    a = spark.createDataFrame([(1, 1, at(5)), (1, 2, None), (2, 3, at(1)), (None, 9, at(1))], "p long, i long, t timestamp")
+    b = spark.createDataFrame([(1, 7, at(5)), (1, 6, at(5)), (1, 5, at(9))], "p long, i long, t timestamp")
+    got = analytics.ordered_timeline(("b", b, "p", "i", "t"), ("a", a, "p", "i", "t")).orderBy("patient_id", "place").collect()
+    assert [(r["patient_id"], r["kind"], r["item_id"], r["place"]) for r in got] == [(1, "b", 5, 1), (1, "a", 1, 2), (1, "b", 6, 3), (1, "b", 7, 4), (1, "a", 2, 5), (2, "a", 3, 1)]
+
+
+def test_saved_sessions_keep_account_and_creation(spark):
+    columns = ["id", "account_id", "created_at", *mutations.SESSION_COLUMNS]
+    kinds = ", ".join(f"{c} {'long' if c in ('id', 'account_id') else 'timestamp' if c.endswith('_at') else 'string'}" for c in columns)
+    at = lambda d: dt.datetime(2024, 1, d)
+    row = lambda i, account, day, tag: (i, account, at(day), f"h{tag}", at(day), at(day), at(day), f"u{tag}", f"i{tag}", f"d{tag}", f"p{tag}", f"v{tag}")
+    table = spark.createDataFrame([row(1, 10, 1, "a"), row(2, 20, 1, "b")], kinds)
+    empty = (2, 99, at(9), None, None, None, at(9), None, None, None, None, None)
+    saved = spark.createDataFrame([empty, row(2, 98, 5, "x"), row(3, 30, 2, "c"), row(None, 1, 1, "n")], kinds)
+    got = {r["id"]: tuple(r) for r in mutations.save_sessions(table, saved).collect()}
+    assert got == {1: row(1, 10, 1, "a"), 2: (2, 20, at(1), None, None, None, at(9), *[None] * 5), 3: row(3, 30, 2, "c")}
+    assert mutations.save_sessions(table.limit(0), saved.limit(0)).collect() == []

@@ -46,6 +46,22 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return table.join(new, key, "full_outer").select(*[c if c in key else value(c).alias(c) for c in table.columns])
 
 
+#: What saving a session that is there changes (fixed values); its account and the time of its creation stay.
+SESSION_COLUMNS = ("refresh_token_hmac", "revoked_at", "expires_at", "last_used_at", "user_agent", "ip_address", "device_id", "platform", "app_version")
+
+
+def save_sessions(table: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Sessions with the given ones saved: of one that is there (by id) the nine columns are replaced, nulls too; one that is not is added whole.
+
+    A session that is given twice is saved as its last use, nulls first, says; one without an id is left out.
+    """
+    order = F.struct(F.col("last_used_at"), F.struct(*[c for c in table.columns if c not in ("id", "last_used_at")]))
+    last = sessions.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*table.columns), order).alias("r")).select("r.*")
+    both = table.join(last.select(*[F.col(c).alias(f"_new_{c}") for c in table.columns]), F.col("id") == F.col("_new_id"), "full_outer")
+    saved, there = F.col("_new_id").isNotNull(), F.col("id").isNotNull()
+    return both.select(*[F.when(saved & (F.lit(c in SESSION_COLUMNS) | ~there), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in table.columns])
+
+
 def patch(table: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
     """Fields in three states: each patched column is a struct (set, value), and a null that is set is not an unset field."""
     named = [c for c in patches.columns if c not in key]

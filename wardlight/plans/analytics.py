@@ -21,6 +21,15 @@ def timeline(*sources: tuple[str, DataFrame, str, str, str]) -> DataFrame:
     return out
 
 
+def ordered_timeline(*sources: tuple[str, DataFrame, str, str, str]) -> DataFrame:
+    """``timeline`` with ``place``: a row's number among its patient's, newest first; of the same time by kind and item, and what has no time last.
+
+    A row without a patient is on no timeline.
+    """
+    own = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last("at"), "kind", "item_id")
+    return timeline(*sources).where("patient_id is not null").withColumn("place", F.row_number().over(own))
+
+
 def trend(observations: DataFrame, *order: str) -> DataFrame:
     """Observations with the value before and the first value of the same patient and code, and the differences to them."""
     series = Window.partitionBy("patient_id", "code").orderBy(*order)

@@ -708,6 +708,27 @@ def patient_timeline(get, spark, sf_dir):
     return analytics.timeline(("encounter", get("encounter"), "medical_record_id", "id", "started_at"), ("observation", get("observation"), "patient_id", "encounter_id", "observed_at"))
 
 
+@_query(
+    """, t as (select medical_record_id as patient_id, 'encounter' as kind, id as item_id, started_at as at from encounter
+    union all select document_id, 'document', seq, occurred_at from pipeline_event where type = 'DocumentStored'
+    union all select patient_id, 'observation', encounter_id * 10 + line_no, observed_at from observation
+    union all select patient_id, 'diagnosis', encounter_id * 10 + line_no, observed_at from observation where value >= 45
+    union all select patient_id, 'medication', encounter_id * 10 + line_no, observed_at + interval 1 day from observation where value >= 48)
+    select *, row_number() over (partition by patient_id order by "at" desc nulls last, kind, item_id) as place from t""",
+    "encounter pipeline_event observation",
+)
+def full_timeline(get, spark, sf_dir):
+    """Five kinds of items of each patient, newest first; high values stand for diagnoses, the highest for medication from the next day on."""
+    seen = get("observation").withColumn("item", F.expr("encounter_id * 10 + line_no"))
+    return analytics.ordered_timeline(
+        ("encounter", get("encounter"), "medical_record_id", "id", "started_at"),
+        ("document", get("pipeline_event").where("type = 'DocumentStored'"), "document_id", "seq", "occurred_at"),
+        ("observation", seen, "patient_id", "item", "observed_at"),
+        ("diagnosis", seen.where("value >= 45"), "patient_id", "item", "observed_at"),
+        ("medication", seen.where("value >= 48").withColumn("observed_at", F.expr("observed_at + interval 1 day")), "patient_id", "item", "observed_at"),
+    )
+
+
 _SERIES = ("observed_at", "encounter_id", "line_no", "part_id", "supplier_id", "price", "value")
 
 
@@ -855,6 +876,32 @@ def queue_messages(get, spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
+_SESSION_ROW = """select event_id as id, user_id as account_id, ts as created_at, 'h' || event_id as refresh_token_hmac, case when event_type = 'error' then ts end as revoked_at, ts + interval 30 day as expires_at,
+ ts as last_used_at, 'agent ' || user_id % 5 as user_agent, '10.0.0.' || user_id % 200 as ip_address, case when event_type <> 'view' then 'device ' || user_id end as device_id, event_type as platform, '1.' || event_id % 3 as app_version"""
+
+
+@_query(
+    f"""with t as ({_SESSION_ROW} from events where event_id % 3 <> 0), s as ({_SESSION_ROW} from events where event_id % 2 = 0)
+    select coalesce(t.id, s.id) as id, coalesce(t.account_id, s.account_id + 1) as account_id, coalesce(t.created_at, s.created_at + interval 1 hour) as created_at,
+    case when s.id is null then t.refresh_token_hmac else s.refresh_token_hmac || '+' end as refresh_token_hmac, case when s.id is null then t.revoked_at end as revoked_at, coalesce(s.expires_at + interval 1 day, t.expires_at) as expires_at,
+    coalesce(s.last_used_at + interval 2 hour, t.last_used_at) as last_used_at, coalesce(s.user_agent, t.user_agent) as user_agent, case when s.id is null then t.ip_address else '10.1.1.1' end as ip_address,
+    case when s.id is null then t.device_id else s.device_id end as device_id, coalesce(s.platform, t.platform) as platform, coalesce(s.app_version, t.app_version) as app_version
+    from t full join s using (id)"""
+)
+def save_sessions(get, spark, sf_dir):
+    """Two thirds of the sessions are there; every second one is saved twice, with other values and for another account, and the later use counts."""
+    at = table(spark, sf_dir, "events")
+    rows = at.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), F.col("ts").alias("created_at"), F.concat(F.lit("h"), "event_id").alias("refresh_token_hmac"),
+        F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"), F.expr("ts + interval 30 day").alias("expires_at"), F.col("ts").alias("last_used_at"),
+        F.concat(F.lit("agent "), F.col("user_id") % 5).alias("user_agent"), F.concat(F.lit("10.0.0."), F.col("user_id") % 200).alias("ip_address"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("device "), "user_id")).alias("device_id"), F.col("event_type").alias("platform"), F.concat(F.lit("1."), F.col("event_id") % 3).alias("app_version"),
+    )
+    given = rows.where("id % 2 = 0").withColumns({"account_id": F.col("account_id") + 1, "created_at": F.expr("created_at + interval 1 hour"), "expires_at": F.expr("expires_at + interval 1 day"), "ip_address": F.lit("10.1.1.1"), "revoked_at": F.lit(None).cast("timestamp_ntz")})
+    later = given.withColumns({"last_used_at": F.expr("last_used_at + interval 2 hour"), "refresh_token_hmac": F.concat("refresh_token_hmac", F.lit("+"))})
+    return mutations.save_sessions(rows.where("id % 3 <> 0"), given.unionByName(later))
+
+
 _ROTATED = "(id % 4 = 0 and revoked_at is null and expires_at > timestamp '1995-01-01 00:00:00')"
 _ROTATE_SQL = f"""r as (select id, account_id, case when {_ROTATED} then timestamp '1995-01-01 00:00:00' else revoked_at end as revoked_at, expires_at from session_row
  union all select id + 1000000, account_id, null, timestamp '1995-01-31 00:00:00' from session_row where {_ROTATED})"""
