@@ -13,7 +13,7 @@ from .functions import redaction, scalars
 from .operators import access, foreign_keys, mutations, reads, typed, uploads
 from .plans import analytics, vector_index
 from .session import shared_path
-from .sources import files, ledger, messages, objects
+from .sources import artifacts, files, ledger, messages, objects
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
 from .streaming import keyed
@@ -1047,6 +1047,28 @@ def similar_vectors_index(get, spark, sf_dir):
     return hits.agg(F.count_distinct("query_id").alias("n_queries"), F.count("found").alias("n_found"), (F.count_if(F.col("found") & F.col("exact")) >= 0.9 * F.count("exact")).alias("recall_reached"))
 
 
+@_query(
+    r"""with md as (select doc_id, list_transform(string_split(text, chr(10)), lambda l, i: case when (doc_id + i - 1) % 4 = 0 then repeat('#', ((i - 1) % 3 + 1)::int) || ' ' || substr(l, 1, 20) else l end) as lines from documents),
+    marks as (select *, regexp_matches(line, '^[ \t]{0,3}(```|~~~)') as fence from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as n from md)),
+    fences as (select *, count(*) filter (fence) over (partition by doc_id order by n) as k from marks where fence or regexp_matches(line, '^#{1,6}[ \t]+')),
+    heads as (select doc_id, n, length(regexp_extract(line, '^#+')) as level, regexp_extract(line, '^#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$', 1) as title, row_number() over w as section_no, lead(n) over w as following
+     from fences where not fence and k % 2 = 0 window w as (partition by doc_id order by n)),
+    parts as (select doc_id, section_no, level, title, n, following from heads union all select doc_id, 0, 0, null, 0, (select min(n) from heads h where h.doc_id = md.doc_id) from md),
+    texts as (select p.*, array_to_string(list_slice(lines, n + 1, coalesce(following, len(lines))), chr(10)) as text, coalesce(following, len(lines)) - n as n_lines from parts p join md using (doc_id))
+    select t.doc_id, t.section_no::bigint as section_no, t.level::bigint as level, t.title, t.n_lines::bigint as n_lines, md5(t.text) as text_md5, (select max_by(h.title, h.n) from heads h where h.doc_id = t.doc_id and h.n < t.n and h.level < t.level) as parent
+    from texts t where section_no > 0 or n_lines > 0 and regexp_matches(text, '[^ \t\n]')"""
+)
+def artifact_sections(get, spark, sf_dir):
+    """Documents with every fourth line or so made a heading, in sections under the heading that they belong to."""
+    docs = table(spark, sf_dir, "documents")
+    heading = lambda line, i: F.concat(F.repeat(F.lit("#"), i % 3 + 1), F.lit(" "), F.substring(line, 1, 20))
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.when((F.col("doc_id") + i) % 4 == 0, heading(line, i)).otherwise(line))
+    parts = artifacts.sections(docs.select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id")
+    number = {c: F.col(c).cast("long").alias(c) for c in ("section_no", "level", "n_lines")}
+    parent = F.get("headings", F.array_size("headings") - 2)
+    return parts.select("doc_id", number["section_no"], number["level"], "title", number["n_lines"], F.md5("text").alias("text_md5"), parent.alias("parent"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 
