@@ -1,10 +1,12 @@
 """Near-duplicate, suffix and line deduplication against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -148,10 +150,14 @@ def suffix_rows():
     return rows + [(95, "ab" * 300), (96, "x" * 99), (97, "x" * 100), (98, "x" * 101), (99, "é" * 130 + "y")]
 
 
-@pytest.mark.parametrize("options", [{}, {"most": 2, "bucket_bytes": 2000}, {"most": 0, "bucket_bytes": 2000}])
+TWO_LEVELS = [{"most": most, "bucket_bytes": size, "direct": 1} for most, size in ((50_000, 300), (2, 2000), (0, 300))]
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 2, "bucket_bytes": 2000}, {"most": 0, "bucket_bytes": 2000}, *TWO_LEVELS])
 def test_suffix_dedup(make_docs, options):
     rows = suffix_rows()
-    got = sorted((tuple(r) for r in sd.suffix_dedup(make_docs(rows), **options).collect()), key=str)
+    docs = make_docs(rows) if options not in TWO_LEVELS else make_docs(rows).repartition(9)
+    got = sorted((tuple(r) for r in sd.suffix_dedup(docs, **options).collect()), key=str)
     assert got == brute_suffix(rows)
     assert sum(g[2] for g in got) > 2000
 
@@ -171,6 +177,62 @@ def test_long_texts_are_taken_in_blocks(make_docs, monkeypatch):
     assert sum(whole[2][2] - whole[2][1] + 1) == sum(cut[2][2] - cut[2][1] + 1) and set(whole[2][4]) == set(cut[2][4])
 
 
+def _exchanged(n_runs, buckets, direct):
+    """Rows, strings and the hot string's most copies in a bucket that the last exchange of ``n_runs`` runs has; and the spans found."""
+    hot, tables = prose(1000, 60)[:500], []
+    for i in range(n_runs):
+        texts = [f"{prose(3000 + 7 * i + j, 30)} {hot} {prose(5000 + 7 * i + j, 30)}" for j in range(3)]
+        data, offsets = shared.text_bytes(pa.array(texts))
+        owner, *_, hashes = sd.strips(data, offsets)
+        anchors = [np.unique(sd.short_hash(hashes[owner == k])).tolist() for k in range(3)]
+        kind = pa.list_(pa.int64())
+        tables.append(pa.RecordBatch.from_arrays([pa.array([10 * i + k for k in range(3)]), pa.array([0] * 3), pa.array(texts), pa.array(anchors, kind), pa.array([None] * 3, kind)], names=["_id", "_key", "text", "anchors", "hot"]))
+    width = math.isqrt(buckets - 1) + 1
+    lanes = math.isqrt(n_runs) if not direct else 1
+    rows = []
+    for i, t in enumerate(tables):
+        rows += [(i % lanes, r) for b in sd._runs(buckets, 1 if direct else width)(iter([t])) for r in b.to_pylist()]
+    first = len(rows)
+    if not direct:
+        groups = {}
+        for lane, r in rows:
+            groups.setdefault((lane, r["bucket"]), []).append(r)
+        schema = pa.schema(list(sd._RUN.items()))
+        rows = [(0, r) for (lane, b), own in groups.items() for r in sd._longer(buckets, width)((pa.scalar(lane), pa.scalar(b)), pa.Table.from_pylist(own, schema)).to_pylist()]
+    copies, strings, found = {}, 0, []
+    by_bucket = {}
+    for _, r in rows:
+        by_bucket.setdefault(r["bucket"], []).append(r)
+        strings += len(r["lengths"])
+        if r["kind"] == 0:
+            for _, rest in [(0, s) for s in _all_strings(r)]:
+                copies[rest] = copies.get(rest, 0) + 1
+    schema = pa.schema(list(sd._RUN.items()))
+    for b, own in by_bucket.items():
+        assert 0 <= b < buckets
+        found += [tuple(x.values()) for x in sd._merged()((pa.scalar(b),), pa.Table.from_pylist(own, schema)).to_pylist()]
+    return first, len(rows), strings, max(copies.values()), {(d, p) for d, _, a, z in found for p in range(a, z)}
+
+
+def _all_strings(row):
+    run, out = sd._unpack(row), []
+    while run.string is not None:
+        out.append(run.string)
+        run.step()
+    return out
+
+
+def test_two_levels_find_the_same_and_carry_a_hot_string_once_a_lane():
+    for n in (9, 36, 144):
+        one, two = _exchanged(n, 4 * n, True), _exchanged(n, 4 * n, False)
+        assert one[4] == two[4] and one[4]
+        assert one[3] == n and two[3] <= math.isqrt(n)
+        # Runs times groups of buckets, then lanes times buckets, each with a row of spans; where a run has a string for every bucket, direct rows are runs times buckets.
+        groups = -(-4 * n // (math.isqrt(4 * n - 1) + 1))
+        assert two[0] <= n * (groups + 1) and two[1] <= math.isqrt(n) * (4 * n + groups)
+        assert max(two[:2]) < one[1]
+
+
 def test_suffix_dedup_of_nothing(make_docs):
     assert sd.suffix_dedup(make_docs([])).collect() == []
 

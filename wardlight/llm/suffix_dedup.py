@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BLOCK, mix64, power_table, prefix_hash, text_bytes, text_slices, written
+from ._shared import _BYTE, BLOCK, mix64, power_table, prefix_hash, text_bytes, text_slices, written
 
 LENGTH = 100
 ANCHOR = 32
@@ -267,11 +267,27 @@ def _squeezed(raw: bytes) -> bytes:
     return pa.Codec("zstd").compress(raw, asbytes=True)
 
 
+def _run_row(bucket: int, kept: list[tuple]) -> tuple:
+    """A run of sorted (string, left, id, key, start)."""
+    shared, rests = front_code([e[0] for e in kept])
+    return (bucket, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), _squeezed(b"".join(rests)))
+
+
+def _span_rows(spans: list[tuple], first: int, count: int):
+    """Spans that are found, to any of the ``count`` buckets from ``first`` on."""
+    spans = merged_places(spans)
+    for i in range(0, len(spans), 20_000):
+        some = spans[i : i + 20_000]
+        yield (first + (some[0][0] + i) % count, 1, *_packed([s[:3] for s in some]), np.array([s[3] for s in some], dtype=np.int64).tobytes(), b"", b"", b"", b"")
+
+
 #: In place of the left part's length: the string is one window of a hot anchor.
 _WINDOW = 255
 
 
-def _runs(buckets: int):
+def _runs(buckets: int, width: int = 1):
+    """Runs by bucket, or by ``width`` neighbouring buckets together."""
+
     def gather(entries: dict[int, list], batch: pa.RecordBatch, part: pa.Array) -> None:
         ids, keys = batch.column("_id").to_pylist(), batch.column("_key").to_pylist()
         data, offsets = text_bytes(part)
@@ -281,14 +297,14 @@ def _runs(buckets: int):
         among = lambda c: [np.isin(short[a:b], w.values.to_numpy()) if w.is_valid else np.zeros(b - a, dtype=bool) for a, b, w in zip(edge[:-1], edge[1:], batch.column(c), strict=True)]
         pick, hot = np.flatnonzero(np.concatenate(among("anchors"))), np.concatenate(among("hot"))
         raw = data.tobytes()
-        columns = (first[pick], last[pick] + LENGTH, anchor[pick], owner[pick], bucket_of(short[pick], buckets), hot[pick])
+        columns = (first[pick], last[pick] + LENGTH, anchor[pick], owner[pick], bucket_of(short[pick], buckets) // width, hot[pick])
         for p, q, a, o, b, h in zip(*(c.tolist() for c in columns), strict=True):
             if not h:
                 entries.setdefault(b, []).append((raw[a:q] + raw[p:a], a - p, ids[o], keys[o], p - int(offsets[o])))
                 continue
             for i in range(p, q - LENGTH + 1):
                 window = raw[i : i + LENGTH]
-                entries.setdefault(zlib.crc32(window) % buckets, []).append((window, _WINDOW, ids[o], keys[o], i - int(offsets[o])))
+                entries.setdefault(zlib.crc32(window) % buckets // width, []).append((window, _WINDOW, ids[o], keys[o], i - int(offsets[o])))
 
     def rows_of(entries: dict[int, list]):
         spans = []
@@ -301,12 +317,8 @@ def _runs(buckets: int):
                         spans.append((*e[2:], e[4] + len(e[0])))
                 else:
                     kept.append(e)
-            shared, rests = front_code([e[0] for e in kept])
-            yield (b, 0, *_packed([e[2:] for e in kept]), b"", shared.tobytes(), bytes(len(e[0]) for e in kept), bytes(e[1] for e in kept), _squeezed(b"".join(rests)))
-        spans = merged_places(spans)
-        for i in range(0, len(spans), 20_000):
-            some = spans[i : i + 20_000]
-            yield ((some[0][0] + i) % buckets, 1, *_packed([s[:3] for s in some]), np.array([s[3] for s in some], dtype=np.int64).tobytes(), b"", b"", b"", b"")
+            yield _run_row(b, kept)
+        yield from _span_rows(spans, 0, -(-buckets // width))
 
     def run(batches):
         entries: dict[int, list] = {}
@@ -453,17 +465,62 @@ def _same_anchor(group: list[tuple[bytes, tuple]], found: list) -> None:
                 found.append((doc, key, start + i, start + i + LENGTH))
 
 
+def _strings(table, found: list[tuple]) -> list[Run]:
+    """The runs of a group's rows; the spans that its rows carry go to ``found``."""
+    runs: list[Run] = []
+    for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
+        if row["kind"] == 0:
+            runs.append(_unpack(row))
+        else:
+            found += zip(*_places(row), np.frombuffer(row["stops"], dtype=np.int64).tolist(), strict=True)
+    return runs
+
+
+def _buckets_of(strings: list[bytes], lefts: list[int], buckets: int) -> np.ndarray:
+    """The bucket of each string of a run: that of its anchor, its first bytes, or of the whole window."""
+    first = np.frombuffer(b"".join(x[:ANCHOR] for x in strings), dtype=np.uint8).reshape(-1, ANCHOR)
+    hashes = mix64((_BYTE[first] * power_table(ANCHOR)[None, :]).sum(axis=1, dtype=np.uint64))
+    out = bucket_of(short_hash(hashes), buckets)
+    for i in np.flatnonzero(np.array(lefts) == _WINDOW):
+        out[i] = zlib.crc32(strings[i]) % buckets
+    return out
+
+
+def _longer(buckets: int, width: int):
+    """The runs that some tasks have of ``width`` neighbouring buckets, as one run for each bucket, without strings that come again."""
+
+    def run(key, table):
+        found: list[tuple] = []
+        runs = _strings(table, found)
+        kept: list[tuple] = []  # string, left, id, key, start
+        seen: dict[int, int] = {}  # among those equal to the last string: by length of the left part
+        for shared, string, place in LoserTree(runs) if runs else ():
+            if kept and not shared == len(string) == len(kept[-1][0]):
+                seen.clear()
+            if (at := seen.get(place[0])) is None:
+                seen[place[0]] = len(kept)
+                kept.append((string, *place))
+            else:
+                one, two = sorted((kept[at][1:], place), key=lambda x: x[1:])
+                kept[at] = (string, *one)
+                if one[1:] != two[1:]:
+                    found.append((*two[1:], two[3] + len(string)))
+        own = _buckets_of([e[0] for e in kept], [e[1] for e in kept], buckets) if kept else np.empty(0, dtype=np.int64)
+        order = np.argsort(own, kind="stable")
+        rows = [_run_row(int(own[part[0]]), [kept[i] for i in part.tolist()]) for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(part)]
+        first = int(key[-1].as_py()) * width
+        rows += _span_rows(found, first, min(width, buckets - first))
+        return pa.Table.from_batches([_arrow(rows, _RUN)])
+
+    return run
+
+
 def _merged():
     """Spans found by merging a bucket's runs, and those that its rows carry."""
 
     def run(key, table):
         found: list[tuple] = []
-        runs: list[Run] = []
-        for row in (x for b in table.to_batches(max_chunksize=64) for x in b.to_pylist()):
-            if row["kind"] == 0:
-                runs.append(_unpack(row))
-            else:
-                found += zip(*_places(row), np.frombuffer(row["stops"], dtype=np.int64).tolist(), strict=True)
+        runs = _strings(table, found)
         group: list[tuple[bytes, tuple]] = []  # distinct strips of one anchor, each with its first place
         seen: dict[int, int] = {}  # among those equal to the last string: by length of the left part
         for shared, string, place in LoserTree(runs) if runs else ():
@@ -525,9 +582,17 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, most_broadcast: int = 1_000_000) -> DataFrame:
+#: Buckets up to which every run goes to every bucket at once.
+DIRECT = 256
+
+
+def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, most_broadcast: int = 1_000_000, direct: int = DIRECT) -> DataFrame:
     """(_id, _key, start, stop): byte spans to remove, which may overlap.
 
+    Runs are of a fixed size, so that with more text there are more runs and more buckets, and their product would grow with the square. Beyond ``direct`` buckets they are
+    exchanged in two levels: first the square root of the runs (a lane) meets for the square root of the buckets, is merged to longer runs without strings that come again, and these go to their
+    buckets. So rows grow with the power 1.5 of the text at most and hold many strings each, and a string that every run has comes to its bucket once a lane.
+
     A bucket has the strips of about ``bucket_bytes`` of text; an anchor that occurs more than ``most`` times is spread by
     its windows. Which anchors these are (at most strips / ``most``) is sent to every task while they are few, and
     joined by a shuffle beyond ``most_broadcast``.
@@ -547,11 +612,18 @@ def removed_spans(keyed: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50
         anchors = anchors.join(tagged, ["_id", "_key"], "left")
     else:
         anchors = anchors.withColumn("hot", F.lit(None).cast("array<long>"))
-    runs = keyed.join(anchors, ["_id", "_key"]).mapInArrow(_runs(buckets), _ddl(_RUN))
+    listed = keyed.join(anchors, ["_id", "_key"])
+    if buckets <= direct:
+        runs = listed.mapInArrow(_runs(buckets), _ddl(_RUN))
+    else:
+        width = math.isqrt(buckets - 1) + 1
+        lanes = math.isqrt(max(1, size // (16 << 20))) + 1
+        first = listed.mapInArrow(_runs(buckets, width), _ddl(_RUN)).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)).cast("long"))
+        runs = first.groupBy("lane", "bucket").applyInArrow(_longer(buckets, width), _ddl(_RUN))
     return runs.groupBy("bucket").applyInArrow(_merged(), _ddl(_FOUND))
 
 
-def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, with_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_000, with_bytes: bool = False, direct: int = DIRECT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``; with ``with_bytes`` also the kept bytes.
 
     What is left need not be valid UTF-8, since a repeated string may begin or end inside a character. A null text counts
@@ -564,7 +636,7 @@ def suffix_dedup(docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 50_0
         F.hash(F.col("text").cast("string")).cast("long").alias("_key"),
         F.col("text").cast("string").alias("text"),
     )
-    spans = removed_spans(keyed, bucket_bytes, most).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = removed_spans(keyed, bucket_bytes, most, direct=direct).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     out = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     made = keyed.join(spans, ["_id", "_key"], "left").select("_id", "text", "spans").mapInArrow(_cut(with_bytes), out)
     doc_id = F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id")
