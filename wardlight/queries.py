@@ -16,7 +16,7 @@ from .session import shared_path
 from .sources import artifacts, files, ledger, messages, objects
 from .sources.projection import NOW, entity, oracle_views, table
 from .streaming import events as ev
-from .streaming import keyed
+from .streaming import keyed, limits
 from .streaming.scaling import windowed_counts as _windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
