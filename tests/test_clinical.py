@@ -318,3 +318,11 @@ def test_saved_sessions_keep_account_and_creation(spark):
     got = {r["id"]: tuple(r) for r in mutations.save_sessions(table, saved).collect()}
     assert got == {1: row(1, 10, 1, "a"), 2: (2, 20, at(1), None, None, None, at(9), *[None] * 5), 3: row(3, 30, 2, "c")}
     assert mutations.save_sessions(table.limit(0), saved.limit(0)).collect() == []
+
+
+def test_lists_come_in_order(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in range(40)], "id long, at int").repartition(6)
+    want = sorted(range(40), key=lambda i: (i % 7 != 0, -(i % 5) if i % 7 else 0, -i))
+    assert [r["id"] for r in reads.newest_first(rows, "at", "id").collect()] == want
+    assert [r["id"] for r in reads.page(rows, "at", "id", 5, 3).collect()] == want[3:8]
+    assert [r["id"] for r in reads.page(rows, "at", "id", 0, -2).collect()] == want[:1]
