@@ -5,11 +5,14 @@ The platform that this library follows specifies these and does not implement th
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..schema import LAB_RESULT
+from .nearest import Nearest, matrix, numbered
 
 
 def timeline(*sources: tuple[str, DataFrame, str, str, str]) -> DataFrame:
@@ -56,27 +59,44 @@ def chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int = 0) ->
     return docs.select(key, text, F.posexplode(starts).alias("chunk_no", "start")).select(key, "chunk_no", "start", F.substring(text, F.col("start"), F.lit(size)).alias("chunk"))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", most_bytes: int = 256 << 20) -> DataFrame:
-    """(query_id, vec_id, similarity, place): the k most similar vectors to each of a stated set of queries.
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", most_bytes: int = 8 << 20) -> DataFrame:
+    """(query_id, vec_id, similarity, place): the k most similar vectors to each of a stated set of queries, exactly.
 
-    The queries are taken in blocks of about ``most_bytes`` by a hash of their key; a block is sent to every task, and each task
-    keeps k rows a query before the shuffle. A null vector is similar to nothing.
+    Vectors and queries are dealt into blocks of about ``most_bytes`` by a hash of their key, and every block of the ones meets every block of the others in a
+    task of its own, which keeps k rows a query. The work is that of all pairs, as matrix products. Of equal similarity the smaller key comes first.
+    A vector that is null, empty or has a null component is similar to nothing, and vectors of different lengths aren't to each other. A zero vector or one with
+    a component that isn't finite has similarity NaN to all others, which comes first, as in SQL.
     """
-    size = queries.agg(F.coalesce(F.sum(F.size(value) * 8 + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // most_bytes))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    # The norms are made before the join, once a vector.
-    a = queries.select(F.col(key).alias("query_id"), F.col(value).alias("_q"), F.sqrt(dot(F.col(value), F.col(value))).alias("_nq"))
-    b = vectors.select(F.col(key), F.col(value).alias("_v"), F.sqrt(dot(F.col(value), F.col(value))).alias("_nv"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        v = F.col(value) if dict(rows.dtypes)[value] == "array<float>" else F.col(value).cast("array<double>")
+        known = F.col(key).isNotNull() & (F.size(value) > 0) & ~F.exists(value, F.isnull)
+        return rows.where(F.col(value).isNotNull() & known).select(F.col(key).alias(name), v.alias(f"_{name}"), F.size(value).alias("_width"))
+
+    b, a = side(vectors, key), side(queries, "query_id")
+    n_b, n_a = (max(1, -(-(x.agg(F.sum(F.col("_width") * F.lit(8).cast("long"))).first()[0] or 0) // most_bytes)) for x in (b, a))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    b = b.withColumn("_b", block(key, n_b)).withColumn("_a", every(n_a))
+    a = a.withColumn("_a", block("query_id", n_a)).withColumn("_b", every(n_b))
+    types = [to_arrow_type(x.schema[c].dataType) for x, c in ((a, "query_id"), (b, key))]
+
+    def score(left, right):
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], t) for t in (*types, pa.float64())], names=["query_id", key, "similarity"])
+        left = left.sort_by(key)
+        width = left.column("_width")[0].as_py()
+        own, asking = numbered(left.column(key).to_numpy(), right.column("query_id").to_numpy())
+        search = Nearest(matrix(left.column(f"_{key}"), width), own, matrix(right.column("_query_id"), width), asking, k)
+        search.visit()
+        q, r, similarity = search.found()
+        return pa.table([right.column("query_id").take(pa.array(q)), left.column(key).take(pa.array(r)), pa.array(similarity)], names=["query_id", key, "similarity"])
+
+    by = ("_width", "_a", "_b")
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((a, "query_id"), (b, key))]
+    best = b.groupBy(*by).cogroup(a.groupBy(*by)).applyInArrow(score, f"query_id {kinds[0]}, `{key}` {kinds[1]}, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    out = None
-    for i in range(blocks):
-        block = a.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else a
-        near = b.crossJoin(F.broadcast(block)).where(F.col(key) != F.col("query_id"))
-        scored = near.select("query_id", key, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_nq") * F.col("_nv")), 6).alias("similarity"))
-        best = scored.where("similarity is not null").withColumn("place", place).where(F.col("place") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return best.withColumn("place", place).where(F.col("place") <= k)
 
 
 def needs_review(extractions: DataFrame, threshold: float) -> DataFrame:
