@@ -60,3 +60,18 @@ def test_odd_vectors(spark):
     none = vectors.limit(0)
     empty = vi.build(none, vi.fit_centroids(none, 4))
     assert vi.search(empty, vectors, 3, 2).collect() == [] and vi.tuned(empty, none, none, 3) == 1
+
+
+def test_queries_go_to_a_shelf_once_and_tuning_needs_no_search(spark, monkeypatch):
+    vectors = spark.createDataFrame(cloud(2, 1500), SCHEMA)
+    queries = vectors.where("vec_id % 50 = 0")
+    index = vi.build(vectors, vi.fit_centroids(vectors, 40), slot_rows=500)
+    assert len(set(index.shelves)) <= 4 and index.rows.groupBy("shelf").count().agg(F.max("count")).first()[0] < 1200
+    exact = analytics.cosine_topk(vectors, queries, 5)
+    shares = [vi.recall(vi.search(index, queries, 5, p, query_rows=9), exact) for p in (1, 3, 9)]
+    with monkeypatch.context() as m:
+        m.setattr(vi, "search", None)
+        needed = {share: vi.tuned(index, vectors, queries, 5, target=share) for share in shares}
+    assert shares == sorted(shares)
+    for share, probes in zip(shares, (1, 3, 9), strict=True):
+        assert needed[share] <= probes and vi.recall(vi.search(index, queries, 5, needed[share]), exact) >= share
