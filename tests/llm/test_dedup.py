@@ -295,3 +295,26 @@ def test_line_dedup_keeps_columns_with_any_name(make_docs):
     assert all(r[n] == "mine" for r in got.collect() for n in names)
     key = lambda r: str((r["doc_id"], r["text"], r["n_removed"]))
     assert sorted(map(key, got.collect())) == sorted(map(key, line_dedup(docs).collect()))
+
+
+def test_rounds_of_components_take_as_many_tasks_as_their_edges(spark, monkeypatch):
+    from wardlight.llm import components
+
+    counts, cut = [], components.cut_lineage
+
+    def counted(df):
+        counts.append((out := cut(df)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (300, 100)], "a long, b long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
+    assert len(counts) > 2 and max(counts[1:]) <= components.PARTS
