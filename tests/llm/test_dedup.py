@@ -318,3 +318,18 @@ def test_rounds_of_components_take_as_many_tasks_as_their_edges(spark, monkeypat
             spark.conf.set(k, v)
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
     assert len(counts) > 2 and max(counts[1:]) <= components.PARTS
+
+
+def test_shuffle_files_of_finished_steps_go(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    kept, before = [], files()
+    for _ in range(8):  # some 50 files each
+        rows = spark.range(1000, numPartitions=20).repartition(8, "id").groupBy((F.col("id") % 7).alias("g")).count()
+        kept.append(shared.cut_lineage(rows))
+    made = 8 * 40
+    for _ in range(10):  # the last steps' files go with a later one
+        if files() < before + made * 0.75:
+            break
+        kept.append(shared.cut_lineage(spark.range(7)))
+        time.sleep(0.5)
+    assert files() < before + made * 0.75 and all(k.count() == 7 for k in kept)

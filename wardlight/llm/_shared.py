@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,9 +55,16 @@ def quoted(name: str) -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its history."""
+    """Write ``df`` to the shared checkpoint folder and return it without its history.
+
+    Spark's cleaner deletes the shuffle files and checkpoints that nothing refers to any longer, but only once Python and the driver's JVM have
+    collected what did. With a large heap that can be after the last step, so both are asked to here.
+    """
     shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
